@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_dir, table
 from .exact_dedup import exact_dedup
+from .tokens import read_ids, write_ids
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/annals/ids-{uuid.uuid4().hex}"
+    write_ids(table(spark, sf_dir, "documents"), path, end_id=2)
+    return read_ids(spark, path, digest=True)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +23,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_ids": op2_token_ids,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
