@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
 from .tokens import read_ids, write_ids
 
 
@@ -18,12 +19,17 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path, digest=True)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=2048)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
+    "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
