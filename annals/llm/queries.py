@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .tokens import read_ids, write_ids
@@ -23,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=2048)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -30,12 +35,31 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
     "op3_packing": op3_packing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = f"regexp_extract_all({NORMAL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+        with d as (select doc_id, {WORDS} as ws from documents),
+        i as (select item_id::varchar as item, {WORDS} as ws from benchmark),
+        starts as (select *, least(10, len(ws)) as m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as k from i where len(ws) > 0),
+        patterns as (select distinct item, m, array_to_string(ws[k:k + m - 1], ' ') as w from starts),
+        places as (
+            select doc_id, m, k, array_to_string(ws[k:k + m - 1], ' ') as w
+            from (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) as k from d cross join (select distinct m from patterns))),
+        found as (select doc_id, k, m, item from places join patterns using (m, w)),
+        hits as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(k, k + m)) as p from found) group by doc_id),
+        named as (
+            select doc_id, count(*) as n, string_agg(item, ',' order by item) as names
+            from (select distinct doc_id, item from found) group by doc_id)
+        select d.doc_id, len(ws) as n_words, coalesce(hits.n, 0) as n_hit, coalesce(named.n, 0) as n_items,
+               sha256(coalesce(names, '')) as items_sha256, coalesce(hits.n, 0) > 0 as contaminated
+        from d left join hits using (doc_id) left join named using (doc_id)""",
     "op6_exact_dedup": f"""
         with d as (select doc_id, sha256({NORMAL}) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
