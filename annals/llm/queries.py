@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import shared_dir, table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .language_id import predictions
 from .packing import pack_documents
 from .tokens import read_ids, write_ids
 
@@ -32,11 +33,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
