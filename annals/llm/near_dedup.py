@@ -20,6 +20,7 @@ last, exact round pairs them with every member of other components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,21 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, space_words
 
-K, T = 64, 40
+K = 64
+MISS = 1e-6  # the share of links at the threshold that collide in fewer coordinates than are asked for
 SEED = 20
 
 
+def least_collisions(k: int, percent: int) -> int:
+    """The most collisions that all but MISS of the pairs at the threshold have."""
+    s, below = percent / 100, 0.0
+    for t in range(k):
+        below += math.comb(k, t) * s**t * (1 - s) ** (k - t)
+        if below > MISS:
+            return max(1, t)
+    return k
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -179,7 +191,7 @@ def link_classes(classes: DataFrame, sets: DataFrame, posts: DataFrame, t: int,
     return labels if labels is not None else spark.createDataFrame([], "node long, label long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = K, t: int = T, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = K, rounds: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Links join documents with 100 * intersection >= percent * union of their distinct ``size``-word
@@ -188,6 +200,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
     a component. Very long texts are taken whole. A null doc_id never names a component that has
     others. An empty table gives no rows. Other columns are not looked at.
     """
+    t = least_collisions(k, percent)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(rows.mapInArrow(signer(size, k), "doc_id long, n_shingles long, cls long, sig array<int>"), "signatures")
     ids = signed.filter("cls is not null")
@@ -221,7 +234,7 @@ def with_class(size: int):
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; of rows that repeat it, one for each text."""
+    """The document with the smallest id of each component, with all its columns; rows that repeat that id stay with it."""
     found = near_duplicates(docs, **options)
     kept = found.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     names = {c: f"_d_{c}" for c in docs.columns}
