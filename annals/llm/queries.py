@@ -13,6 +13,8 @@ from .exact_dedup import exact_dedup
 from .language_id import predictions
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import quality_scores
+from .token_counts import token_counts
 from .tokens import read_ids, write_ids
 
 
@@ -34,6 +36,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=5, percent=85)
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
