@@ -11,6 +11,7 @@ from .common import shared_dir, table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language_id import predictions
+from .lm_score import lm_scores
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
@@ -28,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), end_id=1, capacity=2048)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), order=3)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_ids": op2_token_ids,
     "op3_packing": op3_packing,
+    "op4_lm_scores": op4_lm_scores,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality": op7_quality,
