@@ -17,6 +17,11 @@ from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import token_counts
 from .tokens import read_ids, write_ids
+from .url_filter import url_verdicts
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_ids": op2_token_ids,
     "op3_packing": op3_packing,
     "op4_lm_scores": op4_lm_scores,
