@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from annals.plans import events
+from annals.plans import corpus, events
 
-QUERIES = {**events.QUERIES}
-SQL = {**events.SQL}
+QUERIES = {**events.QUERIES, **corpus.QUERIES}
+SQL = {**events.SQL, **corpus.SQL}
