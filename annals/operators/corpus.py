@@ -59,8 +59,9 @@ def overlapping(spans: DataFrame, periods: DataFrame, most: int = 1000) -> DataF
     """Spans (start_year, end_year) with each period (first_year, last_year) that they overlap. periods has at most ``most`` rows;
     they travel as one array, and only overlaps become rows."""
     every = bounded(periods, most).agg(F.collect_list(F.struct(*periods.columns))).scalar()
-    fits = F.filter(every, lambda p: (F.col("end_year") >= p["first_year"]) & (F.col("start_year") <= p["last_year"]))
-    return spans.select("*", F.inline(fits))
+    spans_with = spans.withColumn("_every", every)
+    fits = F.filter("_every", lambda p: (F.col("end_year") >= p["first_year"]) & (F.col("start_year") <= p["last_year"]))
+    return spans_with.select(*[F.col(c) for c in spans.columns], F.inline(fits))
 
 
 def duplicates(rows: DataFrame, key: Column, ident: str) -> DataFrame:
@@ -82,8 +83,8 @@ def match_subjects(docs: DataFrame, aliases: DataFrame, low: int = 30, most: int
     """
     every = bounded(aliases, most).agg(F.collect_list(F.struct("subject", "alias"))).scalar()
     places = ("title", "abstract", "author", "keyword")
-    hits = F.filter(every, lambda a: reduce(lambda x, y: x | y, [has_alias(F.col(c), a["alias"]) for c in places]))
-    rows = docs.select("doc_id", *places, F.inline(hits))
+    hits = F.filter("_every", lambda a: reduce(lambda x, y: x | y, [has_alias(F.col(c), a["alias"]) for c in places]))
+    rows = docs.select("doc_id", *places).withColumn("_every", every).select("doc_id", *places, F.inline(hits))
     one = F.when(F.contains("alias", F.lit(" ")), 25).otherwise(35)
     points = {"title": F.lit(45), "abstract": one, "author": F.lit(35), "keyword": F.lit(15)}
     best = [F.max(F.when(has_alias(F.col(c), F.col("alias")), n)).alias(c) for c, n in points.items()]
