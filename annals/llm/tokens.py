@@ -16,13 +16,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 MARKS = ".,;:!?"
 BLOCK_IDS = 1 << 18  # ids in a row of the file, but for a single longer document
 SUB_BLOCK = 1024  # ids between two offsets
@@ -34,6 +35,14 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, int]:
+    """The printable letter that byte-level vocabularies write for each byte, by the known rule:
+    printable Latin-1 characters stand for themselves, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Encoder:
     """ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
@@ -41,93 +50,108 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.line = self.tok.token_to_id("Ċ")  # the line end's own token
+        self.letters = byte_letters()
+        self.line = self.tok.token_to_id(chr(self.letters[10]))  # the line end's own token
         self.clear()
 
     def clear(self) -> None:
-        """Code 0 is no ids."""
+        """Code 0 is no ids; -1 is a piece that makes its text be encoded whole."""
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 20, np.uint32)
-        self.starts = [0, 0]
+        self.starts = np.zeros(1 << 18, np.int64)
+        self.n = 1
+
+    def _own_ids(self, piece: str) -> list[int]:
+        """A piece that starts with a line end follows one, one that starts with a blank follows a word, others follow a blank."""
+        text = piece[1:] if piece[0] in "\n " else piece
+        lead = "" if piece[0] in "\n " else " "
+        if text.isalpha() and text.isascii() or text.isalpha() and max(text) < "\u0250":  # letters alone are one pre-token
+            model = (lead + text).encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tok.model.tokenize(model)]
+        else:
+            ids = self.tok.encode(lead + text, add_special_tokens=False).ids
+        return [self.line, *ids] if piece[0] == "\n" else ids
 
     def _learn(self, new: list[str]) -> None:
-        """One call encodes all pieces: line ends between them keep them apart. A piece that starts
-        with a line end follows one, one that starts with a blank follows a word, others follow a blank."""
-        lines = "\n".join(p[1:] if p[0] in "\n " else " " + p for p in new)
-        ids = np.array(self.tok.encode(lines, add_special_tokens=False).ids, np.uint32)
-        ends = np.append(np.flatnonzero(ids == self.line), len(ids))
-        if len(ends) != len(new):
-            raise ValueError("the tokenizer's vocabulary doesn't keep line ends apart")
-        after_line = np.array([p[0] == "\n" for p in new])
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        starts[after_line] -= 1  # the line end before it is its own
-        if after_line[0]:
-            ids, starts, ends = np.insert(ids, 0, self.line), starts + 1, ends + 1
-        sizes = ends - starts
-        at, total = self.starts[-1], np.cumsum(sizes)
-        while at + total[-1] > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
-        self.ids[at : at + total[-1]] = ids[np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1])]
-        self.known.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new)), strict=True))
-        self.starts += (at + total).tolist()
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, flat = [], []
+        for p in new:
+            own = self._own_ids(p)
+            sizes.append(len(own))
+            flat += own
+        at, ends = self.starts[self.n], np.cumsum(sizes)
+        if at + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(flat)), np.uint32)])
+        if self.n + len(new) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(new)), np.int64)])
+        self.ids[at : at + len(flat)] = flat
+        self.known.update(zip(new, range(self.n, self.n + len(new)), strict=True))
+        self.starts[self.n + 1 : self.n + 1 + len(new)] = at + ends
+        self.n += len(new)
+
+    def _codes(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Two codes for each distinct piece: its word, and the marks at the word's end if they aren't part of a known piece."""
+        codes, marks = list(map(self.known.get, pieces)), np.zeros(len(pieces), np.int64)
+        missing, cores, tails, new = [i for i, c in enumerate(codes) if c is None], [], [], {}
+        for i in missing:
+            p = pieces[i]
+            text = p[1:] if p[:1] == "\n" else p
+            core, tail = p, None
+            if not text or text.split() != [text]:
+                self.known[p] = -1
+            else:
+                own = p.rstrip(MARKS)
+                if len(own) < len(p) and own and own[-1] < "\u0250" and own[-1].isalnum():
+                    core, tail = own, " " + p[len(own) :]  # marks at the end of a word are a pre-token of their own
+                for x in (core, tail):
+                    if x and x not in self.known:
+                        new[x] = None
+            cores.append(core)
+            tails.append(tail)
+        if new:
+            self._learn(list(new))
+        for i, core, tail in zip(missing, cores, tails, strict=True):
+            codes[i] = self.known[core]
+            if tail:
+                marks[i] = self.known[tail]
+        return np.array(codes, np.int64), marks
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of each text's ids."""
-        pieces, whole, counts = [], {}, []
-        for i, text in enumerate(texts):
-            if not text:
-                counts.append(0)
-                continue
-            blanks = text.count(" ") + text.count("\n")
-            parts = text.split()
-            if self.line is None or len(parts) != blanks + 1 or len("".join(parts)) + blanks != len(text):
-                whole[i] = text
-                counts.append(0)
-                continue
-            # the first piece takes a line end, and its id is taken off again
-            own = ("\n" + text.replace("\n", " \n")).split(" ")
-            pieces += own
-            counts.append(len(own))
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.known) > CACHE_PIECES:
             self.clear()
-        codes, tails = list(map(self.known.get, pieces)), np.zeros(len(pieces), np.int64)
-        missing = [i for i, c in enumerate(codes) if c is None]
-        if missing:
-            # marks at the end of a word make a pre-token of their own
-            cores, marks = [], []
-            for i in missing:
-                p = pieces[i]
-                core = p.rstrip(MARKS)
-                if len(core) < len(p) and core and core[-1] < "\u0250" and core[-1].isalnum():
-                    cores.append(core)
-                    marks.append(" " + p[len(core) :])
-                else:
-                    cores.append(p)
-                    marks.append(None)
-            new = dict.fromkeys(x for x in (*cores, *marks) if x and x not in self.known)
-            if new:
-                self._learn(list(new))
-            for i, core, mark in zip(missing, cores, marks, strict=True):
-                codes[i] = self.known[core]
-                if mark:
-                    tails[i] = self.known[mark]
-        codes = np.stack([np.array(codes, np.int64), tails], axis=1).ravel()
-        starts = np.array(self.starts, np.int64)
-        first = starts[codes]
-        size = starts[codes + 1] - first
-        counts = 2 * np.array(counts, np.int64)
-        ends = np.cumsum(counts)
-        heads = (ends - counts)[counts > 0]
-        first[heads] += 1
-        size[heads] -= 1
+        # the first piece takes a line end, and its id is taken off again
+        lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts, "\n"), "\n", " \n"), " ")
+        pieces = lists.flatten()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy().astype(np.int64))
+        coded = pieces.dictionary_encode()
+        codes, marks = self._codes(coded.dictionary.to_pylist())
+        of = coded.indices.to_numpy()
+        codes, marks = codes[of], marks[of]
+        heads = np.concatenate([[0], ends[:-1]])
+        # each text begins with an empty piece, before the line end that was put there
+        codes[heads] = 0
+        odd = self.line is None or np.add.reduceat(codes < 0, heads) > 0
+        odd = np.broadcast_to(odd, len(texts)).copy()
+        codes = np.stack([codes, marks], axis=1).ravel()
+        codes[codes < 0] = 0
+        first = self.starts[codes]
+        size = self.starts[codes + 1] - first
+        size[codes == 0] = 0
+        lead = 2 * (heads + 1)
+        first[lead] += 1
+        size[lead] = np.maximum(size[lead] - 1, 0)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(first - total[:-1], size) + np.arange(total[-1])]
-        lengths = total[ends] - total[ends - counts]
-        if whole:
-            out, at = [], np.concatenate([[0], np.cumsum(lengths)])
-            for i in range(len(texts)):
-                if i in whole:
-                    own = np.array(self.tok.encode(whole[i], add_special_tokens=False).ids, np.uint32)
+        at = total[2 * np.concatenate([[0], ends])]
+        lengths = np.diff(at)
+        if odd.any():
+            out = []
+            for i, whole in enumerate(odd.tolist()):
+                if whole:
+                    own = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
                     lengths[i] = len(own)
                     out.append(own)
                 else:
@@ -163,52 +187,61 @@ WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words, and where each sub-block of SUB_BLOCK values starts in them.
 
-    Each word takes as many of the next values as any selector allows. Sub-blocks advance side by
-    side, one word each at a time.
+    Each word takes as many of the next values as any selector allows: sliding maxima of the widths
+    say which selectors do at every place; then sub-blocks advance side by side, a word at a time.
     """
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint32)
     width = np.zeros(n, np.uint8)
-    for b in (0, *WIDTHS[2:-1].tolist(), 60):
+    for b in (0, *WIDTHS[2:].tolist()):
         width += values > np.uint64((1 << b) - 1)  # the number of listed widths that don't do
-    begin = np.arange(0, n, SUB_BLOCK)
-    end = np.minimum(begin + SUB_BLOCK, n)
-    reach = []  # by selector from 1 on: the first position from which its width doesn't do
-    for k in range(1, 16):
-        at = np.where(width > k - 1, np.arange(n, dtype=np.int32), np.int32(n))
-        reach.append(np.minimum.accumulate(at[::-1])[::-1])
-    reach = np.stack(reach)
-    pos, live, words, owner = begin.copy(), np.arange(len(begin)), [], []
+    lanes = -(-n // SUB_BLOCK)
+    # sliding maxima of the widths in rows of a sub-block; beyond its end nothing fits
+    most = np.full((lanes, SUB_BLOCK + 128), 255, np.uint8)
+    for i in range(0, n, SUB_BLOCK * 1024):
+        k = -(-len(width[i : i + SUB_BLOCK * 1024]) // SUB_BLOCK)
+        padded = np.full(k * SUB_BLOCK, 255, np.uint8)
+        padded[: len(width[i : i + k * SUB_BLOCK])] = width[i : i + k * SUB_BLOCK]
+        most[i // SUB_BLOCK : i // SUB_BLOCK + k, :SUB_BLOCK] = padded.reshape(k, SUB_BLOCK)
+    power, chosen = {1: most}, np.zeros((lanes, SUB_BLOCK), np.uint8)
+    for p in (2, 4, 8, 16, 32, 64):
+        half = power[p // 2]
+        power[p] = np.maximum(half[:, : half.shape[1] - p // 2], half[:, p // 2 :])
+    for k in range(15, 0, -1):
+        c = int(COUNTS[k])
+        p = 1 << (c.bit_length() - 1)
+        over = np.maximum(power[p][:, :SUB_BLOCK], power[p][:, c - p : c - p + SUB_BLOCK])
+        chosen[over <= k - 1] = k  # selectors that pack more come later and win
+    chosen = chosen.ravel()
+    step = COUNTS[chosen]
+    pos, live, places, owner = np.arange(0, n, SUB_BLOCK), np.arange(lanes), [], []
+    end = np.minimum(pos + SUB_BLOCK, n)
     while len(live):
-        p, stop = pos[live], end[live]
-        selector = np.zeros(len(live), np.int64)
-        taken = np.ones(len(live), np.int64)
-        fits = (np.minimum(reach[:, p], stop) - p) >= COUNTS[1:, None]
-        some = fits.any(axis=0)
-        selector[some] = fits.argmax(axis=0)[some] + 1
-        taken[some] = COUNTS[selector[some]]
-        word = selector.astype(np.uint64) << np.uint64(60)
-        for s in np.unique(selector):
-            if s < 2:
-                continue
-            at = np.flatnonzero(selector == s)
-            field = values[p[at][:, None] + np.arange(COUNTS[s])]
-            shift = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-            word[at] |= np.bitwise_or.reduce(field << shift, axis=1)
-        words.append(word)
+        places.append(pos)
         owner.append(live)
-        escape = selector == 0
-        if escape.any():
-            words.append(values[p[escape]])
-            owner.append(live[escape])
-        pos[live] += taken
-        live = live[pos[live] < end[live]]
-    words, owner = np.concatenate(words), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    sizes = np.bincount(owner, minlength=len(begin))
-    return words[order], (np.cumsum(sizes) - sizes).astype(np.uint32)
+        pos = pos + step[pos]
+        more = pos < end[live]
+        pos, live = pos[more], live[more]
+    places, owner = np.concatenate(places), np.concatenate(owner)
+    order = np.argsort(places, kind="stable")
+    places, owner = places[order], owner[order]
+    selector = chosen[places].astype(np.int64)
+    at = np.arange(len(places)) + np.cumsum(selector == 0) - (selector == 0)  # an escape takes two words
+    words = np.zeros(len(places) + int((selector == 0).sum()), np.uint64)
+    words[at] = selector.astype(np.uint64) << np.uint64(60)
+    for s in np.unique(selector).tolist():
+        of = np.flatnonzero(selector == s)
+        if s == 0:
+            words[at[of] + 1] = values[places[of]]
+        elif s > 1:
+            field = values[places[of]].copy()
+            for k in range(1, int(COUNTS[s])):
+                field |= values[places[of] + k] << np.uint64(k * int(WIDTHS[s]))
+            words[at[of]] |= field
+    sizes = np.bincount(owner, 1 + (selector == 0), minlength=lanes).astype(np.int64)
+    return words, (np.cumsum(sizes) - sizes).astype(np.uint32)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -266,7 +299,7 @@ def block_writer(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]],
             return row
 
         for batch in slices(batches):
-            ids, lengths = with_end(*enc.encode(batch.column("text").to_pylist()), end_id)
+            ids, lengths = with_end(*enc.encode(batch.column("text")), end_id)
             held.append((batch.column("doc_id").to_pylist(), ids, lengths))
             if sum(len(h[1]) for h in held) >= BLOCK_IDS:
                 yield emit()
