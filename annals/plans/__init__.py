@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from annals.plans import corpus, events
+from annals.plans import corpus, events, extracts
 
-QUERIES = {**events.QUERIES, **corpus.QUERIES}
-SQL = {**events.SQL, **corpus.SQL}
+QUERIES = {**events.QUERIES, **corpus.QUERIES, **extracts.QUERIES}
+SQL = {**events.SQL, **corpus.SQL, **extracts.SQL}
