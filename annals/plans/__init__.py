@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from annals.plans import corpus, events, extracts
+from annals.plans import corpus, events, extracts, facts
 
-QUERIES = {**events.QUERIES, **corpus.QUERIES, **extracts.QUERIES}
-SQL = {**events.SQL, **corpus.SQL, **extracts.SQL}
+QUERIES = {**events.QUERIES, **corpus.QUERIES, **extracts.QUERIES, **facts.QUERIES}
+SQL = {**events.SQL, **corpus.SQL, **extracts.SQL, **facts.SQL}

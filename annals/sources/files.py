@@ -33,7 +33,7 @@ def plan(rows: DataFrame, language: str | None = None, subject: str | None = Non
     """Adds what ingest does with each record: broken, unusable, other_language, off_subject or ingest."""
     status = F.when(F.col("broken"), "broken").when(~F.col("usable"), "unusable")
     if language is not None:
-        status = status.when(~F.lower("language").eqNullSafe(language.lower()), "other_language")
+        status = status.when(F.lower("language") != language.lower(), "other_language")  # records without a language pass
     if subject is not None:
         both = F.lower(F.concat_ws(" ", "title", "text"))
         status = status.when(~F.contains(both, F.lit(subject.lower())), "off_subject")
