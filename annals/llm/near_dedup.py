@@ -11,11 +11,11 @@ many share (a passage on many pages) stay out of the prefixes of all that have e
 Signatures of two classes at the similarity threshold s collide in k * s coordinates on average;
 ``t`` lies so far below that fewer than one link in a million at the threshold is missed.
 
-Posting lists are never expanded into all pairs. In rounds, each list links its members to a hub;
-the links whose signatures collide often enough are confirmed on the full sets, and connected
-components are taken. Later rounds look only at lists whose members are in several components yet,
-and skip the rest: they pair the members outside the list's largest component with its hubs, and a
-last, exact round pairs them with every member of other components.
+Posting lists are never expanded into all pairs. First each list pairs its members with a hub;
+pairs whose signatures collide often enough are confirmed on the full sets, and connected components
+are taken. Lists whose members then lie in one component are skipped. In the groups that the other
+lists form, the classes outside the largest component meet all classes in blocks, where merging the
+posting lists of a set's hashes counts what it has in common with every other.
 """
 
 from __future__ import annotations
@@ -145,53 +145,96 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def link_classes(classes: DataFrame, sets: DataFrame, posts: DataFrame, t: int, percent: int, rounds: int) -> DataFrame:
-    """(cls, label) of every class that is linked with another."""
-    spark = classes.sparkSession
-    labels = None
-    links = seen = None
-    for turn in range(rounds + 1):
-        exact = turn == rounds
-        rows = posts.withColumn("label", F.col("cls")) if labels is None else posts.join(labels, posts["cls"] == labels["node"], "left").select("item", "cls", "own", F.coalesce("label", "cls").alias("label"))
-        if labels is not None:  # only lists with several components yet
-            open_items = rows.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("item")
-            rows = rows.join(open_items, "item")
-        rows = cut(rows, "postings")
-        if rows.isEmpty():
-            break
-        if not exact:
-            # the hub shares the most with others; later rounds take other hubs
-            order = F.struct("own", "cls") if turn == 0 else F.struct(F.xxhash64("label", F.lit(turn)), F.col("own"), F.xxhash64("cls", F.lit(turn)))
-            hub = rows.groupBy("item").agg(F.min_by(F.struct("cls", "label"), order).alias("hub"))
-            pairs = rows.join(hub, "item").filter("label <> hub.label").select(F.col("cls").alias("x"), F.col("hub.cls").alias("y"))
-        else:
-            # the largest component of a list is left out on one side
-            parts = rows.groupBy("item", "label").agg(F.count("*").alias("n"))
-            top = parts.groupBy("item").agg(F.max_by("label", F.struct("n", "label")).alias("top"))
-            outside = rows.join(top, "item").filter("label <> top").select("item", F.col("cls").alias("x"), F.col("label").alias("lx"), "top")
-            other = rows.select("item", F.col("cls").alias("y"), F.col("label").alias("ly"))
-            pairs = outside.join(other, "item").filter("lx <> ly and (ly = top or x < y)").select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        sig = classes.select("cls", "sig", "n_shingles")
-        sized = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a").join(
-            sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b"
-        )
-        # sets of too different sizes can't be similar enough
-        fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (collisions(F.col("sa"), F.col("sb")) >= t)
-        asked = cut(sized.filter(fit).select("a", "b"), "candidates")
-        both = asked.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
-        common = F.size(F.array_intersect("ha", "hb"))
-        new = cut(both.filter(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
-        links = new if links is None else links.union(new)
-        seen = asked if seen is None else seen.union(asked)
-        if not new.isEmpty():
-            labels = cut(components(links), "labels")
-    return labels if labels is not None else spark.createDataFrame([], "node long, label long")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = K, rounds: int = 3) -> DataFrame:
+def link_hubs(classes: DataFrame, sets: DataFrame, posts: DataFrame, t: int, percent: int) -> DataFrame:
+    """Links (a, b) between each list's hub, the class that shares the most with others, and its members."""
+    hub = posts.groupBy("item").agg(F.min_by("cls", F.struct("own", "cls")).alias("hub"))
+    pairs = posts.join(hub, "item").filter("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    sig = classes.select("cls", "sig", "n_shingles")
+    sized = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a").join(
+        sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b"
+    )
+    # sets of too different sizes can't be similar enough
+    fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (collisions(F.col("sa"), F.col("sb")) >= t)
+    asked = cut(sized.filter(fit).select("a", "b"), "candidates")
+    both = asked.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return cut(both.filter(100 * common >= percent * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
+
+
+def scan_block(percent: int):
+    """Links between the x and y classes of a block pair that have different labels, one for each x and label.
+
+    Counts the common hashes of a set with all others at once, by merging the posting lists of its
+    hashes; a set of which too few hashes have a list is skipped.
+    """
+
+    def run(block: pa.Table) -> pa.Table:
+        role, cls, label = block.column("role").to_numpy(), block.column("cls").to_numpy(), block.column("label").to_numpy()
+        lists = block.column("hashes").combine_chunks()
+        ends = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))
+        flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], ends[:-1]])
+        ys = np.flatnonzero(role == 1)
+        n_y = ends[ys] - starts[ys]
+        hashes = np.concatenate([flat[starts[y] : ends[y]] for y in ys]) if len(ys) else np.empty(0, np.int64)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], np.repeat(np.arange(len(ys)), n_y)[order]
+        a, b = [], []
+        for x in np.flatnonzero(role == 0).tolist() if len(ys) else []:
+            own = flat[starts[x] : ends[x]]
+            low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            size = high - low
+            if 100 * np.count_nonzero(size) < percent * len(own):
+                continue
+            of = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            common = np.bincount(owner[of], minlength=len(ys))
+            linked = np.flatnonzero((100 * common >= percent * (len(own) + n_y - common)) & (label[ys] != label[x]))
+            if len(linked):
+                first = linked[np.unique(label[ys[linked]], return_index=True)[1]]
+                a += [int(cls[x])] * len(first)
+                b += cls[ys[first]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def link_rest(sets: DataFrame, rows: DataFrame, percent: int, block_hashes: int) -> DataFrame:
+    """All links that join different labels of rows (item, cls, label), as one for each class and label.
+
+    Classes that lists connect form a group. In a group, the classes outside its largest component
+    are the queries against all its classes, in blocks of about ``block_hashes`` hashes, so that a
+    group of any size spreads over many tasks and no pair is a row.
+    """
+    hub = rows.groupBy("item").agg(F.min("cls").alias("hub"))
+    groups = components(rows.join(hub, "item").select(F.col("cls").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
+    members = rows.select("cls", "label").distinct().join(groups, "cls").join(sets.select("cls", F.size("hashes").alias("n")), "cls")
+    parts = members.groupBy("grp", "label").agg(F.sum("n").alias("n"))
+    sizes = parts.groupBy("grp").agg(F.sum("n").alias("all"), F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"))
+    members = cut(members.join(sizes, "grp"), "members")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(block_hashes)))
+    x_blocks, y_blocks = blocks(F.col("all") - F.col("most")), blocks(F.col("all"))
+    of = lambda n: F.pmod(F.xxhash64("cls"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    xs = members.filter("label <> top").select("grp", of(x_blocks).alias("xb"), every(y_blocks).alias("yb"), F.lit(0).alias("role"), "cls", "label")
+    ys = members.select("grp", every(x_blocks).alias("xb"), of(y_blocks).alias("yb"), F.lit(1).alias("role"), "cls", "label")
+    both = xs.union(ys).join(sets, "cls")
+    return both.groupBy("grp", "xb", "yb").applyInArrow(scan_block(percent), "a long, b long")
+
+
+def link_classes(classes: DataFrame, sets: DataFrame, posts: DataFrame, t: int, percent: int, block_hashes: int) -> DataFrame:
+    """(node, label) of every class that is linked with another."""
+    links = link_hubs(classes, sets, posts, t, percent)
+    labels = cut(components(links), "labels")
+    rows = posts.join(labels, posts["cls"] == labels["node"], "left").select("item", "cls", F.coalesce("label", "cls").alias("label"))
+    # lists whose members have one label are skipped
+    several = rows.groupBy("item").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("item")
+    rows = cut(rows.join(several, "item"), "postings")
+    if rows.isEmpty():
+        return labels
+    more = cut(link_rest(sets, rows, percent, block_hashes), "links")
+    return labels if more.isEmpty() else cut(components(links.union(more)), "labels")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int = K, block_hashes: int = 1 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Links join documents with 100 * intersection >= percent * union of their distinct ``size``-word
@@ -212,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, k: int =
     sets = cut(
         texts.mapInArrow(with_class(size), "cls long, hashes array<long>").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets"
     )
-    labels = link_classes(classes, sets, posts, t, percent, rounds)
+    labels = link_classes(classes, sets, posts, t, percent, block_hashes)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = cut(named.join(heads, "label").select("cls", "component_id"), "components")

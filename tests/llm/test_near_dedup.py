@@ -57,11 +57,11 @@ def make(seed, n=40, copies=6):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block_hashes"), [(1, 1 << 20), (2, 3000)])
+def test_matches_brute_force(spark, seed, block_hashes):
     rows = make(seed)
     docs = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, cls string, label int").repartition(5)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()), key=repr)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, block_hashes=block_hashes).collect()), key=repr)
     assert got == sorted(brute(rows), key=repr)
     if seed == 1:
         kept = keep_one(docs)
