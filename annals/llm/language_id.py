@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 500_000
 UNKNOWN = "und"
+MOST_LANGUAGES = 10_000  # up to so many, their counts are broadcast
 DISCOUNT = 0.75  # the usual absolute discount
 ALPHABET = 1 << 16  # an unseen character has one part in so many
 PRIME = np.uint64(0x100000001B3)
@@ -194,9 +195,19 @@ def trainer(order: int, share: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def sample_rows(docs: DataFrame, per_lang: int) -> DataFrame:
-    """Up to per_lang documents of each language, those whose ids have the smallest hashes."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
+    """Up to per_lang documents of each language, those whose ids have the smallest hashes.
+
+    Rows are first thinned by hash to about four times as many as are wanted of each language, so
+    that what meets in a language's task is as small for any table.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("_of")), "languages")
+    if counts.count() <= MOST_LANGUAGES:
+        counts = F.broadcast(counts)
+    place = F.xxhash64("doc_id", "text")
+    share = F.pmod(F.shiftright(place, 11), F.lit(1 << 40)) / float(1 << 40)
+    rows = rows.join(counts, "lang").filter(share * F.col("_of") < 4 * per_lang).drop("_of")
+    order = Window.partitionBy("lang").orderBy(share, place, "doc_id")
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang)
 
 
