@@ -316,12 +316,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     doc_id order; first is the number of ids of the part before the block; doc_ids and n_tokens
     list its documents; words are Simple-8b words, little-endian, and offsets the place in words at
     which each run of 1,024 ids starts, so that runs decode apart from each other. Null texts count
-    as empty; null doc_ids come first; rows that repeat a doc_id follow each other, ordered by text.
+    as empty; null doc_ids come first; rows that repeat a doc_id follow each other, ordered by a hash of the text.
     Documents are dealt out by ranges of doc_id and never split over blocks; an empty table gives
     files without rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows.mapInArrow(block_writer(tokenizer or default_path(), end_id), SCHEMA).write.parquet(path)
 
 
