@@ -1,6 +1,6 @@
 """LM scoring: stupid-backoff scores, from n-gram counts of the whole corpus.
 
-Words become hashes, n-grams hashes of hashes. Each block of documents (a few MB that a task reads
+Words become hashes, n-grams hashes of hashes, as wide as the corpus needs (see hash_bits). Each block of documents (a few MB that a task reads
 together) asks for the counts of its distinct n-grams: it sends them, with how often it has them, to
 buckets of a hash-partitioned count table. A bucket adds up what all blocks sent, which is the
 corpus count of every n-gram in it, and answers each block with the totals, in the block's order.
@@ -38,7 +38,7 @@ SCHEMA = "slot long, block long, kind int, bucket long, doc_ids array<long>, a b
 
 def squeeze(x: np.ndarray) -> bytes:
     """Compressed, by planes of bytes."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 3)
 
 
 def expand(data: bytes, kind) -> np.ndarray:
@@ -51,33 +51,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def code_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct words, each word's place in them, and each text's number of words."""
+def hash_bits(words: int, order: int) -> int:
+    """So many that an n-gram shares its hash with another with a chance below 2**-26, whatever the corpus."""
+    return min(64, max(1, words * order).bit_length() + 26)
+
+
+def code_words(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the commonest first, each word's place in them, and each text's number of words."""
     data = pa.array([(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts], pa.large_binary())
     lists = pc.split_pattern(data, b" ")
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     real = np.array([len(w) > 0 for w in words], bool)
-    hashes, place = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words if w], np.uint64), return_inverse=True)
+    hashes, place = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words if w], np.uint64) >> np.uint64(64 - bits), return_inverse=True)
     code = np.zeros(len(words), np.int64)
     code[real] = place
     of = coded.indices.to_numpy()
     keep = real[of]
+    common = np.argsort(-np.bincount(code[of][keep], minlength=len(hashes)), kind="stable")
+    rank = np.empty(len(hashes), np.int64)
+    rank[common] = np.arange(len(hashes))
+    hashes, code[real] = hashes[common], rank[code[real]]
     ends = np.cumsum(pc.list_value_length(lists).to_numpy())
     upto = np.concatenate([[0], np.cumsum(keep)])
     return hashes, code[of][keep], np.diff(upto[np.concatenate([[0], ends])])
 
 
-def ngrams(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def ngrams(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each k: sorted distinct n-grams, and by word the place of the one that ends there (-1: none)."""
     within = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     h = hashes[codes] if len(codes) else np.empty(0, np.uint64)
-    out, last = [(hashes, codes)], h
+    by_hash = np.argsort(hashes)
+    place = np.empty(len(hashes), np.int64)
+    place[by_hash] = np.arange(len(hashes))
+    out, last = [(hashes[by_hash], place[codes])], h
     for k in range(2, order + 1):
         longer = np.zeros(len(h), np.uint64)
         longer[1:] = mix(last[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(k))
         has = within >= k - 1
-        distinct, place = np.unique(longer[has], return_inverse=True)
+        distinct, place = np.unique(longer[has] >> np.uint64(64 - bits), return_inverse=True)
         at = np.full(len(h), -1, np.int64)
         at[has] = place
         out.append((distinct, at))
@@ -85,22 +97,22 @@ def ngrams(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int)
     return out
 
 
-def bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def bounds(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket's range of hashes starts in a sorted array, and its end."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
-def asker(order: int, buckets: int):
+def asker(order: int, buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for n, batch in enumerate(slices(batches, most=BLOCK_BYTES)):
             block = part << 24 | n
-            hashes, codes, sizes = code_words(batch.column("text").to_pylist())
+            hashes, codes, sizes = code_words(batch.column("text").to_pylist(), bits)
             rows = [(buckets + block, block, 0, -1, batch.column("doc_id").to_pylist(), squeeze(hashes), squeeze(codes.astype(np.uint32)), squeeze(sizes.astype(np.uint64)))]
-            for k, (distinct, at) in enumerate(ngrams(hashes, codes, sizes, order), 1):
+            for k, (distinct, at) in enumerate(ngrams(hashes, codes, sizes, order, bits), 1):
                 counts = np.bincount(at[at >= 0], minlength=len(distinct)).astype(np.uint32)
-                cuts = bounds(distinct, buckets)
+                cuts = bounds(distinct, buckets, bits)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     own = slice(cuts[b], cuts[b + 1])
                     rows.append((b, block, k, b, None, squeeze(np.diff(distinct[own], prepend=np.uint64(0))), squeeze(counts[own]), None))
@@ -137,7 +149,7 @@ def answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "doc_id long, n_words long, partial double, n_single long"
 
 
-def score_block(order: int):
+def score_block(order: int, bits: int):
     """The sums of a block's documents, but for the number of words in the corpus, which n_single terms divide by."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -147,7 +159,7 @@ def score_block(order: int):
         hashes, codes, sizes = expand(field(own, "a"), np.uint64), expand(field(own, "b"), np.uint32).astype(np.int64), expand(field(own, "c"), np.uint64).astype(np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         counts = []  # of the n-gram that ends at each word, in all other documents
-        for k, (distinct, at) in enumerate(ngrams(hashes, codes, sizes, order), 1):
+        for k, (distinct, at) in enumerate(ngrams(hashes, codes, sizes, order, bits), 1):
             rows = np.flatnonzero(kind == k)
             totals = [expand(field(int(i), "a"), np.uint64) for i in rows[np.argsort(bucket[rows])]]
             totals = np.concatenate(totals).astype(np.int64) if totals else np.empty(0, np.int64)
@@ -191,9 +203,9 @@ def lm_scores(docs: DataFrame, order: int = 3, bucket_bytes: int = 8 << 20) -> D
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    asked = rows.mapInArrow(asker(order, buckets), SCHEMA).repartition("slot")
-    found = asked.mapInArrow(answerer, SCHEMA).groupBy("block").applyInArrow(score_block(order), RESULT)
+    buckets, bits = max(1, -(-total // bucket_bytes)), hash_bits(total // 2 + 1, order)  # a word takes two bytes at least
+    asked = rows.mapInArrow(asker(order, buckets, bits), SCHEMA).repartition("slot")
+    found = asked.mapInArrow(answerer, SCHEMA).groupBy("block").applyInArrow(score_block(order, bits), RESULT)
     found = cut(found, "lm-scores")
     all_words = found.agg(F.sum("n_words")).first()[0] or 0
     others = F.greatest(F.lit(1), F.lit(all_words) - F.col("n_words"))
