@@ -48,3 +48,27 @@ def plausible(label: Column) -> Column:
     for b in bad:
         out = out & ~F.coalesce(b, F.lit(True))
     return out
+
+
+SEPARATORS = ["–", "-", "/", ","]
+TITLE_STARTS = "battle of |siege of |treaty of |treaties of |bataille de |siège de |traite de |traité de "
+
+
+def resolve_alias(label: Column) -> Column:
+    """The gazetteer name of a label: itself, without a qualifier in brackets, or the left or right part of a compound; else null."""
+    names = F.array(*[F.lit(g[0]) for g in rules.GAZETTEER])
+    known = lambda c: F.when(F.array_contains(names, c), c)
+    key = F.lower(F.trim(label))
+    tries = [known(key), known(F.trim(F.substring_index(key, "(", 1)))]
+    for s in SEPARATORS:
+        has = F.contains(key, F.lit(s))
+        left = F.trim(F.substring_index(key, s, 1))
+        right = F.trim(F.substring(key, F.instr(key, s) + 1, F.length(key)))
+        tries += [F.when(has, known(left)), F.when(has, known(right))]
+    return F.coalesce(*tries)
+
+
+def from_title(title: Column) -> Column:
+    """The place of a title like "Battle of X (1805)"; null for others."""
+    found = F.trim(F.substring_index(F.regexp_extract(title, f"(?i)^(?:{TITLE_STARTS})(.*)$", 1), "(", 1))
+    return F.when(found != "", found)

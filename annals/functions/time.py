@@ -51,3 +51,45 @@ def canonical_key(time: Column) -> Column:
         .when(time["kind"] == "approx", F.concat_ws(":", F.lit("approx"), z(time["year"])))
         .otherwise("unknown")
     )
+
+
+MONTHS = [
+    ("january", 1), ("february", 2), ("march", 3), ("april", 4), ("may", 5), ("june", 6), ("july", 7), ("august", 8), ("september", 9), ("october", 10), ("november", 11), ("december", 12),
+    ("jan", 1), ("feb", 2), ("mar", 3), ("apr", 4), ("jun", 6), ("jul", 7), ("aug", 8), ("sep", 9), ("sept", 9), ("oct", 10), ("nov", 11), ("dec", 12),
+]
+DAY, YEAR = "0*([1-9]|[12][0-9]|3[01])", "(1[0-9]{3}|20[0-9]{2}|2100)"
+ISO = f"{YEAR}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])"
+
+
+def month_pattern(name: str) -> str:
+    """A day, the month as a word of its own, and a year. The order of MONTHS decides, not that of the text."""
+    return f"(?:^|[^0-9]){DAY}(?:[^0-9]*[^a-z0-9])?{name}[, ]*{YEAR}"
+
+
+def calendar_date(text: Column) -> Column:
+    """struct(kind, year, month, day, start_year, end_year, surface) of a text: day, month and year, else an ISO date, else a
+    year alone (four digits from 1, or with BC), else unknown."""
+    low = F.lower(text)
+    part = lambda pattern, i: F.nullif(F.regexp_extract(low, pattern, i), F.lit("")).cast("int")
+    made = lambda y, m, d: F.struct(y.alias("year"), m.alias("month"), d.alias("day"))
+    none = F.lit(None).cast("int")
+    found = [F.when(low.rlike(month_pattern(n)), made(part(month_pattern(n), 2), F.lit(m), part(month_pattern(n), 1))) for n, m in MONTHS]
+    found.append(F.when(low.rlike(ISO), made(part(ISO, 1), part(ISO, 2), part(ISO, 3))))
+    bc = r"(?:^|[^0-9])([0-9]{1,4})\s*(?:b\.?c|av\.? j)"
+    found.append(F.when(low.rlike(bc), made(-part(bc, 1), none, none)))
+    year = F.try_element_at(F.filter(F.transform(F.filter(F.split(low, "[^0-9]"), lambda r: F.length(r) == 4), lambda r: r.cast("int")), lambda y: y.between(1, 2100)), F.lit(1))
+    found.append(F.when(year.isNotNull(), made(year, none, none)))
+    d = F.coalesce(*found)
+    kind = F.when(d.isNotNull(), "exact").otherwise("unknown")
+    return F.struct(kind.alias("kind"), d["year"].alias("year"), d["month"].alias("month"), d["day"].alias("day"), none.alias("start_year"), none.alias("end_year"), text.alias("surface"))
+
+
+def sort_key(time: Column) -> Column:
+    """An int in the order of time; years alone stand in the middle of June. No dates before our era are made."""
+    z = lambda c, other: F.coalesce(c, F.lit(other))
+    return time["year"] * 10000 + z(time["month"], 6) * 100 + z(time["day"], 15)
+
+
+def in_life(year: Column, birth: Column, death: Column) -> Column:
+    """Whether a year lies from five years before birth to two after death; unknown bounds pass."""
+    return (birth.isNull() | (year >= birth - 5)) & (death.isNull() | (year <= death + 2))

@@ -101,3 +101,13 @@ def person_score(description: Column) -> Column:
     low = F.lower(F.coalesce(description, F.lit("")))
     person = has_word(low, rules.PERSON_WORDS) | has_any(low, rules.PERSON_PARTS)
     return F.when(person, 50).otherwise(0) - F.when(has_any(low, rules.THING_PARTS), 70).otherwise(0) - F.when(has_any(low, rules.PLACE_PARTS), 35).otherwise(0)
+
+
+def resume_action(status: Column) -> Column:
+    """What a retry does with a candidate it has met: finished ones are skipped, accepted ones only assembled, others judged again."""
+    return F.when(status.isin("assembled", "rejected"), "skip").when(status == "accepted", "assemble").otherwise("gates")
+
+
+def title_event_type(title: Column) -> Column:
+    low = F.lower(title)
+    return F.when(low.rlike("^(siege|siège)"), "siege").when(low.rlike("^(treaty|traité)"), "treaty").otherwise("battle")

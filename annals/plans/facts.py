@@ -75,3 +75,62 @@ ASKED = "'Where was ' || person || ' during ' || event_type || ' (' || time_key
 def debate_facts(spark, sf_dir):
     rows = keyed(spark, sf_dir).select("stem", "person", "event_type", "time_key", normalize_surface(F.col("place_label")).alias("place"))
     return fragments.place_debates(rows)
+
+
+DATES = f"""select event_id, case event_id % 7 when 0 then 'On 0' || (1 + event_id % 9) || ' ' || n || ', ' || (1700 + event_id % 300) when 1 then 'the 1' || (event_id % 10) || ' of ' || upper(n) || ' ' || (1700 + event_id % 300)
+    when 2 then 'dated ' || (1700 + event_id % 300) || '-0' || (1 + event_id % 9) || '-1' || (event_id % 10) || '.' when 3 then '1805-13-40' when 4 then n || ' ' || (1700 + event_id % 300)
+    when 5 then (1 + event_id % 900) || ' BC in ' || n else 'some day in ' || n end as surface
+    from {{events}} join (values {", ".join(f"({i}, '{n}')" for i, n in enumerate(["January", "May", "Sept", "Mayor", "Dec", "march", "Aug"]))}) as v(k, n) on v.k = (event_id * 3 + user_id) % 7"""
+
+
+def dates_sql() -> str:
+    from annals.functions import time as t
+
+    get = lambda pattern, i: f"nullif(regexp_extract(low, {o.q(pattern)}, {i}), '')::int"
+    has = lambda pattern: f"regexp_matches(low, {o.q(pattern)})"
+    bc = r"(?:^|[^0-9])([0-9]{1,4})\s*(?:b\.?c|av\.? j)"
+    plain = "list_filter(list_transform(list_filter(regexp_split_to_array(low, '[^0-9]'), lambda r: length(r) = 4), lambda r: r::int), lambda y: y between 1 and 2100)[1]"
+    months = [(t.month_pattern(n), m) for n, m in t.MONTHS]
+    year = "case " + " ".join(f"when {has(p)} then {get(p, 2)}" for p, _ in months) + f" when {has(t.ISO)} then {get(t.ISO, 1)} when {has(bc)} then -{get(bc, 1)} else {plain} end"
+    month = "case " + " ".join(f"when {has(p)} then {m}" for p, m in months) + f" when {has(t.ISO)} then {get(t.ISO, 2)} end"
+    day = "case " + " ".join(f"when {has(p)} then {get(p, 1)}" for p, _ in months) + f" when {has(t.ISO)} then {get(t.ISO, 3)} end"
+    return f"""with d as (select *, lower(surface) as low from ({DATES.format(events="events")})), x as (select event_id, surface, {year} as year, {month} as month, {day} as day from d)
+        select event_id, surface, year, month, day, year * 10000 + coalesce(month, 6) * 100 + coalesce(day, 15) as sort_key,
+            case when year is null then 'unknown' else 'exact:' || year || ':' || coalesce(month, 0) || ':' || coalesce(day, 0) end as time_key from x"""
+
+
+@query("typed_dates", dates_sql())
+def typed_dates(spark, sf_dir):
+    from annals.functions import time as t
+
+    rows = spark.sql(DATES, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    rows = rows.withColumn("t", t.calendar_date(F.col("surface")))
+    return rows.select("event_id", "surface", "t.year", "t.month", "t.day", t.sort_key(F.col("t")).alias("sort_key"), t.canonical_key(F.col("t")).alias("time_key"))
+
+
+LABEL = "case event_id % 6 when 0 then place_surface when 1 then place_surface || ' (1796)' when 2 then place_surface || '–Auerstedt' when 3 then 'Essling / ' || place_surface when 4 then 'Battle of ' || place_surface || ' (x)' else upper(place_surface) || ', France' end"
+
+
+def resolved(key: str) -> str:
+    from annals import rules
+
+    known = lambda c: f"case when {c} in ({', '.join(o.q(g[0]) for g in rules.GAZETTEER)}) then {c} end"
+    tries = [known(key), known(f"trim(string_split({key}, '(')[1])")]
+    for s in ["–", "-", "/", ","]:
+        at = f"instr({key}, '{s}')"
+        tries += [f"case when {at} > 0 then {known(f'trim({key}[:{at} - 1])')} end", f"case when {at} > 0 then {known(f'trim({key}[{at} + 1:])')} end"]
+    return f"coalesce({', '.join(tries)})"
+
+
+@query(
+    "place_alias_resolution",
+    f"""with l as (select event_id, {LABEL} as label from ({M})) select event_id, {resolved("lower(trim(label))")} as place,
+    nullif(trim(string_split(regexp_extract(label, '(?i)^(?:battle of |siege of |treaty of )(.*)$', 1), '(')[1]), '') as title_place, case when lower(label) like 'siege%' then 'siege' when lower(label) like 'treaty%' then 'treaty' else 'battle' end as event_type from l""",
+)
+def place_alias_resolution(spark, sf_dir):
+    from annals.functions import place
+    from annals.operators.judge import title_event_type
+
+    rows = mentions(spark, sf_dir).selectExpr("event_id", f"{LABEL} as label")
+    label = F.col("label")
+    return rows.select("event_id", place.resolve_alias(label).alias("place"), place.from_title(label).alias("title_place"), title_event_type(label).alias("event_type"))
