@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from annals.plans import corpus, events, extracts, facts, title_queries
+from annals.plans import corpus, events, extracts, facts, person_queries, title_queries
 
-QUERIES = {**events.QUERIES, **corpus.QUERIES, **extracts.QUERIES, **facts.QUERIES, **title_queries.QUERIES}
-SQL = {**events.SQL, **corpus.SQL, **extracts.SQL, **facts.SQL, **title_queries.SQL}
+QUERIES = {**events.QUERIES, **corpus.QUERIES, **extracts.QUERIES, **facts.QUERIES, **title_queries.QUERIES, **person_queries.QUERIES}
+SQL = {**events.SQL, **corpus.SQL, **extracts.SQL, **facts.SQL, **title_queries.SQL, **person_queries.SQL}
