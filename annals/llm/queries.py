@@ -79,7 +79,20 @@ NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 WORDS = f"regexp_extract_all({NORMAL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+SPACED = f"regexp_extract_all({NORMAL}, '[^\\x20\\x09-\\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op9_near_dedup": f"""
+        with recursive w as (select doc_id, {SPACED} as ws from documents),
+        s as (select distinct doc_id, array_to_string(ws[k:k + 4], ' ') as g
+              from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as k from w where len(ws) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+        both_ways as (select x, y from l union all select y, x from l),
+        r as (select doc_id, doc_id as root from documents union select y, root from r join both_ways on x = doc_id),
+        c as (select doc_id, min(root) as component_id from r group by doc_id)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)""",
     "op5_decontaminate": f"""
         with d as (select doc_id, {WORDS} as ws from documents),
         i as (select item_id::varchar as item, {WORDS} as ws from benchmark),
