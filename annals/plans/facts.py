@@ -134,3 +134,28 @@ def place_alias_resolution(spark, sf_dir):
     rows = mentions(spark, sf_dir).selectExpr("event_id", f"{LABEL} as label")
     label = F.col("label")
     return rows.select("event_id", place.resolve_alias(label).alias("place"), place.from_title(label).alias("title_place"), title_event_type(label).alias("event_type"))
+
+
+@query(
+    "exploration_reachable",
+    """with recursive e as (select distinct user_id % 211 as src, (event_id * 7 + user_id) % 211 as dst from events where event_id % 9 = 0),
+    r as (select 0::bigint as node, 0 as depth union select dst, depth + 1 from r join e on src = node where depth < 3) select node, min(depth)::int as depth from r group by node""",
+)
+def exploration_reachable(spark, sf_dir):
+    from annals.operators.explore import reachable
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 9 = 0").selectExpr("user_id % 211 as src", "(event_id * 7 + user_id) % 211 as dst").distinct()
+    return reachable(e, spark.range(1).select(F.col("id").alias("node")), 3)
+
+
+@query(
+    "changed_documents",
+    """with o as (select doc_id, case when doc_id % 5 = 0 then upper(text) else text end as text from documents where doc_id % 3 <> 0)
+    select doc_id, n_chars from documents d where not exists (select 1 from o where o.doc_id = d.doc_id and sha256(coalesce(o.text, '')) = sha256(coalesce(d.text, '')))""",
+)
+def changed_documents(spark, sf_dir):
+    from annals.operators.store import changed
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    old = d.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    return changed(d, old, "doc_id", "text").select("doc_id", "n_chars")

@@ -66,3 +66,24 @@ def test_merges(spark):
     assert sorted(map(tuple, corpus.conditional_upsert(old, new, "id", "kind").collect())) == [(1, "person"), (2, "work"), (3, "unknown"), (4, "unknown")]
     rows = spark.createDataFrame([("a", 1, 50), ("a", 2, 60), ("a", 3, 10), ("b", 1, 500)], "s string, n int, size int")
     assert sorted(map(tuple, corpus.within_budget(rows, "s", ["n"], "size", 5, 115).collect())) == [("a", 1, 50), ("a", 2, 60)]
+
+
+def test_stores(spark, tmp_path):
+    from annals.operators import store
+
+    path = str(tmp_path / "t")
+    store.replace_children(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "page int, s string"), path, "page")
+    store.replace_children(spark.createDataFrame([(1, "d")], "page int, s string"), path, "page")
+    assert sorted((r.page, r.s) for r in spark.read.parquet(path).collect()) == [(1, "d"), (2, "c")]
+    path = str(tmp_path / "a")
+    store.append_new(spark.createDataFrame([(1, "a"), (1, "a")], "id int, s string"), path, ["id"], None)
+    store.append_new(spark.createDataFrame([(1, "b"), (2, "c")], "id int, s string"), path, ["id"], spark.read.parquet(path))
+    assert sorted((r.id, r.s) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_person_classes(spark):
+    from annals.operators import persons
+
+    rows = spark.createDataFrame([("Ann", "general"), ("Ann", "Queen of X"), ("Bob", "clerk"), ("Cy", "poet"), ("Cy", "chemist")], "person string, occupation string")
+    got = {r.person: (list(r.classes), r.primary, r.military) for r in persons.person_classes(rows).collect()}
+    assert got == {"Ann": (["military_leader", "ruler"], "military_leader", True), "Bob": ([], "unknown", False), "Cy": (["scientist", "artist_writer"], "scientist", False)}
