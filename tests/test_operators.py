@@ -87,3 +87,12 @@ def test_person_classes(spark):
     rows = spark.createDataFrame([("Ann", "general"), ("Ann", "Queen of X"), ("Bob", "clerk"), ("Cy", "poet"), ("Cy", "chemist")], "person string, occupation string")
     got = {r.person: (list(r.classes), r.primary, r.military) for r in persons.person_classes(rows).collect()}
     assert got == {"Ann": (["military_leader", "ruler"], "military_leader", True), "Bob": ([], "unknown", False), "Cy": (["scientist", "artist_writer"], "scientist", False)}
+
+
+def test_linked_titles(spark):
+    from annals.operators.titles import linked_titles, merged_titles
+
+    s = "After the Battle of Jena came the Siege of New York; the Battle of Jena, the treaty of x, and the Treaty of Saint-Cloud."
+    assert one(spark, linked_titles(F.lit(s))) == ["Battle of Jena", "Siege of New York", "Treaty of Saint-Cloud"]
+    rows = spark.createDataFrame([("Ann Lee", t, i) for i, t in enumerate(["Zoo", "Lee House", "ann lee", "Ann Lee", "Category:X", "1805", "Treaty of Rome", "zoo"])], "subject string, title string, seq int")
+    assert [(r.title, r["rank"]) for r in merged_titles(rows, 3).orderBy("place").collect()] == [("ann lee", 0), ("Lee House", 1), ("Treaty of Rome", 2)]
