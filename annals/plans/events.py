@@ -226,9 +226,9 @@ def supersession_chain(spark, sf_dir):
 )
 def timeline_events(spark, sf_dir):
     """The first 500 events in time: the first writer of each occurrence, nulls last, ties by id."""
-    firsts = assembly.reinforced(keyed(spark, sf_dir).select("occurrence_key", "event_id"), "occurrence_key", "event_id").select("event_id")
-    rows = judged(spark, sf_dir).join(firsts, "event_id")
-    return rows.select("event_id", "person", "event_type", "year", "place_label", "title").orderBy(F.asc_nulls_last("year"), "event_id").limit(500)
+    row = F.struct("event_id", "person", "event_type", "year", "place_label", "title")
+    firsts = keyed(spark, sf_dir).groupBy("occurrence_key").agg(F.min_by(row, "event_id").alias("first")).select("first.*")
+    return firsts.orderBy(F.asc_nulls_last("year"), "event_id").limit(500)
 
 
 @query("timeline_period", f"{JUDGED} select event_id, person, year, title from judged where lower(person) like '%person 1%' and (year is null or year between 1790 and 1815)")
