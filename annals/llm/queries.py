@@ -51,7 +51,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

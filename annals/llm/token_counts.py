@@ -11,9 +11,11 @@ be cut is one unknown piece.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from .tokens import byte_letters
 
 END = 256
 CACHE_WORDS = 500_000
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+UNIT = regex.compile(RULE)
+SOLID = regex.compile(r"\S+")
+SEPARATORS = regex.compile("[\x1c-\x1f]")  # blanks to str.split, but not to the rule
 
 
 def vocabulary(path: str) -> list[tuple[int, ...]]:
@@ -37,6 +43,29 @@ def vocabulary(path: str) -> list[tuple[int, ...]]:
     return out
 
 
+def check_rule(path: str) -> None:
+    """Raises ValueError unless the file normalizes and pre-tokenizes as solid_parts and UNIT do."""
+    with open(path, encoding="utf-8") as f:
+        rule = json.load(f)
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": RULE}, "behavior": "Removed", "invert": True}
+    letters = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    first, last = rule["normalizer"]["normalizers"], rule["pre_tokenizer"]["pretokenizers"]
+    if first != [{"type": "NFC"}, blanks, {"type": "Lowercase"}] or [{k: v for k, v in x.items() if k != "trim_offsets"} for x in last] != [split, letters]:
+        raise ValueError(f"another normalizer or pre-tokenizer than that of word_bpe_49k.json: {path}")
+
+
+def solid_parts(text: str | None) -> list[str]:
+    """The normalized text's runs without white space. Lower case is taken character by character: no final sigma."""
+    low = unicodedata.normalize("NFC", text or "").replace("Σ", "σ").lower()
+    return SOLID.findall(low) if SEPARATORS.search(low) else low.split()
+
+
+def units(text: str | None) -> list[bytes]:
+    """The tokenizer file's pre-tokens: contractions, words, single digits, runs of other characters; in UTF-8."""
+    return [u.encode("utf-8", "surrogatepass") for part in solid_parts(text) for u in UNIT.findall(part)]
+
+
 class Automaton:
     """go: node and symbol to node; fail and pops: by node; fail is -1 where nothing can be popped."""
 
@@ -103,17 +132,35 @@ class Counts(dict):
         return n
 
 
-_COUNTS: dict[str, Counts] = {}
+class PartCounts(dict):
+    """Counts of the runs without white space that a worker has met, by their units: none crosses white space."""
+
+    def __init__(self, words: Counts):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, part: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        n = sum(self.words[u.encode("utf-8", "surrogatepass")] for u in UNIT.findall(part))
+        if len(part) < 100:
+            self[part] = n
+        return n
+
+
+_COUNTS: dict[str, tuple[Counts, PartCounts]] = {}
 
 
-def counter(path: str):
+def counter(path: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _COUNTS:
-            _COUNTS[path] = Counts(Automaton(vocabulary(path)))
-        get = _COUNTS[path].__getitem__
+            words = Counts(Automaton(vocabulary(path)))
+            _COUNTS[path] = words, PartCounts(words)
+        of_word, of_part = (c.__getitem__ for c in _COUNTS[path])
         for batch in slices(batches):
-            texts = [alnum_words(t) for t in batch.column("text").to_pylist()]
-            n_tokens = [sum(map(get, ws)) for ws in texts]
+            plain = batch.column("text").to_pylist()
+            texts = [alnum_words(t) for t in plain]
+            n_tokens = [sum(map(of_part, solid_parts(t))) for t in plain] if whole else [sum(map(of_word, ws)) for ws in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(ws) for ws in texts], pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"]
             )
@@ -127,13 +174,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, whole: bool = False) -> DataFrame:
     """doc_id, n_words, n_tokens for every document, a map over the rows as they are read.
 
-    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Null and empty texts
+    Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. n_tokens counts the pieces
+    of the whole text, cut by the tokenizer file's rule into units, or without ``whole`` those of the
+    words alone. Names of added tokens are cut like other text. Null and empty texts
     have none; very long texts and words are read whole; repeated rows are counted each; an empty
     table gives no rows. Other columns are not looked at.
     """
+    path = tokenizer or default_path()
+    if whole:
+        check_rule(path)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(counter(tokenizer or default_path()), f"doc_id {kind}, n_words long, n_tokens long")
+    return rows.mapInArrow(counter(path, whole), f"doc_id {kind}, n_words long, n_tokens long")
