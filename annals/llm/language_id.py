@@ -6,9 +6,10 @@ discounted probabilities by language; contexts likewise with their back-off weig
 cross-entropy under a language is the sum over its words divided by the number of characters;
 the lowest wins. Words repeat, so a worker keeps the scores of those it has met.
 
-The limit beyond which a text is rejected is calibrated on documents that the counts don't include:
-``slack`` times the highest cross-entropy of their own language among those of at least
-``sure_letters`` letters. Texts with fewer letters are never rejected, except those without any.
+The limits beyond which a text is rejected are calibrated on documents that the counts don't include,
+by language and number of letters: ``slack`` times the 99.5 % quantile of the cross-entropies of their
+windows of about that size. Documents beyond ``slack`` times the usual median of their size are taken for junk or
+mislabelled and don't count. Fewer letters never have a narrower limit, and none is without one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ UNKNOWN = "und"
 MOST_LANGUAGES = 10_000  # up to so many, their counts are broadcast
 DISCOUNT = 0.75  # the usual absolute discount
 ALPHABET = 1 << 16  # an unseen character has one part in so many
+QUANTILE = 0.995
+SIZES = 24  # windows and limits for 1, 2, 4, ... letters
+WINDOWS = 8  # of each size from a document
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -111,8 +115,10 @@ class Models:
     langs: list[str]
     order: int
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    limit: float = float("inf")
-    sure_letters: int = 100
+    limits: np.ndarray | None = None  # by language and the power of two of the number of letters
+
+    def limit(self, langs: np.ndarray, n_letters: np.ndarray) -> np.ndarray:
+        return np.full(len(langs), np.inf) if self.limits is None else self.limits[langs, sizes_of(n_letters)]
 
     @classmethod
     def join(cls, langs: list[str], fits: list[list[tuple[np.ndarray, ...]]], order: int) -> Models:
@@ -211,7 +217,7 @@ def sample_rows(docs: DataFrame, per_lang: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang)
 
 
-def fit(docs: DataFrame, per_lang: int = 400, order: int = 4, slack: float = 1.4, sure_letters: int = 100) -> Models:
+def fit(docs: DataFrame, per_lang: int = 400, order: int = 4, slack: float = 1.4) -> Models:
     """Models from the text and lang of docs.
 
     Bound of the sample: ``per_lang`` whole documents of each language. The models that reach the
@@ -226,22 +232,73 @@ def fit(docs: DataFrame, per_lang: int = 400, order: int = 4, slack: float = 1.4
     if not langs:
         return Models([], order, [])
     models = Models.join(langs, [fits[x] for x in langs], order)
-    models.sure_letters = sure_letters
     held = docs.sparkSession.sparkContext.broadcast(models)
-    left = rows.filter("_n % 5 = 0").mapInPandas(calibrator(held, sure_letters), "own double").agg(F.max("own")).first()[0]
-    models.limit = slack * left if left is not None else float("inf")
+    left = rows.filter("_n % 5 = 0").groupBy("lang").applyInPandas(calibrator(held, slack), "lang string, limits array<double>").collect()
+    models.limits = all_limits(langs, {r.lang: np.array(r.limits, np.float64) for r in left})
     return models
 
 
-def calibrator(held, sure_letters: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(held.value)
-        column = {x: j for j, x in enumerate(held.value.langs)}
-        for f in frames:
-            f = f[f["lang"].isin(column)]
-            entropy, n = scorer.entropies(f["text"].tolist())
-            own = entropy[np.arange(len(f)), [column[x] for x in f["lang"]]] if len(f) else np.empty(0)
-            yield pd.DataFrame({"own": own[n >= sure_letters]})
+def sizes_of(n_letters: np.ndarray) -> np.ndarray:
+    """The power of two of each number of letters, at most SIZES - 1."""
+    return np.minimum(np.log2(np.maximum(n_letters, 1)).astype(np.int64), SIZES - 1)
+
+
+def windows(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of runs of words with 1, 2, 4, ... letters at least, up to WINDOWS of each, and all words."""
+    ends = np.cumsum(lengths)
+    starts = np.unique(np.arange(WINDOWS) * len(lengths) // WINDOWS)
+    out = [(0, len(lengths))]
+    for size in range(SIZES):
+        to = np.searchsorted(ends, ends[starts] - lengths[starts] + (1 << size)) + 1
+        out += [(int(a), int(b)) for a, b in zip(starts, to, strict=True) if b <= len(lengths)]
+    return out
+
+
+def limits_of(documents: list[list[tuple[int, float]]], slack: float) -> np.ndarray:
+    """Limits by size; NaN for sizes beyond any window. documents: (letters, cross-entropy) of the windows of each, the whole text first."""
+    flat = [w for d in documents for w in d]
+    if not flat:
+        return np.full(SIZES, np.nan)
+    of, own = sizes_of(np.array([n for n, _ in flat])), np.array([e for _, e in flat])
+    by = np.repeat(np.arange(len(documents)), list(map(len, documents)))
+    common = [k for k in np.unique(of) if 2 * len(np.unique(by[of == k])) >= len(documents)] or [np.bincount(of).argmax()]
+    usual = [np.median(own[of == k]) for k in common]  # of sizes that most documents have; longer ones take the last
+    fits = [d for d in documents if d[0][1] <= slack * usual[max(np.searchsorted(common, sizes_of(np.array([d[0][0]]))[0], "right") - 1, 0)]]
+    flat = [w for d in fits or documents for w in d]
+    of, own = sizes_of(np.array([n for n, _ in flat])), np.array([e for _, e in flat])
+    out = np.full(SIZES, np.nan)
+    for k in np.unique(of):
+        out[k] = slack * np.quantile(own[of == k], QUANTILE)
+    return out
+
+
+def all_limits(langs: list[str], found: dict[str, np.ndarray]) -> np.ndarray | None:
+    """A row for each language. Sizes that a language lacks take its nearest longer one, then its nearest shorter one;
+    languages without calibration documents take the widest of the others; None if no language has any."""
+    grid = np.stack([found.get(x, np.full(SIZES, np.nan)) for x in langs])
+    if np.isnan(grid).all():
+        return None
+    for k in range(SIZES - 2, -1, -1):  # never narrower for fewer letters
+        grid[:, k] = np.fmax(grid[:, k], grid[:, k + 1])
+    for k in range(1, SIZES):
+        grid[:, k] = np.where(np.isnan(grid[:, k]), grid[:, k - 1], grid[:, k])
+    return np.where(np.isnan(grid), np.nanmax(grid, axis=0), grid)
+
+
+def calibrator(held, slack: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(docs: pd.DataFrame) -> pd.DataFrame:
+        scorer, lang = Scorer(held.value), docs["lang"].iloc[0]
+        documents = []
+        if lang in held.value.langs:
+            j = held.value.langs.index(lang)
+            for text in docs["text"]:
+                words = letters(text)
+                if not words:
+                    continue
+                scorer.entropies([text])
+                lengths, nats = np.array(list(map(len, words))), scorer.scores[[scorer.known[w] for w in words], j]
+                documents.append([(int(lengths[a:b].sum()), float(nats[a:b].sum() / (lengths[a:b].sum() + b - a))) for a, b in windows(lengths)])
+        return pd.DataFrame({"lang": [lang], "limits": [limits_of(documents, slack)]})
 
     return run
 
@@ -259,15 +316,17 @@ def predictor(key: str, held, extra: list[str]) -> Callable[[Iterator[pa.RecordB
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             n_letters, best = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            limit = np.full(len(texts), np.inf)
             langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if models.langs:
                 entropy, n_letters = scorer.entropies(texts)
                 win = entropy.argmin(axis=1)
                 best = entropy[np.arange(len(texts)), win]
+                limit = models.limit(win, n_letters)
                 near = np.exp(-8 * (entropy - best[:, None]))
                 score = np.where(n_letters > 0, 1 / near.sum(axis=1), 0.0)
                 langs = [models.langs[w] if n else UNKNOWN for w, n in zip(win.tolist(), n_letters.tolist(), strict=True)]
-            rejected = (n_letters == 0) | ((n_letters >= models.sure_letters) & (best > models.limit))
+            rejected = (n_letters == 0) | (best > limit)
             cols = {c: batch.column(c) for c in extra}
             cols |= {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64()), "entropy": pa.array(best, pa.float64()), "rejected": pa.array(rejected, pa.bool_())}
             yield pa.RecordBatch.from_pydict(cols)
