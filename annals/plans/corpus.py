@@ -37,6 +37,18 @@ def narrative_context_band(spark, sf_dir):
     return assembly.context_band(c, c.filter("turn % 7 = 0 and hit"), "conv_id", "turn", 2).select("conv_id", "turn", "role", "is_evidence")
 
 
+@query(
+    "narrative_context_whole",
+    """with e as (select distinct conv_id, turn from conversations where contains(text, 'the'))
+    select c.conv_id, c.turn, c.role, exists (select 1 from e where e.conv_id = c.conv_id and e.turn = c.turn) as is_evidence
+    from conversations c where exists (select 1 from e where e.conv_id = c.conv_id and abs(e.turn - c.turn) <= 2)""",
+)
+def narrative_context_whole(spark, sf_dir):
+    """The band around every turn of evidence; narrative_context_band takes every seventh turn."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.contains("text", F.lit("the")).alias("hit"))
+    return assembly.context_band(c, c.filter("hit"), "conv_id", "turn", 2).select("conv_id", "turn", "role", "is_evidence")
+
+
 @query(
     "evidence_list",
     """select c.conv_id, c.turn, d.source, d.lang, l.quality from conversations c left join documents d on d.doc_id = c.conv_id left join labels l on l.doc_id = d.doc_id""",
