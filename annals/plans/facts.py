@@ -61,6 +61,18 @@ def merge_found_events(spark, sf_dir):
     return fragments.merge_found(least(m.filter("event_id % 2 = 0")), least(m.filter("event_id % 2 = 1 and user_id % 3 = 0")), "person")
 
 
+@query(
+    "merge_found_whole",
+    f"""with m as ({M}), a as (select person, min(event_id) as event_id from m where event_id % 2 = 0 group by person), b as (select person, min(event_id) as event_id from m where event_id % 2 = 1 group by person)
+    select * from a union all select * from b where person not in (select person from a)""",
+)
+def merge_found_whole(spark, sf_dir):
+    """Even and odd events merged, all of both; merge_found_events takes a third of the odd ones."""
+    m = mentions(spark, sf_dir)
+    least = lambda rows: rows.groupBy("person").agg(F.min("event_id").alias("event_id"))
+    return fragments.merge_found(least(m.filter("event_id % 2 = 0")), least(m.filter("event_id % 2 = 1")), "person")
+
+
 SLUG = lambda c: f"regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 ASKED = "'Where was ' || person || ' during ' || event_type || ' (' || time_key || ')?'"
 
@@ -148,6 +160,25 @@ def exploration_reachable(spark, sf_dir):
     return reachable(e, spark.range(1).select(F.col("id").alias("node")), 3)
 
 
+LINKS = """select 'customer ' || cast(o_custkey as string) as src, 'order ' || cast(o_orderkey as string) as dst from {orders}
+    union select 'order ' || cast(l_orderkey as string) as src, 'part ' || cast(l_partkey as string) as dst from {lineitem}"""
+SEEDS = ["customer 1", "customer 2", "customer 4", "part 1"]
+
+
+@query(
+    "exploration_whole",
+    f"""with recursive l as ({LINKS.format(orders="orders", lineitem="lineitem")}), e as (select src, dst from l union select dst, src from l),
+    r as (select unnest([{", ".join(map(o.q, SEEDS))}]) as node, 0 as depth union select dst, depth + 1 from r join e on src = node where depth < 3) select node, min(depth)::int as depth from r group by node""",
+)
+def exploration_whole(spark, sf_dir):
+    """What the seeds reach over all links, both ways, of customers, orders and parts: the nodes grow with the tables."""
+    from annals.operators.explore import reachable
+
+    links = spark.sql(LINKS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return reachable(both, spark.createDataFrame([(s,) for s in SEEDS], "node string"), 3)
+
+
 @query(
     "changed_documents",
     """with o as (select doc_id, case when doc_id % 5 = 0 then upper(text) else text end as text from documents where doc_id % 3 <> 0)
