@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annals.functions import ident, text
@@ -258,6 +258,20 @@ def source_budgets(spark, sf_dir):
     return corpus.within_budget(d, "source", ["doc_id"], "n_chars", 40, 60000).select("doc_id", "source")
 
 
+@query(
+    "source_budgets_whole",
+    """select doc_id, source from (select *, sum(b) over (order by doc_id rows unbounded preceding) as run from
+        (select doc_id, source, strlen(coalesce(text, '')) as b, row_number() over (partition by source order by doc_id) as n from documents) where n <= 40) where run <= 52428800""",
+)
+def source_budgets_whole(spark, sf_dir):
+    """Default budgets of the reference: 40 documents a source, 50 MiB over the whole run. The rank is limited before rows
+    meet by source; only those within it meet in one task."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"))
+    first = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 40")
+    run = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("run", F.sum("b").over(run)).filter("run <= 52428800").select("doc_id", "source")
+
+
 SUBJECTS = "(values (0, 'Paris', 'Paris'), (1, 'Saint Helena', 'Saint Helena'), (2, 'Saint Helena', 'Helena'), (3, 'Person 7', 'Person 7'), (4, 'Rome', 'Romé'), (5, 'short', 'of'))"
 FOLDED = lambda c: f"lower(translate({c}, '{text.FOLD_FROM}', '{text.FOLD_TO}'))"
 HIT = lambda c: f"(strlen(alias) >= 3 and contains({FOLDED(c)}, {FOLDED('alias')}))"

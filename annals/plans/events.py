@@ -231,6 +231,16 @@ def timeline_events(spark, sf_dir):
     return firsts.orderBy(F.asc_nulls_last("year"), "event_id").limit(500)
 
 
+@query(
+    "timeline_whole",
+    f"{KEYS}, e as (select min(event_id) as event_id from k group by occurrence_key) select event_id, person, event_type, year, place_label, title from k join e using (event_id)",
+)
+def timeline_whole(spark, sf_dir):
+    """All events of the timeline, without a limit or order: the first writer of each occurrence."""
+    row = F.struct("event_id", "person", "event_type", "year", "place_label", "title")
+    return keyed(spark, sf_dir).groupBy("occurrence_key").agg(F.min_by(row, "event_id").alias("first")).select("first.*")
+
+
 @query("timeline_period", f"{JUDGED} select event_id, person, year, title from judged where lower(person) like '%person 1%' and (year is null or year between 1790 and 1815)")
 def timeline_period(spark, sf_dir):
     """One period of the persons that match; rows without a year pass."""
