@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from annals.llm.common import space_words
-from annals.llm.near_dedup import components, keep_one, near_duplicates
+from annals.llm.near_dedup import SIGNED, components, hub_blocks, keep_one, least_collisions, near_duplicates, prefixes, signer, with_digest
 
 
 def brute(rows, size=5, percent=85):
@@ -64,9 +65,52 @@ def test_matches_brute_force(spark, seed, block_hashes):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, block_hashes=block_hashes).collect()), key=repr)
     assert got == sorted(brute(rows), key=repr)
     if seed == 1:
-        kept = keep_one(docs)
+        kept = keep_one(docs, percent=85)
         assert kept.columns == docs.columns
-        assert {r.doc_id for r in kept.collect()} == {d for d, _, c in brute(rows) if d == c}
+        kept = [r.doc_id for r in kept.collect()]
+        assert sorted(map(str, kept)) == sorted({str(d) for d, _, c in brute(rows) if d == c})
+
+
+def test_keeps_one_of_rows_that_repeat_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(7, base), (7, base + " more"), (7, base), (8, base + " end"), (None, base + " x"), (9, None), (9, ""), (9, None), (None, "alone here"), (None, "alone here")]
+    kept = keep_one(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, first int")).collect()
+    assert [r.doc_id for r in kept if r.text and r.text.startswith("w0")] == [7]
+    assert sorted(str(r.text) for r in kept if r.doc_id == 9) == ["", "None", "None"]
+    assert [r.text for r in kept if r.doc_id is None] == ["alone here"]
+
+
+def test_narrow_coordinates_do_not_chain(spark):
+    """With 14 bits many lists hold strangers; only members of a hub's lists meet, in bounded blocks, and the result stays."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(5000)) for _ in range(120))) for i in range(600)]
+    rows += [(600 + i, t + " tail") for i, (_, t) in enumerate(rows[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(signer(5, 64, 14), SIGNED)
+    classes = signed.withColumn("cls", F.col("doc_id")).select("cls", "n_shingles", "sig").cache()
+    t = least_collisions(64, 85)
+    posts = prefixes(classes, 64, t)
+    sets = docs.select("text").mapInArrow(with_digest(5), "d1 long, d2 long, n_shingles long, hashes array<long>").join(signed.select("d1", "d2", F.col("doc_id").alias("cls")), ["d1", "d2"]).select("cls", "hashes")
+    rows_of_lists = posts.withColumn("label", F.col("cls"))
+    largest = hub_blocks(sets, rows_of_lists, 64, 1 << 19).groupBy("hub", "xb", "yb").count().agg(F.max("count")).first()[0]
+    whole = hub_blocks(sets, rows_of_lists, 1 << 30, 1 << 40).filter("role = 1").groupBy("hub").count().agg(F.max("count")).first()[0]
+    assert largest < 260 and whole < 620
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, bits=14, block_rows=64).collect())
+    assert got == sorted(brute(rows))
+
+
+def test_a_large_group_spreads_over_blocks(spark):
+    """A third of all rows are near copies of one text, some only of other copies."""
+    rnd = random.Random(11)
+    star, rows = [f"s{i}" for i in range(150)], [(i, " ".join(f"o{rnd.randrange(9000)}" for _ in range(60))) for i in range(400)]
+    for i in range(200):
+        own = list(star)
+        for _ in range(rnd.randrange(1, 6)):
+            own[rnd.randrange(150)] = f"e{rnd.randrange(10**6)}"
+        rows.append((400 + i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, block_rows=32).collect())
+    assert got == sorted(brute(rows))
 
 
 def test_components(spark):
