@@ -1,175 +1,139 @@
 """LM scoring: stupid-backoff scores, from n-gram counts of the whole corpus.
 
-Words become hashes, n-grams hashes of hashes, as wide as the corpus needs (see hash_bits). Each block of documents (a few MB that a task reads
-together) asks for the counts of its distinct n-grams: it sends them, with how often it has them, to
-buckets of a hash-partitioned count table. A bucket adds up what all blocks sent, which is the
-corpus count of every n-gram in it, and answers each block with the totals, in the block's order.
-The answers meet the block's words again and every document's scores are summed. An n-gram reaches
-its bucket once from each block, however often and in how many documents it occurs, so frequent
-words make no hot rows; everything moves twice and compressed, and no table is broadcast.
+The count table is a table: n-grams, as the words themselves, with their number in the corpus. It is
+partitioned by the hash of the n-gram and joined to the n-grams of the documents. Before they are
+dealt out, a task adds up the n-grams of each block of documents (a few MB that it reads together),
+so an n-gram comes to its partition once from each block, however often and in how many documents of
+the block it occurs: frequent words make no hot rows. The count table is the sum over the same
+rows, so it is joined by a window over the n-gram, and rows move once. The counts go back to the
+blocks, where every document's scores are summed. N-grams are compared as a whole, never by a hash
+alone, and no table is broadcast.
 
 A document is scored by the counts of all others: its own occurrences are taken off first
 (otherwise no n-gram would ever be unseen). For a word after its m - 1 predecessors in the document,
 m at most ``order``: the first k from m down to 2 whose n-gram was seen gives
 ALPHA**(m - k) * count(n-gram) / count(its first k - 1 words); if none was, ALPHA**(m - 1) *
 count(word) / words in the other documents, with ALPHA for the count of a word never seen.
+
+Cost: a text has up to ``order`` n-grams a word, nearly all of the longer ones different, and each
+is a row that moves to the count table and back: some 1.6 rows a word at order 3.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, cut, slices
 
 ALPHA = 0.4
 BLOCK_BYTES = 8 << 20
-SCHEMA = "slot long, block long, kind int, bucket long, doc_ids array<long>, a binary, b binary, c binary"
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    """Compressed, by planes of bytes."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 3)
-
-
-def expand(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+ASKED = "gram binary, block long, place int, n int, docs binary"
+ROWS = 1 << 16  # rows of a batch that goes to Spark
 
 
-def hash_bits(words: int, order: int) -> int:
-    """So many that an n-gram shares its hash with another with a chance below 2**-26, whatever the corpus."""
-    return min(64, max(1, words * order).bit_length() + 26)
-
-
-def code_words(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words, the commonest first, each word's place in them, and each text's number of words."""
+def code_words(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words, sorted, each word's place in them, and each text's number of words."""
     data = pa.array([(t or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES) for t in texts], pa.large_binary())
     lists = pc.split_pattern(data, b" ")
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    real = np.array([len(w) > 0 for w in words], bool)
-    hashes, place = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words if w], np.uint64) >> np.uint64(64 - bits), return_inverse=True)
-    code = np.zeros(len(words), np.int64)
-    code[real] = place
-    of = coded.indices.to_numpy()
-    keep = real[of]
-    common = np.argsort(-np.bincount(code[of][keep], minlength=len(hashes)), kind="stable")
-    rank = np.empty(len(hashes), np.int64)
-    rank[common] = np.arange(len(hashes))
-    hashes, code[real] = hashes[common], rank[code[real]]
+    flat = lists.flatten()
+    keep = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
     ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-    upto = np.concatenate([[0], np.cumsum(keep)])
-    return hashes, code[of][keep], np.diff(upto[np.concatenate([[0], ends])])
+    coded = flat.filter(keep).dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()], np.diff(upto[np.concatenate([[0], ends])])
 
 
-def ngrams(hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each k: sorted distinct n-grams, and by word the place of the one that ends there (-1: none)."""
+def ngrams(n_words: int, codes: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each k: an end in the text for every distinct n-gram, in one order, and by word the place in it of the n-gram that ends there (-1: none)."""
     within = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    h = hashes[codes] if len(codes) else np.empty(0, np.uint64)
-    by_hash = np.argsort(hashes)
-    place = np.empty(len(hashes), np.int64)
-    place[by_hash] = np.arange(len(hashes))
-    out, last = [(hashes[by_hash], place[codes])], h
+    _, first = np.unique(codes, return_index=True)
+    out, last = [(first, codes)], codes
     for k in range(2, order + 1):
-        longer = np.zeros(len(h), np.uint64)
-        longer[1:] = mix(last[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(k))
-        has = within >= k - 1
-        distinct, place = np.unique(longer[has] >> np.uint64(64 - bits), return_inverse=True)
-        at = np.full(len(h), -1, np.int64)
-        at[has] = place
-        out.append((distinct, at))
-        last = longer
+        ends = np.flatnonzero(within >= k - 1)
+        _, first, place = np.unique(last[ends - 1] * n_words + codes[ends], return_index=True, return_inverse=True)
+        at = np.full(len(codes), -1, np.int64)
+        at[ends] = place
+        out.append((ends[first], at))
+        last = at
     return out
 
 
-def bounds(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Where each bucket's range of hashes starts in a sorted array, and its end."""
-    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+def as_bytes(**columns) -> bytes:
+    lists = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in columns.items()}
+    batch = pa.RecordBatch.from_pydict(lists)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(data: bytes) -> dict[str, pa.Array]:
+    table = pa.ipc.open_stream(data).read_all()
+    return {c: table.column(c).combine_chunks().flatten() for c in table.column_names}
 
 
-def asker(order: int, buckets: int, bits: int):
+def asker(order: int):
+    """For each block one row with its documents as places of words, and one for each distinct n-gram."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for n, batch in enumerate(slices(batches, most=BLOCK_BYTES)):
-            block = part << 24 | n
-            hashes, codes, sizes = code_words(batch.column("text").to_pylist(), bits)
-            rows = [(buckets + block, block, 0, -1, batch.column("doc_id").to_pylist(), squeeze(hashes), squeeze(codes.astype(np.uint32)), squeeze(sizes.astype(np.uint64)))]
-            for k, (distinct, at) in enumerate(ngrams(hashes, codes, sizes, order, bits), 1):
-                counts = np.bincount(at[at >= 0], minlength=len(distinct)).astype(np.uint32)
-                cuts = bounds(distinct, buckets, bits)
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    own = slice(cuts[b], cuts[b + 1])
-                    rows.append((b, block, k, b, None, squeeze(np.diff(distinct[own], prepend=np.uint64(0))), squeeze(counts[own]), None))
-            yield as_batch(rows)
+        for number, batch in enumerate(slices(batches, most=BLOCK_BYTES)):
+            block = part << 24 | number
+            words, codes, sizes = code_words(batch.column("text").to_pylist())
+            docs = as_bytes(doc_ids=batch.column("doc_id"), codes=pa.array(codes, pa.int32()), sizes=pa.array(sizes, pa.int64()))
+            yield asked_batch(pa.array([b"\0" + block.to_bytes(8, "big")], pa.binary()), block, np.array([-1]), np.array([0]), docs)
+            start = 0
+            for k, (ends, at) in enumerate(ngrams(len(words), codes, sizes, order), 1):
+                counts = np.bincount(at[at >= 0], minlength=len(ends))
+                for i in range(0, len(ends), ROWS):
+                    some = ends[i : i + ROWS]
+                    parts = [words.take(pa.array(codes[some - j])) for j in range(k - 1, -1, -1)]
+                    grams = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if k > 1 else parts[0]
+                    yield asked_batch(grams.cast(pa.binary()), block, start + i + np.arange(len(some)), counts[i : i + ROWS], None)
+                start += len(ends)
 
     return run
 
 
-def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents pass; requests are answered when all of the partition's have come."""
-    asked: dict[tuple[int, int], list[tuple[int, bytes, bytes]]] = defaultdict(list)
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        for i in np.flatnonzero(kind > 0).tolist():
-            asked[int(kind[i]), batch.column("bucket")[i].as_py()].append((batch.column("block")[i].as_py(), batch.column("a")[i].as_py(), batch.column("b")[i].as_py()))
-        if (kind == 0).any():
-            yield batch.filter(pa.array(kind == 0))
-    for (k, bucket), rows in asked.items():
-        hashes = [np.cumsum(expand(a, np.uint64), dtype=np.uint64) for _, a, _ in rows]
-        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(place, np.concatenate([expand(c, np.uint32) for _, _, c in rows]), minlength=len(distinct)).astype(np.uint64)[place]
-        ends = np.cumsum([len(h) for h in hashes])
-        out = [(bucket, block, k, bucket, None, squeeze(totals[e - len(h) : e]), None, None) for (block, _, _), h, e in zip(rows, hashes, ends.tolist(), strict=True)]
-        for i in range(0, len(out), 256):
-            yield as_batch(out[i : i + 256])
+def asked_batch(grams: pa.Array, block: int, place: np.ndarray, n: np.ndarray, docs: bytes | None) -> pa.RecordBatch:
+    size = len(grams)
+    columns = [grams, pa.array(np.full(size, block)), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array([docs] * size, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["gram", "block", "place", "n", "docs"])
 
 
 RESULT = "doc_id long, n_words long, partial double, n_single long"
 
 
-def score_block(order: int, bits: int):
+def score_block(order: int):
     """The sums of a block's documents, but for the number of words in the corpus, which n_single terms divide by."""
 
     def run(group: pa.Table) -> pa.Table:
-        kind, bucket = group.column("kind").to_numpy(), group.column("bucket").to_numpy()
-        own = int(np.flatnonzero(kind == 0)[0])
-        field = lambda i, c: group.column(c)[i].as_py()
-        hashes, codes, sizes = expand(field(own, "a"), np.uint64), expand(field(own, "b"), np.uint32).astype(np.int64), expand(field(own, "c"), np.uint64).astype(np.int64)
+        place, total = group.column("place").to_numpy(), group.column("total").to_numpy()
+        docs = from_bytes(group.column("docs").filter(pc.is_valid(group.column("docs")))[0].as_py())
+        codes, sizes = docs["codes"].to_numpy().astype(np.int64), docs["sizes"].to_numpy()
+        asked = place >= 0
+        totals = np.full(np.count_nonzero(asked), -1, np.int64)
+        totals[place[asked]] = total[asked]
+        n_words, start = int(codes.max()) + 1 if len(codes) else 0, 0
         doc = np.repeat(np.arange(len(sizes)), sizes)
         counts = []  # of the n-gram that ends at each word, in all other documents
-        for k, (distinct, at) in enumerate(ngrams(hashes, codes, sizes, order, bits), 1):
-            rows = np.flatnonzero(kind == k)
-            totals = [expand(field(int(i), "a"), np.uint64) for i in rows[np.argsort(bucket[rows])]]
-            totals = np.concatenate(totals).astype(np.int64) if totals else np.empty(0, np.int64)
-            if len(totals) != len(distinct):
-                raise ValueError("an answer is missing")
+        for ends, at in ngrams(n_words, codes, sizes, order):
             has = at >= 0
-            _, place, here = np.unique(doc[has] * max(1, len(distinct)) + at[has], return_inverse=True, return_counts=True)
+            _, same, here = np.unique(doc[has] * max(1, len(ends)) + at[has], return_inverse=True, return_counts=True)
             c = np.zeros(len(codes), np.int64)
-            c[has] = totals[at[has]] - here[place]
+            c[has] = totals[start + at[has]] - here[same]
             counts.append(c)
+            start += len(ends)
         within = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         most = np.minimum(within + 1, order)
         single = counts[0] if len(codes) else np.zeros(0, np.int64)
@@ -183,7 +147,7 @@ def score_block(order: int, bits: int):
             backed &= ~seen
         return pa.table(
             {
-                "doc_id": pa.array(field(own, "doc_ids"), pa.int64()), "n_words": pa.array(sizes, pa.int64()),
+                "doc_id": docs["doc_ids"], "n_words": pa.array(sizes, pa.int64()),
                 "partial": pa.array(np.bincount(doc, value, minlength=len(sizes)), pa.float64()), "n_single": pa.array(np.bincount(doc, backed, minlength=len(sizes)).astype(np.int64), pa.int64()),
             }
         )
@@ -199,14 +163,15 @@ def lm_scores(docs: DataFrame, order: int = 3, bucket_bytes: int = 8 << 20) -> D
     Documents without words (null or empty texts among them) have log_score 0 and a null mean. In a
     corpus of one document nothing was ever seen, and the number of other words counts as 1. Very
     long texts are scored whole; rows that repeat a doc_id or a text are documents of their own; an
-    empty table gives no rows. The number of count buckets follows the text's bytes.
+    empty table gives no rows. The count table has one partition for each ``bucket_bytes`` of text;
+    sums, sorts and joins in it spill.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, bits = max(1, -(-total // bucket_bytes)), hash_bits(total // 2 + 1, order)  # a word takes two bytes at least
-    asked = rows.mapInArrow(asker(order, buckets, bits), SCHEMA).repartition("slot")
-    found = asked.mapInArrow(answerer, SCHEMA).groupBy("block").applyInArrow(score_block(order, bits), RESULT)
-    found = cut(found, "lm-scores")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    asked = rows.mapInArrow(asker(order), ASKED).repartition(max(1, -(-size // bucket_bytes)), "gram")
+    total = F.sum("n").over(Window.partitionBy("gram"))  # the count table, joined where it lies
+    answers = asked.select("block", "place", total.alias("total"), "docs")
+    found = cut(answers.groupBy("block").applyInArrow(score_block(order), RESULT), "lm-scores")
     all_words = found.agg(F.sum("n_words")).first()[0] or 0
     others = F.greatest(F.lit(1), F.lit(all_words) - F.col("n_words"))
     log_score = F.col("partial") - F.col("n_single") * F.log(others)

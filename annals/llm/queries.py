@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .decontaminate import contamination
@@ -35,7 +36,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"), order=3)
+    found = lm_scores(table(spark, sf_dir, "documents"), order=3)
+    return found.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,22 @@ WORDS = f"regexp_extract_all({NORMAL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SPACED = f"regexp_extract_all({NORMAL}, '[^\\x20\\x09-\\x0D]+')"
 
 SQL: dict[str, str] = {
+    "op4_lm_scores": f"""
+        with d as (select doc_id, {WORDS} as ws from documents),
+        w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
+        g as (select *, lag(w) over a as p, lag(w, 2) over a as q from w window a as (partition by doc_id order by i)),
+        c as (select doc_id, i, w,
+                     count(*) over (partition by w) - count(*) over (partition by doc_id, w) as c1,
+                     if(i > 1, count(*) over (partition by p, w) - count(*) over (partition by doc_id, p, w), 0) as c2,
+                     if(i > 2, count(*) over (partition by q, p, w) - count(*) over (partition by doc_id, q, p, w), 0) as c3 from g),
+        b as (select *, lag(c1) over a as b1, lag(c2) over a as b2 from c window a as (partition by doc_id order by i)),
+        v as (select doc_id, c2 = 0 and c3 = 0 as single,
+                     case when c3 > 0 then ln(c3 / b2) when c2 > 0 then ln(c2 / b1) + (least(i, 3) - 2) * ln(0.4)
+                          else ln(if(c1 > 0, c1, 0.4)) + (least(i, 3) - 1) * ln(0.4) end as v from b),
+        s as (select doc_id, sum(v) as v, count_if(single) as n_single from v group by doc_id),
+        n as (select doc_id, len(ws) as n_words, greatest(1, sum(len(ws)) over () - len(ws)) as others from d),
+        l as (select doc_id, n_words, coalesce(n_single, 0)::bigint as n_single, coalesce(v - n_single * ln(others), 0) as l from n left join s using (doc_id))
+        select doc_id, n_words, n_single, round(l, 4) as log_score, if(n_words > 0, round(l / n_words, 6), null) as mean_log_score from l""",
     "op9_near_dedup": f"""
         with recursive w as (select doc_id, {SPACED} as ws from documents),
         s as (select distinct doc_id, array_to_string(ws[k:k + 4], ' ') as g
