@@ -6,15 +6,18 @@ skip without missing an occurrence; where it says 0, the bucket of the block's h
 patterns that end in such a block, and comparing all their words confirms an occurrence. Many
 stretches of text advance side by side in arrays.
 
-The benchmark is cut into blocks of at most ``block_bytes`` of text by a hash of its items. Every
-block is broadcast on its own and every document meets every block, so nothing that grows with the
-benchmark has to fit anywhere whole.
+The benchmark is cut into blocks of about ``block_bytes`` of text by a hash of its items. The tables of
+each block are built once, in a task, and written to the shared folder. Every block then passes over
+the documents on its own: its tables are broadcast, each worker unpacks them once, and they are given
+up before the next block comes; what a pass finds (only documents with hits) is written down and
+merged at the end. So driver and workers hold the tables of one block, however large the benchmark.
+An item longer than block_bytes makes its block that long.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections import OrderedDict, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, slices
+from .common import alnum_words, cut, slices
 
 TABLE_BITS = 20
 LANE = 256  # places that a stretch searches
@@ -37,14 +40,14 @@ class Patterns:
     """Tables for all patterns of one length; words are numbers from 1 on, 0 is any word of no pattern."""
 
     def __init__(self, words: np.ndarray):
-        self.words, self.m = words, words.shape[1]
+        self.words, self.m = words.astype(np.int32), words.shape[1]
         self.block = min(2, self.m)
         self.shift = np.full(1 << TABLE_BITS, self.m - self.block + 1, np.uint8 if self.m < 255 else np.int32)
         for end in range(self.block, self.m + 1):
             h = self.hash_at(words, end - 1)
             np.minimum.at(self.shift, h, np.array(self.m - end, self.shift.dtype))
         last = self.hash_at(words, self.m - 1)
-        self.order = np.argsort(last, kind="stable")
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
         self.buckets, self.begin, self.size = np.unique(last[self.order], return_index=True, return_counts=True)
 
     def hash_at(self, words: np.ndarray, end: int) -> np.ndarray:
@@ -95,16 +98,20 @@ class Search:
         self.vocabulary: dict[bytes, int] = {}
         self.names = sorted({str(i) for i, _ in items if i is not None})
         number = {n: k for k, n in enumerate(self.names)}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        by_length: dict[int, tuple[list, list]] = {}
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)], np.int32)
             m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                owners[tuple(words[i : i + m])] |= {number[str(item)]} if item is not None else set()
-        by_length: dict[int, list] = defaultdict(list)
-        for p in owners:
-            by_length[len(p)].append(p)
-        self.patterns = [(Patterns(np.array(ps, np.int64)), [sorted(owners[p]) for p in ps]) for _, ps in sorted(by_length.items())]
+            if m:
+                rows, owners = by_length.setdefault(m, ([], []))
+                rows.append(np.lib.stride_tricks.sliding_window_view(words, m))
+                owners.append(np.full(len(words) - m + 1, -1 if item is None else number[str(item)]))
+        self.patterns = []
+        for m, (rows, owners) in sorted(by_length.items()):
+            distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), np.concatenate(owners)]), axis=1)
+            pairs = pairs[:, pairs[1] >= 0]
+            self.patterns.append((Patterns(distinct), np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), pairs[1]))
 
     def run(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray | None], list[set[str]]]:
         """By document: its hit words (None: none), and the items found."""
@@ -115,98 +122,140 @@ class Search:
         edge = np.zeros(len(flat) + 1, np.int64)
         items: list[set[str]] = [set() for _ in texts]
         touched: set[int] = set()
-        for patterns, owners in self.patterns:
+        for patterns, starts, owners in self.patterns:
             at, which = patterns.find(flat, begin, end)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + patterns.m, -1)
             docs = np.searchsorted(end, at, side="right")
             touched |= set(docs.tolist())
             for doc, p in set(zip(docs.tolist(), which.tolist(), strict=True)):
-                items[doc].update(self.names[o] for o in owners[p])
+                items[doc].update(self.names[o] for o in owners[starts[p] : starts[p + 1]].tolist())
         inside = np.cumsum(edge[:-1]) > 0
         return [inside[a:b] if d in touched else None for d, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True))], items
 
 
-_TABLES: OrderedDict = OrderedDict()
+_TABLES: dict[str, Search] = {}
 
 
-def tables(key: str, block, window: int) -> Search:
-    """Built once a worker; the last two stay."""
-    if (key, window) not in _TABLES:
-        _TABLES[key, window] = Search(block.value, window)
-        while len(_TABLES) > 2:
-            _TABLES.popitem(last=False)
-    _TABLES.move_to_end((key, window))
-    return _TABLES[key, window]
+def unpacked(key: str, block) -> Search:
+    """A worker holds the tables of one block."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = pickle.loads(block.value)
+    return _TABLES[key]
 
 
-SCHEMA = "n_words long, n_hit long, items array<string>, hit_words array<array<int>>"
+FOUND = "n_words long, n_hit long, items array<string>, hit_words array<array<int>>"
 
 
-def searcher(blocks: list, window: int, extra: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def spans_of(hits: np.ndarray | None) -> list[list[int]]:
+    if hits is None:
+        return []
+    step = np.diff(np.concatenate([[0], hits.astype(np.int8), [0]]))
+    return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).tolist()
+
+
+def searcher(key: str, block, extra: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Search the tables of one block; None: only count words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [alnum_words(t) for t in batch.column("text").to_pylist()]
-            hits: list[np.ndarray | None] = [None] * len(texts)
-            items: list[set[str]] = [set() for _ in texts]
-            for key, block in blocks:
-                more, names = tables(key, block, window).run(texts)
-                for i, m in enumerate(more):
-                    if m is not None:
-                        hits[i] = m if hits[i] is None else hits[i] | m
-                        items[i] |= names[i]
-            spans = []
-            for h in hits:
-                step = np.diff(np.concatenate([[0], h.astype(np.int8), [0]])) if h is not None else np.zeros(1)
-                spans.append(np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).tolist())
+            hits, items = unpacked(key, block).run(texts) if block is not None else ([None] * len(texts), [()] * len(texts))
             cols = {c: batch.column(c) for c in extra}
             cols["n_words"] = pa.array([len(t) for t in texts], pa.int64())
             cols["n_hit"] = pa.array([0 if h is None else int(h.sum()) for h in hits], pa.int64())
             cols["items"] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-            cols["hit_words"] = pa.array(spans, pa.list_(pa.list_(pa.int32())))
+            cols["hit_words"] = pa.array([spans_of(h) for h in hits], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """(key, broadcast items) of each block; the driver holds one block at a time, of about block_bytes."""
-    context = benchmark.sparkSession.sparkContext
+def builder(window: int):
+    def run(group: pa.Table) -> pa.Table:
+        items = list(zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True))
+        return pa.table({"block": group.column("block").slice(0, 1), "tables": pa.array([pickle.dumps(Search(items, window), 5)], pa.binary())})
+
+    return run
+
+
+def block_tables(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[int, DataFrame]:
+    """The number of blocks, and (block, tables) of each, built once and written down."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [(uuid.uuid4().hex, context.broadcast([(r.item_id, r.text) for r in items.filter(block == b).collect()])) for b in range(n)]
-
-
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    return n, cut(dealt.groupBy("block").applyInArrow(builder(window), "block long, tables binary"), "benchmark")
+
+
+def merge_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several blocks as disjoint spans, and the number of words in them."""
+    for batch in batches:
+        merged = []
+        for spans in batch.column("spans").to_pylist():
+            hits = np.zeros(max(b for _, b in spans), bool)
+            for a, b in spans:
+                hits[a:b] = True
+            merged.append(hits)
+        cols = {c: batch.column(c) for c in ("_k_id", "_k_hash", "items")}
+        cols["n_hit"] = pa.array([int(h.sum()) for h in merged], pa.int64())
+        cols["hit_words"] = pa.array([spans_of(h) for h in merged], pa.list_(pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_pydict(cols)
+
+
+def searched(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, carry: list[str]) -> DataFrame:
+    """The carried columns of rows (text and _k_id, which names a document, are among its columns) and FOUND."""
+    context, schema = rows.sparkSession.sparkContext, {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields}
+    n, built = block_tables(benchmark, window, block_bytes)
+
+    def passed(block: int, columns: list[str]) -> tuple[DataFrame, object]:
+        tables = built.filter(F.col("block") == block).select("tables").first()
+        send = context.broadcast(bytes(tables[0]) if tables else pickle.dumps(Search([], window)))
+        return rows.mapInArrow(searcher(uuid.uuid4().hex, send, columns), ", ".join([*(schema[c] for c in columns), FOUND])), send
+
+    if n == 1:  # nothing to merge: a map over the rows as they are read
+        return passed(0, carry)[0]
+    rows, keys = rows.withColumn("_k_hash", F.xxhash64("text")), ["_k_id", "_k_hash"]
+    schema["_k_hash"], hits = "_k_hash long", None
+    for block in range(n):
+        found, send = passed(block, keys)
+        found = cut(found.filter("n_hit > 0").dropDuplicates(keys).select(*keys, "items", "hit_words"), "hits")
+        send.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    lists = hits.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("hit_words")).alias("spans"))
+    merged = lists.mapInArrow(merge_hits, f"{schema['_k_id']}, _k_hash long, items array<string>, n_hit long, hit_words array<array<int>>")
+    merged = merged.withColumnsRenamed({c: f"_m_{c}" for c in merged.columns})
+    columns = [*dict.fromkeys([*carry, *keys])]
+    all_rows = rows.mapInArrow(searcher("", None, columns), ", ".join([*(schema[c] for c in columns), FOUND]))
+    both = all_rows.join(merged, all_rows["_k_id"].eqNullSafe(merged["_m__k_id"]) & (all_rows["_k_hash"] == merged["_m__k_hash"]), "left")
+    return both.select(*carry, "n_words", *[F.coalesce(f"_m_{c}", c).alias(c) for c in ("n_hit", "items", "hit_words")])
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids of items found, as sorted strings), hit_words ([begin, end) spans).
 
     Documents with null or empty texts or without words have no hits. Items without words match
     nothing; rows that repeat an item_id are one item; hits of items without id count, but have no
-    name. No row moves: documents are searched where they are read. Other columns are not looked at.
+    name. With one block of benchmark no row moves: documents are searched where they are read. Rows
+    that repeat a doc_id have rows of their own. Other columns are not looked at.
     """
-    blocks = item_blocks(benchmark, block_bytes)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(searcher(blocks, window, ["doc_id"]), f"doc_id {doc_type}, {SCHEMA}")
+    rows = docs.select(F.col("doc_id").alias("_k_id"), F.col("text").cast("string").alias("text"))
+    return searched(rows, benchmark, window, block_bytes, ["_k_id"]).withColumnRenamed("_k_id", "doc_id")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document; see find_benchmark."""
-    found = find_benchmark(docs, benchmark, window)
+    found = find_benchmark(docs, benchmark, window, block_bytes)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """The documents in which no window occurs, with all their columns; a map over the rows as they are read."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """The documents in which no window occurs, with all their columns; with one block of benchmark a map over the rows as they are read."""
     names = {c: f"_d_{c}" for c in docs.columns}
-    rows = docs.withColumn("text", F.col("text").cast("string")).withColumnsRenamed(names).withColumn("text", F.col("_d_text"))
-    blocks = item_blocks(benchmark, block_bytes)
-    kept = list(names.values())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
-    out = rows.mapInArrow(searcher(blocks, window, kept), f"{schema}, {SCHEMA}")
+    rows = docs.withColumnsRenamed(names).withColumn("text", F.col("_d_text").cast("string")).withColumn("_k_id", F.col("_d_doc_id"))
+    out = searched(rows, benchmark, window, block_bytes, list(names.values()))
     return out.filter("n_hit = 0").select(*[F.col(v).alias(k) for k, v in names.items()])

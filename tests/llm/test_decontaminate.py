@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from annals.llm.common import alnum_words
-from annals.llm.decontaminate import Search, contamination, find_benchmark, keep_clean
+from annals.llm.decontaminate import Search, block_tables, contamination, find_benchmark, keep_clean, searcher
 
 
 def brute(text, items, window):
@@ -47,12 +48,39 @@ def test_tables_with_nulls_and_clashing_names(spark):
     docs, items = rows(spark)
     d = spark.createDataFrame([(i, t, "a", 1) for i, t in docs], "doc_id long, text string, items string, n_hit int").repartition(3)
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    for block_bytes in (8 << 20, 100):  # one block, many blocks
+    for block_bytes in (8 << 20, 400):  # one block, several blocks
         got = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in find_benchmark(d, b, 4, block_bytes).collect())
         assert got == sorted((i, *brute(t, items, 4)[:3]) for i, t in docs)
-    clean = keep_clean(d, b, 4)
-    assert clean.columns == d.columns
-    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, t in docs if not brute(t, items, 4)[1])
+        clean = keep_clean(d, b, 4, block_bytes)
+        assert clean.columns == d.columns
+        assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, t in docs if not brute(t, items, 4)[1])
+
+
+def test_tables_are_built_once_a_block(spark):
+    """Five blocks: five tables are built, in tasks, and a worker unpacks each once, over six slices of text."""
+    docs, items = rows(spark)
+    b = spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string")
+    size = sum(len((t or "").encode()) for _, t in items)
+    n, built = block_tables(b, 4, -(-size // 5))
+    assert n == 5 and built.count() == 5
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in docs[:6]]
+    loads = []
+
+    class Sent:
+        def __init__(self, data):
+            self.data = data
+
+        @property
+        def value(self):
+            loads.append(1)
+            return self.data
+
+    hit = [set() for _ in batches]
+    for r in built.collect():
+        for i, out in enumerate(searcher(f"t{r.block}", Sent(bytes(r.tables)), ["doc_id"])(iter(batches))):
+            hit[i] |= {w for a, z in out.column("hit_words").to_pylist()[0] for w in range(a, z)}
+    assert len(loads) == 5
+    assert hit == [brute(t, [(str(i), x) for i, x in items], 4)[3] for _, t in docs[:6]]
 
 
 def test_empty_tables(spark):
