@@ -20,20 +20,26 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) is a temporary folder taken.
+    Only where the session has none and runs on one machine (tests) is a temporary folder taken;
+    on a cluster, whose machines don't share such folders, the setting is required.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="annals-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that later jobs
-    neither recompute it nor depend on executors that may be lost. Returns the table read back."""
+    neither recompute it nor depend on executors that may be lost. Returns the table read back.
+
+    Results are lazy and read these tables, so they stay until whoever set the folder clears it.
+    """
     path = f"{shared_dir(df.sparkSession)}/annals/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 from .tokens import default_path, encoder, with_end
 
 MIN_CUT = 16
@@ -99,6 +99,7 @@ def pack_group(lengths: list[int], capacity: int = 2048) -> list[list[tuple[int,
     return out
 
 
+GROUPS_OF_TASK = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -128,18 +129,37 @@ def packer(path: str, end_id: int, capacity: int, ids: bool) -> Callable[[pa.Tab
     return run
 
 
+def copies_apart(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text) with a column _copy that numbers rows which repeat both.
+
+    Repeated rows are counted before they move, so that however many there are no task gathers them.
+    """
+    keyed = rows.withColumn("_hash", F.xxhash64("text"))
+    repeated = keyed.groupBy("doc_id", "_hash").count().filter("count > 1").select(F.col("doc_id").alias("_r_id"), F.col("_hash").alias("_r_hash"))
+    if repeated.isEmpty():
+        return rows.withColumn("_copy", F.lit(1).cast("long"))
+    repeated = cut(repeated, "repeated")
+    same = keyed["doc_id"].eqNullSafe(repeated["_r_id"]) & (keyed["_hash"] == repeated["_r_hash"])
+    many = keyed.join(repeated, same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    once = keyed.join(repeated, same, "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("_copy"))
+    return once.union(many.select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_copy")))
+
+
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 2048, group_docs: int = 1024, seed: int = 17, ids: bool = False
+    docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 2048, group_bytes: int = 2 << 20, seed: int = 17, ids: bool = False
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with ids also its ids, little-endian.
 
-    A document is its text's ids and then end_id. Null and empty texts are end_id alone; null
-    doc_ids and rows that repeat a doc_id are documents like others; ties in length go by doc_id and
-    text; very long texts become full sequences and a rest; an empty table gives no rows. Other
-    columns are not looked at.
+    A document is its text's ids and then end_id. Groups have about ``group_bytes`` of text; a longer
+    document makes its group that long. Null and empty texts are end_id alone; null doc_ids and rows
+    that repeat a doc_id are documents like others; ties in length go by doc_id and text; very long
+    texts become full sequences and a rest; an empty table gives no rows. Other columns are not
+    looked at.
     """
-    groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "_copy"), F.lit(groups))
+    dealt = copies_apart(rows).select("doc_id", "text", group.alias("_group")).repartition(-(-groups // GROUPS_OF_TASK), "_group")
     run = packer(tokenizer or default_path(), end_id, capacity, ids)
-    return rows.groupBy("_group").applyInArrow(run, SCHEMA + (", ids binary" if ids else ""))
+    return dealt.groupBy("_group").applyInArrow(run, SCHEMA + (", ids binary" if ids else ""))

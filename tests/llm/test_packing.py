@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from annals.llm.packing import first_fit_decreasing, pack_documents, pack_group
 from annals.llm.tokens import Encoder, default_path
@@ -45,7 +46,7 @@ def test_pieces_of_a_table(spark):
     enc = Encoder(default_path())
     rows = [(1, "the end."), (2, None), (3, ""), (None, "x y"), (1, "the end."), (7, "wide " * 9000)] + [(i, f"text {i} " * (i % 90)) for i in range(10, 300)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int").repartition(3)
-    got = pack_documents(docs, group_docs=64, ids=True).collect()
+    got = pack_documents(docs, group_bytes=20000, ids=True).collect()
     want = defaultdict(int)
     for i, t in rows:
         want[i, np.array([*enc.tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()] += 1
@@ -66,5 +67,14 @@ def test_pieces_of_a_table(spark):
     assert sum(r.length for r in got) == sum(len(k[1]) // 4 * n for k, n in want.items())
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    """Half of all rows repeat one doc_id and text; no group holds more than its share of them."""
+    docs = spark.range(600).selectExpr("if(id % 2 = 0, -1, id) as doc_id", "if(id % 2 = 0, 'the same words again and again', concat('own ', id)) as text").repartition(4)
+    got = pack_documents(docs, group_bytes=2000, capacity=64)
+    assert got.filter("doc_id = -1 and start = 0").count() == 300
+    by_group = got.filter("doc_id = -1").groupBy((F.col("sequence_id") / (1 << 24)).cast("int")).agg(F.countDistinct("sequence_id", "offset").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert by_group[0] < 120 and by_group[1] > 3
+
+
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -56,3 +56,18 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_repeated_rows_and_extra_columns(spark, tmp_path):
+    rows, items = make(spark, tmp_path / "whole")
+    some = [r for r in rows if r[0] < 60]
+    some += [(None, rows[0][1] + " x", "en"), (None, rows[0][1] + " x", "en"), (7, rows[7][1], "de"), (8, None, None), (None, None, None), (9, rows[9][1] + " once more", "de")]
+    docs = spark.createDataFrame([(i, t, x, "src", 1, "k", 2) for i, t, x in some], COLUMNS + ", cls string, `_n` int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[-2:] == ["cls", "_n"]
+    kept = [r.doc_id for r in docs.collect()]
+    assert sorted(kept) == list(range(60))  # null ids were near copies, repeated rows stay once
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(60))

@@ -14,6 +14,41 @@ def test_linear_time_form_is_the_pairwise_sum():
         assert abs(m.scores([(p, v)])[0] - want) < 1e-9
 
 
+def test_training_is_plain_adagrad():
+    """Machine.fit against a loop over documents, features and pairs."""
+    rng = np.random.default_rng(4)
+    docs = [features(" ".join(rng.choice(["good", "bad", "page", "click", "sea", "x"], 12)), None) for _ in range(40)]
+    y = rng.integers(0, 2, 40).astype(float)
+    got = Machine.blank().fit(docs, y, epochs=2)
+    m = Machine.blank()
+    stats = np.array([v[-len(STATS) :] for _, v in docs])
+    m.mean, m.std = stats.mean(axis=0), stats.std(axis=0) + 1e-6
+    scaled = [(p, m.scale(p, v)) for p, v in docs]
+    order_of, gw, gv, g0 = np.random.default_rng(11), np.full(DIM, 1e-6), np.full((DIM, RANK), 1e-6), 1e-6
+    for _ in range(2):
+        order = order_of.permutation(40)
+        for i in range(0, 40, 32):
+            of, dw, dv, d0 = order[i : i + 32], {}, {}, 0.0
+            for j in of:
+                p, x = scaled[j]
+                pairs = sum(m.v[p[a]] @ m.v[p[b]] * x[a] * x[b] for a in range(len(p)) for b in range(a))
+                err = (1 / (1 + np.exp(-(m.w0 + m.w[p] @ x + pairs))) - y[j]) / len(of)
+                d0 += err
+                for a in range(len(p)):
+                    dw[p[a]] = dw.get(p[a], 0) + err * x[a]
+                    dv[p[a]] = dv.get(p[a], 0) + err * x[a] * sum(m.v[p[b]] * x[b] for b in range(len(p)) if b != a)
+            w, v = m.w.copy(), m.v.copy()
+            for f in dw:
+                g, gs = dw[f] + 1e-5 * w[f], dv[f] + 1e-5 * v[f]
+                gw[f] += g**2
+                gv[f] += gs**2
+                m.w[f] -= 0.1 * g / np.sqrt(gw[f])
+                m.v[f] -= 0.05 * gs / np.sqrt(gv[f])
+            g0 += d0**2
+            m.w0 -= 0.1 * d0 / np.sqrt(g0)
+    assert np.allclose(got.w, m.w, atol=1e-6) and np.allclose(got.v, m.v, atol=1e-6) and abs(got.w0 - m.w0) < 1e-6
+
+
 def test_given_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_scores(docs, labels)

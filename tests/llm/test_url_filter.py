@@ -3,7 +3,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from annals.llm.url_filter import BITS, RULES, SIZES, labelled_sample, train, url_verdicts
+from annals.llm.url_filter import BITS, RULES, SIZES, judge, labelled_sample, train, url_verdicts
 
 URLS = [
     None, "", "no scheme/org/", "http://Example.ORG/es/1?x#y", "https://a.example.org/en/19", "https://a.example.org/en/2", "ftp://b.com/fr/", "http://b.com/frx", "http://com/de/", "http://notcom/de/",
@@ -84,3 +84,15 @@ def test_learns_what_rules_say(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = url_verdicts(pages).filter("rule is not null").collect()
     assert np.mean([(r.score >= 0.5) == (r.verdict == "allow") for r in rows]) > 0.8
+
+
+def test_model_holds_on_urls_it_has_not_seen(spark):
+    """A third of the labelled URLs, by hash, stays out of the training; they are judged by the model alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    third = F.pmod(F.xxhash64(F.lit(3), "host", "path"), F.lit(3)) == 0
+    labelled = labelled_sample(pages)
+    held = labelled.filter(third).select(F.col("host").alias("h"), F.col("path").alias("p"), "label")
+    urls = held.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("x://"), "h", "p").alias("url"))
+    got = judge(urls, train(labelled.filter(~third)), rules=(("no.such.host/", True),)).join(held, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p"))).collect()
+    assert len(got) > 300 and all(r.rule is None for r in got)
+    assert np.mean([(r.verdict == "allow") == (r.label == 1) for r in got]) > 0.8
