@@ -162,9 +162,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, t: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, t: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures collide in t coordinates and whose full sets are similar enough."""
-    sig = classes.select("cls", "sig", "n_shingles")
+    sig = sets.select("cls", "sig", "n_shingles")
     sized = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a").join(
         sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b"
     )
@@ -252,7 +252,7 @@ def scan_block(t: int, percent: int, k: int, bits: int):
 def hub_blocks(sets: DataFrame, rows: DataFrame, block_rows: int, block_hashes: int) -> DataFrame:
     """(hub, xb, yb, role, cls, label, hashes): the members of the lists of each hub, dealt into blocks that meet in pairs."""
     hub = rows.groupBy("item").agg(F.min_by("cls", F.struct("own", "cls")).alias("hub"))
-    members = rows.join(hub, "item").select("hub", "cls", "label").distinct().join(sets.select("cls", F.size("hashes").alias("n")), "cls")
+    members = rows.join(hub, "item").select("hub", "cls", "label").distinct().join(sets.select("cls", F.col("n_shingles").alias("n")), "cls")
     parts = members.groupBy("hub", "label").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
     sizes = parts.groupBy("hub").agg(F.sum("n").alias("all"), F.sum("rows").alias("all_rows"), F.max_by(F.struct("label", "n", "rows"), F.struct("n", "label")).alias("top"))
     members = cut(members.join(sizes, "hub"), "members")
@@ -262,17 +262,17 @@ def hub_blocks(sets: DataFrame, rows: DataFrame, block_rows: int, block_hashes:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     xs = members.filter("label <> top.label").select("hub", of(x_blocks).alias("xb"), every(y_blocks).alias("yb"), F.lit(0).alias("role"), "cls", "label")
     ys = members.select("hub", every(x_blocks).alias("xb"), of(y_blocks).alias("yb"), F.lit(1).alias("role"), "cls", "label")
-    return xs.union(ys).join(sets, "cls")
+    return xs.union(ys).join(sets.select("cls", "hashes"), "cls")
 
 
-def link_classes(classes: DataFrame, sets: DataFrame, posts: DataFrame, t: int, percent: int, k: int, bits: int, block_rows: int, block_hashes: int) -> DataFrame:
+def link_classes(sets: DataFrame, posts: DataFrame, t: int, percent: int, k: int, bits: int, block_rows: int, block_hashes: int) -> DataFrame:
     """(node, label) of every class that is linked with another."""
-    links = confirmed(hub_pairs(posts), classes, sets, t, percent)
+    links = confirmed(hub_pairs(posts), sets, t, percent)
     labels = cut(components(links), "labels")
     rows = unsettled(posts, labels)
     if rows.isEmpty():
         return labels
-    more = confirmed(second_pairs(rows), classes, sets, t, percent)
+    more = confirmed(second_pairs(rows), sets, t, percent)
     if not more.isEmpty():
         links = links.union(more)
         labels = cut(components(links), "labels")
@@ -292,11 +292,12 @@ def components_of_classes(docs: DataFrame, size: int, percent: int, k: int = K,
     classes = cut(found.withColumn("cls", F.monotonically_increasing_id()), "classes")  # written down, so that the numbers stay
     posts = cut(prefixes(classes, k, t), "postings")
     # full sets are made again for the classes that anyone may link with, each from one of its documents
-    wanted = cut(posts.select("cls").distinct().join(classes.select("cls", "best.doc_id", "best.text_hash", "d1", "d2", "n_shingles"), "cls"), "wanted")
+    wanted = cut(posts.select("cls").distinct().join(classes.select("cls", "best.doc_id", "best.text_hash", "d1", "d2", "n_shingles", "sig"), "cls"), "wanted")
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
     made = rows.join(wanted, same, "left_semi").select("text").mapInArrow(with_digest(size), "d1 long, d2 long, n_shingles long, hashes array<long>")
-    sets = cut(made.join(wanted.select("cls", "d1", "d2", "n_shingles"), ["d1", "d2", "n_shingles"]).select("cls", "hashes").dropDuplicates(["cls"]), "sets")
-    labels = link_classes(classes, sets, posts, t, percent, k, bits, block_rows, block_hashes)
+    sets = made.join(wanted.select("cls", "d1", "d2", "n_shingles", "sig"), ["d1", "d2", "n_shingles"])
+    sets = cut(sets.select("cls", "hashes", "sig", "n_shingles").dropDuplicates(["cls"]), "sets")
+    labels = link_classes(sets, posts, t, percent, k, bits, block_rows, block_hashes)
     named = classes.join(labels, classes["cls"] == labels["node"], "left").select("d1", "d2", "n_shingles", "best", F.coalesce("label", "cls").alias("label"))
     firsts = named.groupBy("label").agg(F.min(F.struct("best.no_id", "best.doc_id", "best.text_hash", "d1", "d2")).alias("first"))
     return signed, cut(named.join(firsts, "label").select("d1", "d2", "n_shingles", "first"), "components")

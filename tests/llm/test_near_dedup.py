@@ -90,7 +90,7 @@ def test_narrow_coordinates_do_not_chain(spark):
     classes = signed.withColumn("cls", F.col("doc_id")).select("cls", "n_shingles", "sig").cache()
     t = least_collisions(64, 85)
     posts = prefixes(classes, 64, t)
-    sets = docs.select("text").mapInArrow(with_digest(5), "d1 long, d2 long, n_shingles long, hashes array<long>").join(signed.select("d1", "d2", F.col("doc_id").alias("cls")), ["d1", "d2"]).select("cls", "hashes")
+    sets = docs.select("text").mapInArrow(with_digest(5), "d1 long, d2 long, n_shingles long, hashes array<long>").join(signed.select("d1", "d2", F.col("doc_id").alias("cls")), ["d1", "d2"]).select("cls", "hashes", F.size("hashes").alias("n_shingles"))
     rows_of_lists = posts.withColumn("label", F.col("cls"))
     largest = hub_blocks(sets, rows_of_lists, 64, 1 << 19).groupBy("hub", "xb", "yb").count().agg(F.max("count")).first()[0]
     whole = hub_blocks(sets, rows_of_lists, 1 << 30, 1 << 40).filter("role = 1").groupBy("hub").count().agg(F.max("count")).first()[0]
