@@ -1,34 +1,62 @@
-"""Place labels and the gazetteer. The gazetteer is a rule table of bounded size, so it compiles to expressions."""
+"""Place labels and the gazetteer, a rule table of bounded size that travels as one constant."""
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from annals import rules
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def plain(name: str) -> str:
+    """Without accents, long dashes as hyphens."""
+    return "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c)).replace("–", "-")
+
+
+@cache
+def gazetteer() -> list[tuple[str, float, float, int]]:
+    """(name, latitude, longitude, 1 for a locality) of all names, in order, with and without accents."""
+    rows = [(n, lat, lon, 1) for names, lat, lon in rules.GAZETTEER for n in names.split("|")] + [(*r, 0) for r in rules.REALMS]
+    both = [(n, *r[1:]) for r in rows for n in (r[0], plain(r[0]))]
+    return list({r[0]: r for r in reversed(both)}.values())[::-1]
+
 
 def clean_label(surface: Column) -> Column:
     return F.regexp_replace(F.trim(surface), r"\.+$", "")
 
 
-def coordinate(label: Column, value: int) -> Column:
-    """Latitude (1) or longitude (2) of an exact gazetteer name; null without one."""
-    table = F.create_map(*[F.lit(x) for g in rules.GAZETTEER for x in (g[0], g[value])])
-    return F.try_element_at(table, F.lower(label))
+def coordinates(label: Column) -> Column:
+    """struct(lat, lon) of an exact gazetteer name; null without one."""
+    table = json.dumps({n: {"lat": lat, "lon": lon} for n, lat, lon, _ in gazetteer()}, ensure_ascii=False)
+    return F.try_element_at(F.from_json(F.lit(table), "map<string, struct<lat: double, lon: double>>"), F.lower(label))
+
+
+def title_case(name: str) -> str:
+    """Parts between blanks and hyphens with a capital; hyphens between all if there is one."""
+    return ("-" if "-" in name else " ").join(p[:1].upper() + p[1:] for p in name.replace("-", " ").split(" "))
+
+
+def best_in_text(text: Column, value: str = "name") -> Column:
+    """The best gazetteer name whose first occurrence in text stands alone: localities before realms, then the longest (in bytes), then list order.
+
+    value: ``name``, or ``title`` for the name in title case. Only A-Z are lower-cased.
+    """
+    rows = [{"locality": loc, "size": len(n.encode()), "place": -i, "name": n, "title": title_case(n)} for i, (n, _, _, loc) in enumerate(gazetteer())]
+    schema = "array<struct<locality: int, size: int, place: int, name: string, title: string>>"
+    low = F.translate(text, UPPER, LOWER)
 
+    def alone(g: Column) -> Column:
+        at = F.instr(low, g["name"])
+        word = lambda c: F.coalesce(c.rlike("^[a-z0-9]$"), F.lit(False))
+        return (at > 0) & ~((at > 1) & word(F.substring(low, at - 1, F.lit(1)))) & ~word(F.substring(low, at + F.length(g["name"]), F.lit(1)))
 
-def best_in_text(text: Column) -> Column:
-    """The best gazetteer name whose first occurrence in text stands alone: localities before realms, then the longest, then list order."""
-    low = F.lower(text)
-    hits = []
-    for i, (name, _, _, locality) in enumerate(rules.GAZETTEER):
-        at = F.instr(low, name)
-        alone = lambda c: ~F.coalesce(c.rlike("^[a-z0-9]$"), F.lit(False))
-        before, after = F.substring(low, at - 1, F.lit(1)), F.substring(low, at + len(name), F.lit(1))
-        fits = (at > 0) & ((at == 1) | alone(before)) & alone(after)
-        hits.append(F.when(fits, F.struct(F.lit(int(locality)).alias("locality"), F.lit(len(name)).alias("size"), F.lit(-i).alias("place"), F.lit(name).alias("name"))))
-    return F.array_max(F.array_compact(F.array(*hits)))["name"]
+    return F.array_max(F.filter(F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema), alone))[value]
 
 
 MONTHS = "january february march april may june july august september october november december".split()
@@ -56,7 +84,7 @@ TITLE_STARTS = "battle of |siege of |treaty of |treaties of |bataille de |siège
 
 def resolve_alias(label: Column) -> Column:
     """The gazetteer name of a label: itself, without a qualifier in brackets, or the left or right part of a compound; else null."""
-    names = F.array(*[F.lit(g[0]) for g in rules.GAZETTEER])
+    names = F.from_json(F.lit(json.dumps([g[0] for g in gazetteer()], ensure_ascii=False)), "array<string>")
     known = lambda c: F.when(F.array_contains(names, c), c)
     key = F.lower(F.trim(label))
     tries = [known(key), known(F.trim(F.substring_index(key, "(", 1)))]

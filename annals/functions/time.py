@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 def parse_year(surface: Column) -> Column:
     """The year of a time surface: up to 4 digits in all; 1000 to 2100, or 1 to 4000 with BC (negative); else null."""
-    s = F.regexp_replace(F.trim(surface), r"\.+$", "")
-    low, digits = F.lower(s), F.regexp_replace(s, "[^0-9]", "")
-    n = F.expr("try_cast(null as int)")
-    n = F.when(F.length(digits).between(1, 4), digits.cast("int")).otherwise(n)
+    low, digits = F.lower(surface), F.regexp_replace(surface, "[^0-9]", "")
+    n = F.when(F.length(digits).between(1, 4), digits.cast("int"))
     bc = F.contains(low, F.lit("bc")) | F.contains(low, F.lit("b.c"))
     return F.when(bc, F.when(n.between(1, 4000), -n)).when((F.length(digits) == 4) & n.between(1000, 2100), n)
 

@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annals import rules
 from annals.functions.classify import first_rule, has_any, has_word
-from annals.functions.place import clean_label, coordinate
+from annals.functions.place import clean_label, coordinates
 from annals.functions.time import parse_year
 
 
-def category(verb: Column, sentence: Column) -> Column:
-    """struct(event_type, label, family): anecdotes, commemorations, the verb, cues of the sentence, else a life event."""
-    verb, sentence = F.lower(F.trim(F.coalesce(verb, F.lit("")))), F.lower(sentence)
-    made = lambda t, label, family: F.struct(F.lit(t).alias("event_type"), label.alias("label"), F.lit(family).alias("family"))
-    of = lambda rule: made(rule[1], F.lit(rule[2]), rule[3] if len(rule) > 3 else "legacy")
-    anecdote = verb.isin("anecdoted", "anecdote") | has_any(sentence, rules.ANECDOTE_CUES)
-    return F.when(anecdote, made("anecdote", F.lit("anecdote"), "anecdote")).otherwise(
-        F.coalesce(
-            first_rule(rules.COMMEMORATIVE, lambda p: has_any(sentence, p), of),
-            first_rule(rules.VERBS, lambda p: has_word(verb, p), of),
-            first_rule(rules.SENTENCE_CUES, lambda p: has_any(sentence, p), of),
-            made("life_event", F.when(verb == "", "associated").otherwise(verb), "other"),
-        )
-    )
+#: What the rules of ``category`` say, in the order in which they are tried: (event type, label, family).
+CATEGORIES = [
+    ("anecdote", "anecdote", "anecdote"),
+    *[(r[1], r[2], "legacy") for r in rules.COMMEMORATIVE],
+    ("life_event", "grieved", "bio"),
+    *[r[1:] for r in rules.VERBS],
+    *[r[1:] for r in rules.SENTENCE_CUES],
+]
+
+
+def stands_alone(text: Column, words: list[str]) -> Column:
+    """Whether the first occurrence of one of the words stands between other characters than a-z and 0-9."""
+    one = lambda w: f"(?:(?!{w}).)*+(?<![a-z0-9]){w}(?![a-z0-9])"
+    return F.coalesce(text.rlike(f"(?s)^(?:{'|'.join(one(re.escape(w)) for w in words)})"), F.lit(False))
+
+
+def others_death(verb: Column, sentence: Column, person: Column) -> Column:
+    """Whether a death that the verb or sentence tells of is not the person's: somebody's relative died, or "'s death" is said, and
+    neither the person's name nor its last word (of three bytes or more) dies. All in lower case."""
+    last = F.regexp_extract(person, r"(\S+)$", 1)
+    said = lambda a: has(sentence, a, " died") | has(sentence, a, " drowned") | F.contains(sentence, F.concat(F.lit("death of "), a)) | has(sentence, a, "'s death")
+    has = lambda text, a, tail: F.contains(text, F.concat(a, F.lit(tail)))
+    own = said(person) | ((F.octet_length(last) >= 3) & said(last))
+    told = has_word(verb, ["died", "death"]) | has_any(sentence, ["drowned", " died", "'s death"])
+    other = has_any(sentence, ["'s death"]) | (has_any(sentence, rules.DEATH_CUES) & stands_alone(sentence, rules.RELATIVES))
+    return F.coalesce(told & other & ~own, F.lit(False))
+
 
+def category(verb: Column, sentence: Column, person: Column) -> Column:
+    """The place in CATEGORIES: anecdotes, commemorations, another's death, the verb, cues of the sentence; -1 for none of them.
 
-def epistemic_status(sentence: Column, family: Column) -> Column:
-    low = F.lower(sentence)
+    A number and no struct, so that the tests of a row run once, whatever is read from it. All in lower case.
+    """
+    tests = [verb.isin("anecdoted", "anecdote") | has_any(sentence, rules.ANECDOTE_CUES)]
+    tests += [has_any(sentence, r[0]) for r in rules.COMMEMORATIVE]
+    tests += [others_death(verb, sentence, person)]
+    tests += [has_word(verb, r[0]) for r in rules.VERBS]
+    tests += [has_any(sentence, r[0]) for r in rules.SENTENCE_CUES]
+    out = F.when(tests[0], 0)
+    for i, test in enumerate(tests[1:], 1):
+        out = out.when(test, i)
+    return out.otherwise(-1)
+
+
+def epistemic_status(low: Column, family: Column) -> Column:
+    """How sure a sentence in lower case is."""
     return (
         F.when(has_any(low, rules.RUMOR), "rumor")
         .when(has_any(low, rules.THEORY), "theory")
@@ -43,40 +73,39 @@ def judge(candidates: DataFrame) -> DataFrame:
     """Adds to candidates (person, verb, time_surface, place_surface, sentence): year, event_type, verb_label, family,
     status, score (hundredths), verdict, place_label, lat, lon, map_eligible, title.
 
-    A missing time or place (score 10) or a time without a year (20) is rejected.
+    A missing time or place (score 10) or a time without a year (20) is rejected. The others start from 75 and lose
+    8 at most, so they all reach the 55 that acceptance takes: the verdict needs none of the rules.
     """
-    c = candidates.withColumns(
-        {
-            "year": parse_year(F.col("time_surface")),
-            "category": category(F.col("verb"), F.col("sentence")),
-            "place_label": clean_label(F.col("place_surface")),
-        }
-    )
-    c = c.withColumns({"event_type": F.col("category.event_type"), "verb_label": F.col("category.label"), "family": F.col("category.family")}).drop("category")
-    c = c.withColumns({"lat": coordinate(F.col("place_label"), 1), "lon": coordinate(F.col("place_label"), 2), "found_status": epistemic_status(F.col("sentence"), F.col("family"))})
-    c = c.withColumn("on_map", F.col("lat").isNotNull())
-    has_verb = F.trim(F.coalesce("verb", F.lit(""))) != ""
+    missing = (F.trim(F.coalesce("time_surface", F.lit(""))) == "") | (F.trim(F.coalesce("place_surface", F.lit(""))) == "")
+    c = candidates.withColumns({"year": parse_year(F.col("time_surface")), "place_label": clean_label(F.col("place_surface")), "_missing": missing})
+    c = c.withColumns({"verdict": F.when(F.col("_missing") | F.col("year").isNull(), "reject").otherwise("accept"), "_at": coordinates(F.col("place_label"))})
+    # columns of their own, so that they are made once and not for each rule
+    c = c.withColumns({"_v": F.lower(F.trim(F.coalesce("verb", F.lit("")))), "_s": F.lower("sentence"), "_p": F.lower(F.trim("person"))})
+    c = c.withColumn("_rule", category(F.col("_v"), F.col("_s"), F.col("_p")))
+    of = lambda k: F.try_element_at(F.array(*[F.lit(x[k]) for x in CATEGORIES]), F.col("_rule") + 1)
+    verb = F.col("_v")
+    named = F.when(F.col("_rule") >= 0, of(1)).when(verb == "", "associated").otherwise(verb)
+    c = c.withColumns({"_type": F.when(F.col("_rule") >= 0, of(0)).otherwise("life_event"), "verb_label": named, "family": F.when(F.col("_rule") >= 0, of(2)).otherwise("other")})
+    c = c.withColumns({"lat": F.col("_at.lat"), "lon": F.col("_at.lon"), "_status": epistemic_status(F.col("_s"), F.col("family"))})
+    yes, status = F.col("verdict") == "accept", F.col("_status")
     points = (
         F.lit(35 + 25 + 15)
-        + F.when(F.col("on_map"), 10).otherwise(0)
-        + F.when(F.col("family") != "other", 15).when(has_verb, 8).otherwise(0)
+        + F.when(F.col("lat").isNotNull(), 10).otherwise(0)
+        + F.when(F.col("family") != "other", 15).when(verb != "", 8).otherwise(0)
         + F.when(F.octet_length(F.trim("person")) >= 3, 5).otherwise(0)
     )
-    status = F.col("found_status")
-    points = F.when(status.isin("rumor", "theory"), F.greatest(points - 5, F.lit(55))).when(status == "uncertain", F.greatest(points - 8, F.lit(55))).when(status == "established", F.least(points + 5, F.lit(100))).otherwise(points)
-    missing = (F.trim(F.coalesce("time_surface", F.lit(""))) == "") | (F.trim(F.coalesce("place_surface", F.lit(""))) == "")
-    score = F.when(missing, 10).when(F.col("year").isNull(), 20).otherwise(F.least(points, F.lit(100)))
-    c = c.withColumn("score", score.cast("int")).withColumn("verdict", F.when(F.col("score") >= 55, "accept").otherwise("reject"))
-    yes = F.col("verdict") == "accept"
+    less = F.when(status.isin("rumor", "theory"), -5).when(status == "uncertain", -8).when(status == "established", 5).otherwise(0)
+    score = F.when(F.col("_missing"), 10).when(F.col("year").isNull(), 20).otherwise(F.least(points + less, F.lit(100)))
     title = F.concat(F.trim("person"), F.lit(" "), F.col("verb_label"), F.lit(" in "), F.col("place_label"), F.lit(" ("), F.regexp_replace(F.trim("time_surface"), r"\.+$", ""), F.lit(")"))
     return c.withColumns(
         {
-            "event_type": F.when(yes, F.col("event_type")).otherwise("life_event"),
+            "score": score.cast("int"),
+            "event_type": F.when(yes, F.col("_type")).otherwise("life_event"),
             "status": F.when(yes, status).otherwise("uncertain"),
-            "map_eligible": yes & F.col("on_map"),
+            "map_eligible": yes & F.col("lat").isNotNull(),
             "title": F.when(yes, title).otherwise(F.col("person")),
         }
-    ).drop("found_status", "on_map")
+    ).drop("_missing", "_at", "_rule", "_type", "_status", "_v", "_s", "_p")
 
 
 def claim_class(text: Column, value: int) -> Column:

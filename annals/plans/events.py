@@ -105,7 +105,7 @@ def place_plausible(spark, sf_dir):
 
 BEST = " ".join(
     f"when instr(s, {o.q(n)}) > 0 and (instr(s, {o.q(n)}) = 1 or not regexp_matches(s[instr(s, {o.q(n)}) - 1], '^[a-z0-9]$')) and not regexp_matches(s[instr(s, {o.q(n)}) + {len(n)}], '^[a-z0-9]$') then {o.q(n)}"
-    for n, _, _, _ in sorted(rules.GAZETTEER, key=lambda g: (not g[3], -len(g[0]), rules.GAZETTEER.index(g)))
+    for n, _, _, _ in sorted(place.gazetteer(), key=lambda g: (-g[3], -len(g[0].encode()), place.gazetteer().index(g)))
 )
 
 

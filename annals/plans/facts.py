@@ -124,9 +124,9 @@ LABEL = "case event_id % 6 when 0 then place_surface when 1 then place_surface |
 
 
 def resolved(key: str) -> str:
-    from annals import rules
+    from annals.functions.place import gazetteer
 
-    known = lambda c: f"case when {c} in ({', '.join(o.q(g[0]) for g in rules.GAZETTEER)}) then {c} end"
+    known = lambda c: f"case when {c} in ({', '.join(o.q(g[0]) for g in gazetteer())}) then {c} end"
     tries = [known(key), known(f"trim(string_split({key}, '(')[1])")]
     for s in ["–", "-", "/", ","]:
         at = f"instr({key}, '{s}')"

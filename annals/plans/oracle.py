@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from annals import rules
+from annals.functions.place import gazetteer
 
 
 def q(s: object) -> str:
@@ -21,11 +22,26 @@ def first(table, test, value: int) -> str:
     return "case " + " ".join(f"when {test(r[0])} then {q(r[value])}" for r in table) + " end"
 
 
+def stands_alone(low: str, word: str) -> str:
+    """Whether the first occurrence of word stands between other characters than a-z and 0-9."""
+    at = f"instr({low}, {q(word)})"
+    return f"({at} > 0 and ({at} = 1 or not regexp_matches({low}[{at} - 1], '^[a-z0-9]$')) and not regexp_matches({low}[{at} + {len(word)}], '^[a-z0-9]$'))"
+
+
+def others_death(verb: str = "v", low: str = "s", person: str = "lower(trim(person))") -> str:
+    last = f"regexp_extract({person}, '(\\S+)$', 1)"
+    said = lambda a: " or ".join(f"contains({low}, {x})" for x in (f"{a} || ' died'", f"{a} || ' drowned'", f"'death of ' || {a}", f"{a} || '''s death'"))
+    own = f"({said(person)} or (strlen({last}) >= 3 and ({said(last)})))"
+    relative = " or ".join(stands_alone(low, r) for r in rules.RELATIVES)
+    spoken = f"({word_of(verb, ['died', 'death'])} or {any_of(low, ['drowned', ' died', chr(39) + 's death'])})"
+    return f"({spoken} and not {own} and (contains({low}, '''s death') or (({relative}) and {any_of(low, rules.DEATH_CUES)})))"
+
+
 def category(value: int, verb: str = "v", low: str = "s") -> str:
     memory = [(*r, "legacy") for r in rules.COMMEMORATIVE]
     other = ("'life_event'", f"case when {verb} = '' then 'associated' else {verb} end", "'other'")[value - 1]
     return f"""case when {verb} in ('anecdoted', 'anecdote') or {any_of(low, rules.ANECDOTE_CUES)} then 'anecdote' else coalesce(
-        {first(memory, lambda p: any_of(low, p), value)}, {first(rules.VERBS, lambda p: word_of(verb, p), value)},
+        {first(memory, lambda p: any_of(low, p), value)}, case when {others_death(verb, low)} then {q(("life_event", "grieved", "bio")[value - 1])} end, {first(rules.VERBS, lambda p: word_of(verb, p), value)},
         {first(rules.SENTENCE_CUES, lambda p: any_of(low, p), value)}, {other}) end"""
 
 
@@ -39,7 +55,7 @@ def year(col: str) -> str:
 
 
 def coordinate(col: str, value: int) -> str:
-    return "case lower(" + col + ") " + " ".join(f"when {q(g[0])} then {g[value]}" for g in rules.GAZETTEER) + " end"
+    return "case lower(" + col + ") " + " ".join(f"when {q(g[0])} then {g[value]}" for g in gazetteer()) + " end"
 
 
 def normal(col: str) -> str:

@@ -9,6 +9,7 @@ VERBS = [
     ("born", "was born"), ("died", "died"), ("married", "married"), ("studied", "studied"), ("fought", "fought at the battle of"), ("signed", "signed the treaty of"),
     ("visited", "visited"), ("exiled", "was exiled"), ("crowned", "was crowned"), ("published", "published a theory"), ("", "was seen"), ("associated", "is said to have stayed"),
     ("unveiled", "has a statue"), ("re-elected", "was re-elected"), ("anecdote", "told a story"), ("met", "met with friends"),
+    ("died", "mourned when the daughter died"), ("", "heard of the king's death"), ("died", "lost a person, and the wife wept; Person 7 died"),
 ]
 PLACES = ["Paris", "London", "Saint Helena", "Elba", "Waterloo.", "Rome", "Egypt", "Notre-Dame", "his house", "Nowhere", "New York", "Amiens", "", "The Coalition"]
 CUES = ["", "", " reportedly", " perhaps", " around noon", ", historians debate,", "", " during the war"]
