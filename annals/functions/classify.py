@@ -23,6 +23,17 @@ def has_word(verb: Column, words: Sequence[str]) -> Column:
     return F.coalesce(verb.rlike(f"(?:^|[^a-zA-Z])(?:{quoted(words)})(?:$|[^a-zA-Z])"), F.lit(False))
 
 
+def has_alone(text: Column, parts: Sequence[str]) -> Column:
+    """Whether the first occurrence of one of the parts stands between other characters than a-z and 0-9."""
+    return F.coalesce(F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: first_alone(text, p)), F.lit(False))
+
+
+def first_alone(text: Column, part: Column) -> Column:
+    at = F.instr(text, part)
+    word = lambda c: F.coalesce(c.rlike("^[a-z0-9]$"), F.lit(False))
+    return (at > 0) & ~((at > 1) & word(F.substring(text, at - 1, F.lit(1)))) & ~word(F.substring(text, at + F.length(part), F.lit(1)))
+
+
 def first_rule(rules: Sequence[tuple], fits: Callable[[Sequence[str]], Column], value: int | Callable[[tuple], Column]) -> Column:
     """Element ``value`` of the first rule whose first element fits (or what ``value`` makes of the rule); null if none does."""
     out = None

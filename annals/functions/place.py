@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from annals import rules
+from annals.functions.classify import first_alone
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,12 +52,19 @@ def best_in_text(text: Column, value: str = "name") -> Column:
     schema = "array<struct<locality: int, size: int, place: int, name: string, title: string>>"
     low = F.translate(text, UPPER, LOWER)
 
-    def alone(g: Column) -> Column:
-        at = F.instr(low, g["name"])
-        word = lambda c: F.coalesce(c.rlike("^[a-z0-9]$"), F.lit(False))
-        return (at > 0) & ~((at > 1) & word(F.substring(low, at - 1, F.lit(1)))) & ~word(F.substring(low, at + F.length(g["name"]), F.lit(1)))
+    return F.array_max(F.filter(F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema), lambda g: first_alone(low, g["name"])))[value]
 
-    return F.array_max(F.filter(F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema), alone))[value]
+
+def of_page(title: Column) -> Column:
+    """The place that a page is about: what its title says a battle, treaty, congress, siege or coup of, or the gazetteer name that
+    the title without brackets is, or starts with if the name has eight bytes or more."""
+    title = F.trim(title)
+    event = F.trim(F.substring_index(F.regexp_extract(title, f"^(?:{'|'.join(rules.PLACE_TITLES)})(.*)$", 1), "(", 1))
+    bare = F.trim(F.substring_index(title, "(", 1))
+    hit, low = best_in_text(bare, "title"), F.translate(bare, UPPER, LOWER)
+    name = F.translate(hit, UPPER, LOWER)
+    whole = (low == name) | (F.startswith(low, name) & (F.octet_length(hit) >= 8))
+    return F.when(F.octet_length(event) >= 2, event).when(whole, hit)
 
 
 MONTHS = "january february march april may june july august september october november december".split()

@@ -76,9 +76,12 @@ def lifespans(events: DataFrame, subject: str, order: str) -> DataFrame:
     return events.withColumns({"birth_year": year("birth"), "death_year": year("death")})
 
 
-def carried(rows: DataFrame, page: str, order: str, **values: Column) -> DataFrame:
-    """Adds for each name the last value that isn't null of the rows before on the page."""
-    w = Window.partitionBy(page).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def carried(rows: DataFrame, keys: str | list[str], order: str, **values: Column) -> DataFrame:
+    """Adds for each name the last value that isn't null of the rows before with the same keys: a page, or a page and its section.
+
+    A page's rows are sorted in one task, which spills; a page is a document and no group of unbounded size.
+    """
+    w = Window.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumns({name: F.last(value, ignorenulls=True).over(w) for name, value in values.items()})
 
 

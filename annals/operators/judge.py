@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annals import rules
-from annals.functions.classify import first_rule, has_any, has_word
+from annals.functions.classify import first_rule, has_alone, has_any, has_word
 from annals.functions.place import clean_label, coordinates
 from annals.functions.time import parse_year
 
@@ -23,12 +21,6 @@ CATEGORIES = [
 ]
 
 
-def stands_alone(text: Column, words: list[str]) -> Column:
-    """Whether the first occurrence of one of the words stands between other characters than a-z and 0-9."""
-    one = lambda w: f"(?:(?!{w}).)*+(?<![a-z0-9]){w}(?![a-z0-9])"
-    return F.coalesce(text.rlike(f"(?s)^(?:{'|'.join(one(re.escape(w)) for w in words)})"), F.lit(False))
-
-
 def others_death(verb: Column, sentence: Column, person: Column) -> Column:
     """Whether a death that the verb or sentence tells of is not the person's: somebody's relative died, or "'s death" is said, and
     neither the person's name nor its last word (of three bytes or more) dies. All in lower case."""
@@ -37,7 +29,7 @@ def others_death(verb: Column, sentence: Column, person: Column) -> Column:
     has = lambda text, a, tail: F.contains(text, F.concat(a, F.lit(tail)))
     own = said(person) | ((F.octet_length(last) >= 3) & said(last))
     told = has_word(verb, ["died", "death"]) | has_any(sentence, ["drowned", " died", "'s death"])
-    other = has_any(sentence, ["'s death"]) | (has_any(sentence, rules.DEATH_CUES) & stands_alone(sentence, rules.RELATIVES))
+    other = has_any(sentence, ["'s death"]) | (has_any(sentence, rules.DEATH_CUES) & has_alone(sentence, rules.RELATIVES))
     return F.coalesce(told & other & ~own, F.lit(False))
 
 

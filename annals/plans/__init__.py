@@ -1,6 +1,7 @@
 """Registered queries and their SQL."""
 
-from annals.plans import corpus, events, extracts, facts, person_queries, title_queries
+from annals.plans import corpus, events, extracts, facts, mine_queries, person_queries, read_queries, title_queries
 
-QUERIES = {**events.QUERIES, **corpus.QUERIES, **extracts.QUERIES, **facts.QUERIES, **title_queries.QUERIES, **person_queries.QUERIES}
-SQL = {**events.SQL, **corpus.SQL, **extracts.SQL, **facts.SQL, **title_queries.SQL, **person_queries.SQL}
+PARTS = (events, corpus, extracts, facts, title_queries, person_queries, mine_queries, read_queries)
+QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
+SQL = {name: q for part in PARTS for name, q in part.SQL.items()}

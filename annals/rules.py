@@ -172,3 +172,71 @@ THING_PARTS = [
 PLACE_PARTS = ["located in", "depicts", "work by", "statue of", "œuvre de"]
 # A period after these ends no sentence.
 ABBREVIATIONS = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.", "Jr.", "Sr.", "vs.", "etc.", "e.g.", "i.e.", "U.S.", "U.K.", "b.", "d.", "c.", "fl.", "ca.", "approx."]
+
+# Fixed values of the sentence miner: subjects in the order in which they are tried, cues and their verbs.
+#: (title, aliases, parts of page titles, first year, last year)
+SUBJECTS = [
+    (
+        "Napoleon",
+        ["napoleon bonaparte", "napoléon bonaparte", "napoleon i", "emperor napoleon", "general bonaparte", "bonaparte", "napoleon", "napoléon"],
+        [
+            "napoleon", "napoléon", "french consulate", "first french empire", "hundred days", "peninsular war", "continental system", "napoleonic", "brumaire", "waterloo", "austerlitz",
+            "borodino", "jena", "wagram", "tilsit", "amiens", "marengo", "eylau", "friedland", "leipzig", "malmaison", "campo formio", "concordat", "toulon", "pyramids", "ligny",
+        ],
+        1765, 1865,
+    ),
+    (
+        "Marie Curie",
+        ["marie skłodowska-curie", "marie sklodowska-curie", "marie skłodowska", "marie curie", "madame curie"],
+        ["curie", "radium", "polonium", "institut curie", "espci", "skłodowska", "sklodowska"],
+        1865, 1935,
+    ),
+    (
+        "Victor Hugo",
+        ["victor hugo", "hugo"],
+        ["victor hugo", "les misérables", "les miserables", "notre-dame de paris", "hauteville", "hernani", "ruy blas", "toilers of the sea", "the man who laughs"],
+        1800, 1885,
+    ),
+    (
+        "Leonardo da Vinci",
+        ["leonardo da vinci", "leonardo"],
+        ["leonardo", "mona lisa", "last supper", "vitruvian", "codex atlanticus", "clos lucé", "clos luce"],
+        1450, 1520,
+    ),
+    (
+        "Christopher Columbus",
+        ["christopher columbus", "columbus", "cristoforo colombo"],
+        ["columbus", "voyages of christopher", "palos de la frontera", "santa maría", "santa maria (ship)", "la niña", "la pinta", "hispaniola"],
+        1440, 1510,
+    ),
+    ("Alan Turing", ["alan turing", "turing"], ["turing", "bletchley", "enigma", "hut 8", "manchester mark", "automatic computing engine"], 1910, 1960),
+    ("Cleopatra", ["cleopatra vii", "cleopatra"], ["cleopatra", "ptolemaic", "actium", "caesarion", "donations of alexandria"], -80, 30),
+    (
+        "Honoré de Balzac",
+        ["honoré de balzac", "honore de balzac", "honoré balzac", "honore balzac", "de balzac", "balzac"],
+        [
+            "balzac", "comédie humaine", "comedie humaine", "père goriot", "pere goriot", "eugénie grandet", "eugenie grandet", "illusions perdues", "lost illusions",
+            "cousine bette", "cousin bette", "château de saché", "chateau de sache",
+        ],
+        1795, 1860,
+    ),
+]
+MINED_ANECDOTES = [
+    "anecdote", "according to legend", "legend has it", "the story goes", "popular story", "apocryphal", "once told", "is said to have", "it is said that", "it is said ", "reputed to have",
+    "tradition holds", "according to a popular", "famous anecdote", "an apocryphal", "folklore", "learned about", "learnt about", "learned of", "learnt of", "from a newspaper",
+    "newspaper that he read", "newspaper that she read", "read in a café", "read in a cafe",
+]
+MINED_MEMORY = ["statue", "museum", "memorial", "plaque", "was unveiled", "street named", "named after"]
+MINED_VERBS = [
+    ("was born", "born"), ("born in", "born"), (" died", "died"), ("death of", "died"), ("married", "married"), ("studied", "studied"), ("educated", "studied"), ("to study", "studied"),
+    ("study in", "studied"), ("study at", "studied"), ("enrolled", "studied"), ("matriculat", "studied"), ("fought", "fought"), ("battle of", "fought"), ("defeated", "fought"),
+    ("captured", "fought"), ("campaign", "fought"), ("retreat", "fought"), ("signed", "signed"), ("treaty of", "signed"), ("crowned", "crowned"), ("exiled", "exiled"), ("fled", "exiled"),
+    ("lived in", "lived"), ("resided", "lived"), ("settled in", "lived"), ("moved to", "moved"), ("returned to", "moved"), ("arrived in", "moved"), ("arrived at", "moved"), ("left for", "moved"),
+    ("departed", "moved"), ("visited", "visited"), ("travelled", "visited"), ("traveled", "visited"), (" met ", "met"), ("published", "published"), ("wrote ", "published"), ("painted", "painted"),
+    ("painting", "painted"), ("discovered", "discovered"), ("isolated", "discovered"), ("research at", "discovered"), ("awarded", "awarded"), ("nobel", "awarded"), ("received the", "awarded"),
+    ("sailed", "sailed"), ("set sail", "sailed"), ("embarked", "sailed"), ("landed", "sailed"), ("voyage", "sailed"), ("expedition", "sailed"), ("founded", "founded"), ("worked at", "worked"),
+    ("worked in", "worked"), ("worked as", "worked"), ("laboratory", "worked"), ("taught", "taught"), ("teaching at", "taught"), ("joined", "joined"), ("appointed", "appointed"),
+    ("elected", "appointed"), ("commissioned", "appointed"), ("imprisoned", "imprisoned"), ("invented", "invented"), ("designed", "invented"), ("decoded", "worked"), ("buried", "died"),
+]
+PRONOUNS = ["she", "he", "they", "herself", "himself"]
+PLACE_TITLES = ["Battle of ", "Treaty of ", "Treaties of ", "Congress of ", "Siege of ", "Coup of "]

@@ -10,7 +10,7 @@ def one(spark, column):
 
 def test_categories(spark):
     def kind(verb, sentence="", person="Ann Lee"):
-        i = one(spark, judge.category(F.lit(verb), F.lit(sentence), F.lit(person)))
+        i = one(spark, judge.category(F.lit(verb), F.lower(F.lit(sentence)), F.lower(F.lit(person))))
         return judge.CATEGORIES[i] if i >= 0 else ("life_event", verb, "other")
 
     assert kind("studied")[0] == "education"  # and not death
