@@ -30,6 +30,11 @@ def candidate_fingerprint(
     return joined_hash(version, normalize_surface(subject), event_type, predicate, time_key, normalize_surface(place), snapshot, clause, start, end, names)
 
 
+def event_fingerprint(subject: Column, event_type: Column, predicate: Column, time_key: Column, place: Column, participants: Column) -> Column:
+    """Identity of an assembled event, so that assembling again adds nothing. participants: array of ids, in any order."""
+    return joined_hash(F.lit("event"), subject, event_type, predicate, time_key, place, F.array_join(F.array_sort(participants), ","))
+
+
 def occurrence_key(subject: Column, event_type: Column, role: Column, time_key: Column, place: Column, thing: Column) -> Column:
     """Identity of what happened, whoever reports it."""
     empty = F.lit("")

@@ -1 +1,195 @@
+"""Reading queries. Customers stand in for entities and orders for their events; conversations for sentences and documents for their pages."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from annals.functions import ident, time
+from annals.functions.place import coordinates, gazetteer
+from annals.operators import judge as judges, reads
+from annals.plans import oracle as o
+from annals.plans.corpus import read
+from annals.plans.events import CLAIM, JUDGED, KEYS, M, judged, keyed, mentions
+
 QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], SQL[name] = f, sql
+        return f
+
+    return add
+
+
+NAME = "case when c_custkey % 7 = 0 then 'Éloïse ' else 'Person ' end || c_custkey"
+EVENT_YEAR = "case when o_orderkey % 11 <> 0 then year(o_orderdate)::int end"
+
+
+def entities_and_events(spark, sf_dir):
+    key = F.col("c_custkey")
+    people = read(spark, sf_dir, "customer").select(key.alias("entity_id"), F.concat(F.when(key % 7 == 0, "Éloïse ").otherwise("Person "), key).alias("name"), F.col("c_mktsegment").alias("slug"))
+    year = F.when(F.col("o_orderkey") % 11 != 0, F.year("o_orderdate"))
+    events = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("event_id"), year.alias("year"))
+    return events, people
+
+
+@query("timeline_entities", f"select o_orderkey as event_id, c_custkey as entity_id, {NAME} as name, {EVENT_YEAR} as year from orders join customer on c_custkey = o_custkey")
+def timeline_entities(spark, sf_dir):
+    """Events with their entities, without filters."""
+    events, people = entities_and_events(spark, sf_dir)
+    return reads.timeline(events, people).select("event_id", "entity_id", "name", "year")
+
+
+@query(
+    "timeline_of_profile",
+    f"""select o_orderkey as event_id, c_custkey as entity_id, {NAME} as name, {EVENT_YEAR} as year from orders join customer on c_custkey = o_custkey
+    where c_mktsegment = 'FURNITURE' and contains(lower(strip_accents({NAME})), 'eloise 1') and ({EVENT_YEAR} is null or {EVENT_YEAR} between 1994 and 1996)""",
+)
+def timeline_of_profile(spark, sf_dir):
+    """Events of the entities of a profile whose names match without accents, in a period."""
+    events, people = entities_and_events(spark, sf_dir)
+    rows = reads.timeline(events, people.select("entity_id", "name"), people.select("entity_id", "slug"), person="eloïse 1", profile="FURNITURE", first=1994, last=1996)
+    return rows.select("event_id", "entity_id", "name", "year")
+
+
+@query(
+    "geocode_applied",
+    f"""{JUDGED}, g as (select lower(trim(place_label)) as k, min(strlen(place_label))::double as g from judged where starts_with(place_label, 'N') or place_label = 'his house' group by 1)
+    select event_id, coalesce(lat, g) as lat, case when lat is null then -g else lon end as lon, map_eligible or (lat is null and g is not null) as map_eligible, lat is null and g is not null as geocoded
+    from judged left join g on k = lower(trim(place_label))""",
+)
+def geocode_applied(spark, sf_dir):
+    """Looked-up coordinates for the labels that had none."""
+    rows = judged(spark, sf_dir)
+    wanted = mentions(spark, sf_dir).select(F.regexp_replace(F.trim("place_surface"), r"\.+$", "").alias("label")).filter("startswith(label, 'N') or label = 'his house'")
+    codes = wanted.groupBy(F.lower(F.trim("label")).alias("label")).agg(F.min(F.octet_length("label")).cast("double").alias("g_lat")).withColumn("g_lon", -F.col("g_lat"))
+    return reads.apply_geocodes(rows, codes).select("event_id", "lat", "lon", "map_eligible", "geocoded")
+
+
+def fragments(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("snapshot_id"), "turn")
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("snapshot_id"), "source")
+    judgments = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("snapshot_id"), (F.col("quality") == 1).alias("accepted"))
+    return turns, pages, judgments
+
+
+@query("accepted_fragments", "select conv_id, turn, source from conversations join documents d on d.doc_id = conv_id where exists (select 1 from labels l where l.doc_id = conv_id and quality = 1)")
+def accepted_fragments(spark, sf_dir):
+    return reads.judged_fragments(*fragments(spark, sf_dir), True, ["snapshot_id"]).select(F.col("snapshot_id").alias("conv_id"), "turn", "source")
+
+
+@query("unjudged_fragments", "select conv_id, turn, source from conversations join documents d on d.doc_id = conv_id where not exists (select 1 from labels l where l.doc_id = conv_id) and source = (select min(source) from documents)")
+def unjudged_fragments(spark, sf_dir):
+    """Fragments of one source that wait for a judgment."""
+    turns, pages, judgments = fragments(spark, sf_dir)
+    least = pages.agg(F.min("source").alias("source"))
+    return reads.judged_fragments(turns, pages.join(F.broadcast(least), "source"), judgments, False, ["snapshot_id"]).select(F.col("snapshot_id").alias("conv_id"), "turn", "source")  # one row
+
+
+@query(
+    "claim_sentences",
+    """with s as (select conv_id * 1000 + turn as sentence_id, conv_id as page_id, role, turn from conversations),
+    e as (select c_custkey as entity_id, 'Page ' || c_custkey * 3 as title from customer), c as (select sentence_id, case when sentence_id % 2 = 0 then sentence_id % 97 end as entity_id from s where turn % 5 < 2),
+    p as (select doc_id as page_id, 'Page ' || doc_id as title from documents)
+    select s.sentence_id, p.title, coalesce(e.entity_id, c.entity_id) as entity_id from s join p using (page_id) left join e using (title) left join c on c.sentence_id = s.sentence_id
+    where coalesce(e.entity_id, c.entity_id) is not null and not (role = 'system')""",
+)
+def claim_sentences(spark, sf_dir):
+    """Sentences to take claims from: an entity is known and no claim stands on them yet."""
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sentence_id"), F.col("conv_id").alias("page_id"), "role", "turn")
+    pages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("Page "), "doc_id").alias("title"))
+    people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("Page "), F.col("c_custkey") * 3).alias("title"))
+    named = turns.filter("turn % 5 < 2").select("sentence_id", F.when(F.col("sentence_id") % 2 == 0, F.col("sentence_id") % 97).alias("entity_id"))
+    used = turns.filter("role = 'system'").select("sentence_id")
+    return reads.claim_sentences(turns.select("sentence_id", "page_id"), pages, people, named, used).select("sentence_id", "title", "entity_id")
+
+
+@query(
+    "claims_backfill",
+    f"""{KEYS} select event_id, case event_type when 'anecdote' then 'anecdote' else 'life_event' end as kind, 'attested' as status, 'direct' as relation, score as confidence, title as text
+    from k where not exists (select 1 from ({M}) m where m.event_id = k.event_id and m.event_id % 5 = 0)""",
+)
+def claims_backfill(spark, sf_dir):
+    """A claim for each event that has none."""
+    claimed = mentions(spark, sf_dir).filter("event_id % 5 = 0").select("event_id")
+    rows = keyed(spark, sf_dir).join(claimed, "event_id", "left_anti")
+    kind = F.when(F.col("event_type") == "anecdote", "anecdote").otherwise("life_event")
+    return rows.select("event_id", kind.alias("kind"), F.lit("attested").alias("status"), F.lit("direct").alias("relation"), F.col("score").alias("confidence"), F.col("title").alias("text"))
+
+
+@query(
+    "competing_abstention",
+    f"""{KEYS}, p as (select stem, string_agg(distinct place_label, ',' order by place_label) as places from k where place_label <> '' group by stem having count(distinct place_label) >= 2)
+    select event_id, places is not null as conflict, places, case when places is not null then 'uncertain' else status end as status from k left join p using (stem)""",
+)
+def competing_abstention(spark, sf_dir):
+    """Events whose sources disagree on the place are uncertain."""
+    rows = reads.abstained(keyed(spark, sf_dir), "stem", "place_label")
+    return rows.select("event_id", "conflict", F.array_join("places", ",").alias("places"), "status")
+
+
+@query(
+    "claims_by_confidence",
+    f"""with m as (select event_id, lower(sentence) as s from ({M})), c as (select event_id, {CLAIM(1, "life_event", "context", "fact")} as kind, {CLAIM(4, 65, 45, 40)} as confidence from m)
+    select * from c order by confidence desc, event_id limit 200""",
+)
+def claims_by_confidence(spark, sf_dir):
+    """The 200 surest claims, ties by id."""
+    rows = mentions(spark, sf_dir).select("event_id", *[judges.claim_class(F.col("sentence"), v).alias(n) for v, n in ((1, "kind"), (4, "confidence"))])
+    return rows.orderBy(F.desc("confidence"), "event_id").limit(200)
+
+
+KNOWN = f"""select place_surface as surface, case when place_surface = 'Notre-Dame' then 'person' when place_surface = 'The Coalition' then 'organization' else 'place' end as kind, upper(place_surface) as label
+    from (select distinct place_surface from ({{mentions}})) x where place_surface in ('Notre-Dame', 'The Coalition') or lower(place_surface) in ({', '.join(o.q(g[0]) for g in gazetteer())})"""
+
+
+@query(
+    "mention_resolution",
+    f"""with e as ({KNOWN.format(mentions=M)}), r as (select event_id, nullif(trim(place_surface), '') as raw, e.kind, e.label from ({M}) m left join e on lower(trim(e.surface)) = lower(trim(m.place_surface)))
+    select event_id, case when raw is not null and coalesce(kind, 'place') = 'place' then coalesce(label, raw) end as place_label, case when raw is not null and coalesce(kind, 'place') = 'place' then coalesce(kind, 'unknown') end as place_kind,
+           case when raw is null then null when kind = 'person' then 'participant' when kind = 'organization' then 'object' end as mention_role, coalesce(raw is not null and kind in ('person', 'organization'), false) as invalid_place from r""",
+)
+def mention_resolution(spark, sf_dir):
+    """What a place surface turns out to be."""
+    m = mentions(spark, sf_dir)
+    surface = F.col("place_surface")
+    kind = F.when(surface == "Notre-Dame", "person").when(surface == "The Coalition", "organization").otherwise("place")
+    known = m.select("place_surface").distinct().filter(surface.isin("Notre-Dame", "The Coalition") | coordinates(surface).isNotNull())
+    entities = known.select(surface.alias("surface"), kind.alias("kind"), F.upper(surface).alias("label"))
+    return reads.resolve_mentions(m, entities, "place_surface").select("event_id", "place_label", "place_kind", "mention_role", "invalid_place")
+
+
+@query(
+    "human_entities",
+    """with h as (select s_suppkey, case when s_suppkey % 3 = 0 then s_suppkey * 2 end as qid, 'Customer#' || lpad((s_suppkey * 5)::varchar, 9, '0') as title from supplier)
+    select s_suppkey, coalesce(a.c_custkey, b.c_custkey) as entity_id, a.c_custkey is null and b.c_custkey is null as is_new from h left join customer a on a.c_custkey * 4 = qid left join customer b on b.c_name = title""",
+)
+def human_entities(spark, sf_dir):
+    """Humans find their entity by identifier, else by page title, else are new."""
+    key = F.col("s_suppkey")
+    humans = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 3 == 0, key * 2).alias("qid"), F.concat(F.lit("Customer#"), F.lpad((key * 5).cast("string"), 9, "0")).alias("title"))
+    people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") * 4).alias("qid"), F.col("c_name").alias("title"))
+    return reads.human_entities(humans, people, ["qid", "title"]).select("s_suppkey", "entity_id", "is_new")
+
+
+@query(
+    "event_fingerprints",
+    f"""{KEYS} select event_id, {o.joined("'event'", "user_id::varchar", "event_type", "verb_label", "time_key", "lower(place_label)", "least(person, page) || ',' || greatest(person, page)")} as fingerprint from k""",
+)
+def event_fingerprints(spark, sf_dir):
+    """Identity of assembled events, without their titles."""
+    c = F.col
+    rows = keyed(spark, sf_dir)
+    return rows.select("event_id", ident.event_fingerprint(c("user_id"), c("event_type"), c("verb_label"), time.canonical_key(time.typed_time(c("year"), c("time_surface"))), F.lower("place_label"), F.array("person", "page")).alias("fingerprint"))
+
+
+TABLES = ["documents", "pages", "conversations", "events", "customer", "orders"]
+
+
+@query("table_counts", " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in TABLES))
+def table_counts(spark, sf_dir):
+    """How many rows six tables have."""
+    return reduce(lambda a, b: a.unionByName(b), [read(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES])
