@@ -29,13 +29,33 @@ def slug(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(s), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+OPEN, CLOSE = "\x01", "\x02"
+
+
+def without_templates(s: Column) -> Column:
+    """What stands outside of balanced double braces, however deep they are nested; text with other braces stays as it is."""
+    marked = F.replace(F.replace(s, F.lit("{{"), F.lit(OPEN)), F.lit("}}"), F.lit(CLOSE))
+    pieces = F.split(marked, f"(?={OPEN})|(?<={CLOSE})")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit(0).alias("least"))
+
+    def step(at: Column, piece: Column) -> Column:
+        opens, closes = F.startswith(piece, F.lit(OPEN)).cast("int"), F.endswith(piece, F.lit(CLOSE)).cast("int")
+        depth = at["depth"] + opens
+        outside = (depth == 0) & (closes == 0)
+        return F.struct((depth - closes).alias("depth"), F.when(outside, F.concat(at["out"], piece)).otherwise(at["out"]).alias("out"), F.least(at["least"], depth - closes).alias("least"))
+
+    end = F.aggregate(pieces, start, step)
+    return F.when((end["depth"] == 0) & (end["least"] >= 0), end["out"]).otherwise(s)
+
+
 def wikitext_to_plain(s: Column, depth: int = 6) -> Column:
-    """Comments, references, templates (nested up to depth), links, tags, categories; then white space."""
+    """Comments, references, templates (nested to any depth), links, tags, categories; then white space."""
     s = F.regexp_replace(s, r"(?s)<!--.*?-->", "")
     s = F.regexp_replace(s, r"(?is)<ref[^>/]*/>", "")
     s = F.regexp_replace(s, r"(?is)<ref[^>]*>.*?</ref>", "")
     for _ in range(depth):
         s = F.regexp_replace(s, r"\{\{[^{}]*\}\}", "")
+    s = F.when(F.contains(s, F.lit("{{")) & F.contains(s, F.lit("}}")), without_templates(s)).otherwise(s)
     s = F.regexp_replace(s, r"(?i)\[\[(?:file|image|category):[^\[\]]*\]\]", "")
     s = F.regexp_replace(s, r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", "$1")
     s = F.regexp_replace(s, r"<[^>]*>", "")

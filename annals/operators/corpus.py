@@ -41,27 +41,32 @@ def conditional_upsert(old: DataFrame, new: DataFrame, key: str, kind: str, unkn
 
 
 def within_budget(rows: DataFrame, group: str, order: list, size: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """Of each group, the first rows in order while their number and running size stay within the budget."""
+    """Of each group, the first rows in order while their number and running size stay within the budget.
+
+    The number alone cuts first, before rows of a group meet; so no task holds more than ``most_rows`` of it.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_n": F.row_number().over(w), "_bytes": F.sum(size).over(running)})
-    return rows.filter((F.col("_n") <= most_rows) & (F.col("_bytes") <= most_bytes)).drop("_n", "_bytes")
+    first = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most_rows)
+    running = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("_bytes", running).filter(F.col("_bytes") <= most_bytes).drop("_n", "_bytes")
 
 
-def bounded(dimension: DataFrame, most: int) -> DataFrame:
-    """dimension, if it has at most ``most`` rows; what is sent to every task is checked first."""
-    if dimension.limit(most + 1).count() > most:
-        raise ValueError(f"the dimension has more than {most} rows")
-    return dimension
+def blocks(dimension: DataFrame, most: int) -> list[DataFrame]:
+    """dimension in parts of about ``most`` rows, by a hash of the row: what is sent to a task at once."""
+    n = max(1, -(-dimension.count() // most))
+    return [dimension.filter(F.pmod(F.xxhash64(*dimension.columns), F.lit(n)) == i) for i in range(n)]
 
 
 def overlapping(spans: DataFrame, periods: DataFrame, most: int = 1000) -> DataFrame:
-    """Spans (start_year, end_year) with each period (first_year, last_year) that they overlap. periods has at most ``most`` rows;
-    they travel as one array, and only overlaps become rows."""
-    every = bounded(periods, most).agg(F.collect_list(F.struct(*periods.columns))).scalar()
-    spans_with = spans.withColumn("_every", every)
-    fits = F.filter("_every", lambda p: (F.col("end_year") >= p["first_year"]) & (F.col("start_year") <= p["last_year"]))
-    return spans_with.select(*[F.col(c) for c in spans.columns], F.inline(fits))
+    """Spans (start_year, end_year) with each period (first_year, last_year) that they overlap. Periods travel as arrays of about
+    ``most`` of them, one pass over the spans for each, and only overlaps become rows."""
+
+    def one(part: DataFrame) -> DataFrame:
+        every = part.agg(F.collect_list(F.struct(*periods.columns))).scalar()
+        fits = F.filter("_every", lambda p: (F.col("end_year") >= p["first_year"]) & (F.col("start_year") <= p["last_year"]))
+        return spans.withColumn("_every", every).select(*[F.col(c) for c in spans.columns], F.inline(fits))
+
+    return reduce(DataFrame.unionByName, map(one, blocks(periods, most)))
 
 
 def duplicates(rows: DataFrame, key: Column, ident: str) -> DataFrame:
@@ -69,25 +74,28 @@ def duplicates(rows: DataFrame, key: Column, ident: str) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(ident).alias("first_id")).filter("n > 1")
 
 
-def has_alias(column: Column, alias: Column) -> Column:
-    """Whether the folded column contains the folded alias of at least three bytes."""
-    return F.coalesce((F.octet_length(alias) >= 3) & F.contains(fold(column), fold(alias)), F.lit(False))
-
-
 def match_subjects(docs: DataFrame, aliases: DataFrame, low: int = 30, most: int = 10_000) -> DataFrame:
     """(doc_id, subject, relation, score, evidence): subjects that a document is about or by.
 
-    docs: doc_id, title, abstract, author, keyword. aliases: subject, alias, of at most ``most`` rows;
-    they travel as one array, and only hits become rows. Hundredths: title 45, abstract 25 (one-word
-    alias: 35), keyword 15, author 35; ``low`` in all at least, 100 at most.
+    docs: doc_id, title, abstract, author, keyword. aliases: subject, alias, of three bytes at least;
+    they are folded once and travel as arrays of about ``most`` of them, one pass over docs for each,
+    and only hits become rows. Hundredths: title 45, abstract 25 (one-word alias: 35), keyword 15,
+    author 35; ``low`` in all at least, 100 at most.
     """
-    every = bounded(aliases, most).agg(F.collect_list(F.struct("subject", "alias"))).scalar()
     places = ("title", "abstract", "author", "keyword")
-    hits = F.filter("_every", lambda a: reduce(lambda x, y: x | y, [has_alias(F.col(c), a["alias"]) for c in places]))
-    rows = docs.select("doc_id", *places).withColumn("_every", every).select("doc_id", *places, F.inline(hits))
+    known = aliases.select("subject", "alias", fold(F.col("alias")).alias("folded")).filter(F.octet_length("alias") >= 3)
+    texts = docs.select("doc_id", *[F.coalesce(fold(F.col(c)), F.lit("")).alias(c) for c in places])
+    within = lambda c, a: F.contains(F.col(c), a)
+
+    def hits(part: DataFrame) -> DataFrame:
+        every = part.agg(F.collect_list(F.struct("subject", "alias", "folded"))).scalar()
+        found = F.filter("_every", lambda a: reduce(lambda x, y: x | y, [within(c, a["folded"]) for c in places]))
+        return texts.withColumn("_every", every).select("doc_id", *places, F.inline(found))
+
+    rows = reduce(DataFrame.unionByName, map(hits, blocks(known, most)))
     one = F.when(F.contains("alias", F.lit(" ")), 25).otherwise(35)
     points = {"title": F.lit(45), "abstract": one, "author": F.lit(35), "keyword": F.lit(15)}
-    best = [F.max(F.when(has_alias(F.col(c), F.col("alias")), n)).alias(c) for c, n in points.items()]
+    best = [F.max(F.when(within(c, F.col("folded")), n)).alias(c) for c, n in points.items()]
     found = rows.groupBy("doc_id", "subject").agg(*best)
     z = lambda c: F.coalesce(c, F.lit(0))
     total = z("title") + z("abstract") + z("author") + z("keyword")

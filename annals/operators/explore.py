@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annals.session import written
+
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes that a seed reaches in at most ``depth`` hops, with the least number of hops.
 
-    edges: src, dst; seeds: node. A hop joins the frontier alone with the edges and drops what was seen before.
+    edges: src, dst; seeds: node. A hop joins the frontier alone with the edges and drops what was seen before; each
+    frontier is written down, so no hop computes earlier ones again.
     """
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen.select("node")
     for hop in range(1, depth + 1):
         found = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("node"), "node", "left_anti")
+        frontier = written(found.join(seen.select("node"), "node", "left_anti"), "frontier")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(hop)))
     return seen

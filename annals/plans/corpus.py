@@ -28,13 +28,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(
     "narrative_context_band",
-    """with e as (select distinct conv_id, turn from conversations where turn % 7 = 0 and contains(text, 'the'))
+    """with e as (select distinct conv_id, turn from conversations where contains(text, 'the'))
     select c.conv_id, c.turn, c.role, exists (select 1 from e where e.conv_id = c.conv_id and e.turn = c.turn) as is_evidence
     from conversations c where exists (select 1 from e where e.conv_id = c.conv_id and abs(e.turn - c.turn) <= 2)""",
 )
 def narrative_context_band(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.contains("text", F.lit("the")).alias("hit"))
-    return assembly.context_band(c, c.filter("turn % 7 = 0 and hit"), "conv_id", "turn", 2).select("conv_id", "turn", "role", "is_evidence")
+    return assembly.context_band(c, c.filter("hit"), "conv_id", "turn", 2).select("conv_id", "turn", "role", "is_evidence")
 
 
 @query(
@@ -44,7 +44,7 @@ def narrative_context_band(spark, sf_dir):
     from conversations c where exists (select 1 from e where e.conv_id = c.conv_id and abs(e.turn - c.turn) <= 2)""",
 )
 def narrative_context_whole(spark, sf_dir):
-    """The band around every turn of evidence; narrative_context_band takes every seventh turn."""
+    """The band around every turn of evidence."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.contains("text", F.lit("the")).alias("hit"))
     return assembly.context_band(c, c.filter("hit"), "conv_id", "turn", 2).select("conv_id", "turn", "role", "is_evidence")
 
@@ -251,11 +251,12 @@ def identifier_normalize(spark, sf_dir):
 
 @query(
     "source_budgets",
-    """select doc_id, source from (select doc_id, source, row_number() over w as n, sum(n_chars) over (partition by source order by doc_id rows unbounded preceding) as b from documents window w as (partition by source order by doc_id)) where n <= 40 and b <= 60000""",
+    """select doc_id, source from (select doc_id, source, row_number() over w as n, sum(strlen(coalesce(text, ''))) over (partition by source order by doc_id rows unbounded preceding) as b from documents window w as (partition by source order by doc_id)) where n <= 40 and b <= 52428800""",
 )
 def source_budgets(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return corpus.within_budget(d, "source", ["doc_id"], "n_chars", 40, 60000).select("doc_id", "source")
+    """40 documents and 50 MiB of each source."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    return corpus.within_budget(d, "source", ["doc_id"], "bytes", 40, 50 << 20).select("doc_id", "source")
 
 
 @query(
@@ -264,7 +265,7 @@ def source_budgets(spark, sf_dir):
         (select doc_id, source, strlen(coalesce(text, '')) as b, row_number() over (partition by source order by doc_id) as n from documents) where n <= 40) where run <= 52428800""",
 )
 def source_budgets_whole(spark, sf_dir):
-    """Default budgets of the reference: 40 documents a source, 50 MiB over the whole run. The rank is limited before rows
+    """Default budgets: 40 documents a source, 50 MiB over the whole run. The rank is limited before rows
     meet by source; only those within it meet in one task."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"))
     first = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 40")

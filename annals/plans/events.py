@@ -222,13 +222,13 @@ def supersession_chain(spark, sf_dir):
 
 @query(
     "timeline_events",
-    f"{KEYS}, e as (select min(event_id) as event_id from k group by occurrence_key) select event_id, person, event_type, year, place_label, title from k join e using (event_id) order by year nulls last, event_id limit 500",
+    f"{KEYS}, e as (select min(event_id) as event_id from k group by occurrence_key) select event_id, person, event_type, year, place_label, title from k join e using (event_id) order by year nulls last, event_id limit 2000",
 )
 def timeline_events(spark, sf_dir):
-    """The first 500 events in time: the first writer of each occurrence, nulls last, ties by id."""
+    """The first 2,000 events in time: the first writer of each occurrence, nulls last, ties by id."""
     row = F.struct("event_id", "person", "event_type", "year", "place_label", "title")
     firsts = keyed(spark, sf_dir).groupBy("occurrence_key").agg(F.min_by(row, "event_id").alias("first")).select("first.*")
-    return firsts.orderBy(F.asc_nulls_last("year"), "event_id").limit(500)
+    return firsts.orderBy(F.asc_nulls_last("year"), "event_id").limit(2000)
 
 
 @query(

@@ -52,13 +52,13 @@ def dump_plan_counts(spark, sf_dir):
 
 @query(
     "merge_found_events",
-    f"""with m as ({M}), a as (select person, min(event_id) as event_id from m where event_id % 2 = 0 group by person), b as (select person, min(event_id) as event_id from m where event_id % 2 = 1 and user_id % 3 = 0 group by person)
+    f"""with m as ({M}), a as (select person, min(event_id) as event_id from m where event_id % 2 = 0 group by person), b as (select person, min(event_id) as event_id from m where event_id % 2 = 1 group by person)
     select * from a union all select * from b where person not in (select person from a)""",
 )
 def merge_found_events(spark, sf_dir):
     m = mentions(spark, sf_dir)
     least = lambda rows: rows.groupBy("person").agg(F.min("event_id").alias("event_id"))
-    return fragments.merge_found(least(m.filter("event_id % 2 = 0")), least(m.filter("event_id % 2 = 1 and user_id % 3 = 0")), "person")
+    return fragments.merge_found(least(m.filter("event_id % 2 = 0")), least(m.filter("event_id % 2 = 1")), "person")
 
 
 @query(
@@ -150,13 +150,13 @@ def place_alias_resolution(spark, sf_dir):
 
 @query(
     "exploration_reachable",
-    """with recursive e as (select distinct user_id % 211 as src, (event_id * 7 + user_id) % 211 as dst from events where event_id % 9 = 0),
+    """with recursive e as (select distinct user_id as src, event_id * 7 + user_id as dst from events),
     r as (select 0::bigint as node, 0 as depth union select dst, depth + 1 from r join e on src = node where depth < 3) select node, min(depth)::int as depth from r group by node""",
 )
 def exploration_reachable(spark, sf_dir):
     from annals.operators.explore import reachable
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 9 = 0").selectExpr("user_id % 211 as src", "(event_id * 7 + user_id) % 211 as dst").distinct()
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as src", "event_id * 7 + user_id as dst").distinct()
     return reachable(e, spark.range(1).select(F.col("id").alias("node")), 3)
 
 

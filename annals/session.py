@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 _SHIPPED: set[str] = set()
@@ -22,6 +23,19 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     return builder.getOrCreate()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written as Parquet to the folder in spark.checkpoint.dir and read back; on one machine without the setting to a temporary folder."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="annals-")
+    path = f"{folder.rstrip('/')}/annals/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once, unless their Python path has it already."""
     on_path = [os.path.realpath(p) for p in (os.environ.get("PYTHONPATH", "").split(os.pathsep) + [os.getcwd()]) if p]

@@ -42,9 +42,7 @@ def ingest(spark: SparkSession, folder: str, table: str, failed: str, checkpoint
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The table, if the folder is there; a table that can't be read is an error and no empty table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.parquet(path) if there else None
