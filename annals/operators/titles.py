@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annals import rules
 from annals.functions.classify import has_any
 
 # Fixed values.
@@ -57,3 +58,26 @@ def merged_titles(titles: DataFrame, most: int) -> DataFrame:
 def linked_titles(text: Column) -> Column:
     """Titles of battles, sieges and treaties that a text names, each once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?:Battle|Siege|Treaty) of \p{Lu}[\p{L}-]+(?: \p{Lu}[\p{L}-]+)*)"), 1))
+
+
+def title_rank(title: Column, classes: Column, death_year: Column, military: Column) -> Column:
+    """How well a page's title goes with a person, in hundredths: the best of the person's classes (an array; none counts as unknown).
+
+    40; 15 if a profile speaks against it, unless it is a battle and the person military; 40 more if the
+    profile speaks for it, 30 for a military person's battle, 50 less for the wars after 1900 if the person died before.
+    """
+    low = F.lower(title)
+    military = F.coalesce(military, F.lit(False)) & has_any(low, rules.BATTLE_TITLES)
+    late = F.coalesce(death_year < 1900, F.lit(False)) & has_any(low, rules.LATE_WARS)
+    given = F.when(F.size(F.coalesce(classes, F.array().cast("array<string>"))) == 0, F.array(F.lit("unknown"))).otherwise(classes)
+
+    def score(speaks_for: list[str], against: list[str]) -> Column:
+        points = F.lit(40) + F.when(has_any(low, speaks_for), 40).otherwise(0) + F.when(military, 30).otherwise(0) - F.when(late, 50).otherwise(0)
+        return F.when(has_any(low, against) & ~military, 15).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), points)))
+
+    return F.array_max(F.array(F.lit(0), *[F.when(F.array_contains(given, c), score(plus, minus)) for c, _, plus, minus in rules.PROFILES]))
+
+
+def keeps_title(title: Column, subject: Column, rank: Column) -> Column:
+    """Whether a page is kept for its subject: from 55 hundredths on, or if it is the subject's own."""
+    return (F.lower(title) == F.lower(subject)) | (rank >= 55)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annals import rules
 from annals.operators import titles
 from annals.plans import oracle as o
-from annals.plans.synth import mentions, mentions_sql
+from annals.plans.synth import mentions, mentions_sql, values
 
 QUERIES, SQL = {}, {}
 M = mentions_sql()
@@ -47,3 +48,30 @@ SQL |= {
             when {STARTS("low", titles.VALUE_STARTS)} or {o.any_of("low", titles.VALUE_PARTS)} then 2 else 3 end as rank from g),
         p as (select *, (row_number() over (partition by subject order by rank, title))::int as place from r) select * from p where place <= 40""",
 }
+
+
+RANKED_TITLES = ["Battle of Jena", "Nobel prix", "Second World War", "Comics about a king", "Treaty of Paris", "Person 3", "Oeuvres and poems", "Siege of 1914", "Early life", "Liste des rois", "Université", "Opera in 1939"]
+RANKED = f"""
+    select e.event_id, t.title, 'Person ' || cast(e.user_id % 61 as string) as subject, case when e.user_id % 5 = 0 then null else 1750 + e.user_id % 200 end as death_year, e.user_id % 3 = 0 as military,
+           c.cls as first_class, case when e.event_id % 4 = 0 then d.cls end as second_class from {{events}} e
+    join {values(RANKED_TITLES, "t", "k", "title")} on t.k = e.event_id % {len(RANKED_TITLES)}
+    join {values([p[0] for p in rules.PROFILES], "c", "k", "cls")} on c.k = e.user_id % {len(rules.PROFILES)}
+    join {values([p[0] for p in rules.PROFILES], "d", "k", "cls")} on d.k = (e.user_id * 3 + 1) % {len(rules.PROFILES)}"""
+RANK_SQL = "case when {against} and not (military and b) then 15 else greatest(0, least(100, 40 + case when {for_} then 40 else 0 end + case when military and b then 30 else 0 end - case when death_year < 1900 and w then 50 else 0 end)) end"
+RANK_OF = lambda cls: f"case {cls} " + " ".join(f"when '{c}' then " + RANK_SQL.format(against=o.any_of("low", minus), for_=o.any_of("low", plus)) for c, _, plus, minus in rules.PROFILES) + " end"
+
+
+SQL["title_rank"] = f"""with r as (select *, lower(title) as low from ({RANKED.format(events="events")})), r1 as (select *, {o.any_of("low", rules.BATTLE_TITLES)} as b, {o.any_of("low", rules.LATE_WARS)} as w from r),
+    r2 as (select *, greatest({RANK_OF("first_class")}, coalesce({RANK_OF("second_class")}, 0)) as rank from r1)
+    select event_id, title, rank, lower(title) = lower(subject) or rank >= 55 as kept from r2"""
+
+
+def title_rank(spark, sf_dir):
+    """Pages that go with a person of one or two classes."""
+    rows = spark.sql(RANKED, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    rank = titles.title_rank(F.col("title"), F.array_compact(F.array("first_class", "second_class")), F.col("death_year"), F.col("military"))
+    rows = rows.withColumn("rank", rank)
+    return rows.select("event_id", "title", "rank", titles.keeps_title(F.col("title"), F.col("subject"), F.col("rank")).alias("kept"))
+
+
+QUERIES["title_rank"] = title_rank

@@ -240,3 +240,50 @@ MINED_VERBS = [
 ]
 PRONOUNS = ["she", "he", "they", "herself", "himself"]
 PLACE_TITLES = ["Battle of ", "Treaty of ", "Treaties of ", "Congress of ", "Siege of ", "Coup of "]
+
+#: Fixed values: (class, event types to expect, parts of titles that speak for a page, parts that speak against it).
+PROFILES = [
+    (
+        "scientist", ["discovery", "publication", "award", "education", "office"],
+        ["university", "université", "laboratory", "laboratoire", "nobel", "prix", "publication", "discovery", "découverte", "academy", "académie", "institute"],
+        ["battle of", "bataille de", "guerre_", "campagne_", "siege of", "ordre de bataille", "coalition"],
+    ),
+    ("inventor_engineer", ["invention", "patent", "publication", "office"], ["invention", "patent", "brevet", "laboratory", "prototype"], ["battle of", "bataille de", "guerre_"]),
+    (
+        "artist_writer", ["publication", "exile", "office", "residence"],
+        ["œuvre", "oeuvres", "bibliography", "bibliographie", "poem", "publication", "correspondence", "correspondance"],
+        ["battle of", "bataille de", "coalition", "campagne_", "guerres_"],
+    ),
+    (
+        "artist_visual", ["publication", "residence", "office"],
+        ["œuvre", "oeuvres", "exhibition", "exposition", "museum", "musée", "atelier", "commission", "collection"],
+        ["battle of", "bataille de", "guerres_", "campagne_"],
+    ),
+    ("musician_composer", ["publication", "office"], ["œuvre", "oeuvres", "opera", "opéra", "symphony", "concert", "conservatoire"], ["battle of", "bataille de", "guerres_"]),
+    ("philosopher", ["publication", "education"], ["œuvre", "oeuvres", "concept", "school", "école", "doctrine"], ["battle of", "bataille de", "guerre_"]),
+    (
+        "explorer", ["arrival", "departure", "voyage", "historical_fact"],
+        ["voyage", "expedition", "expédition", "navigation", "route", "discovery", "découverte"],
+        ["première guerre mondiale", "seconde guerre mondiale", "world war"],
+    ),
+    (
+        "ruler", ["office", "diplomatic", "treaty", "residence"],
+        ["règne", "regne", "treaty", "traité", "traite", "reform", "réforme", "cour", "presidency", "président", "president", "office"],
+        ["comics", "fictional"],
+    ),
+    (
+        "military_leader", ["battle", "siege", "treaty", "exile", "office"],
+        [
+            "battle of", "bataille", "siege", "siège", "campaign", "campagne", "treaty", "traité", "guerre", "président", "president", "présidence", "presidence", "gouvernement",
+            "résistance", "resistance", "ministre", "discours", "rpf", "élysée", "elysee",
+        ],
+        ["comics", "fictional"],
+    ),
+    ("religious_leader", ["office", "residence"], ["doctrine", "canonisation", "pèlerinage", "pelerinage", "sermon"], ["battle of", "bataille de", "comics"]),
+    ("athlete", ["office"], ["career", "carrière", "championnat", "record", "club"], ["liste des", "calendrier_"]),
+    ("reformer", ["office", "diplomatic", "publication"], ["révolution", "revolution", "réforme", "reforme", "manifeste", "parti"], ["comics"]),
+    ("unknown", ["birth", "death", "residence"], ["early life", "biography", "timeline"], ["comics", "fictional character"]),
+]
+#: Titles about battles, and about the wars after 1900.
+BATTLE_TITLES = ["battle of", "bataille de", "siege of", "siège de", "siege de"]
+LATE_WARS = ["world war", "guerre mondiale", "1914", "1939"]
