@@ -70,10 +70,20 @@ def competing(rows: DataFrame, stem: str, place: str) -> DataFrame:
 
 
 def lifespans(events: DataFrame, subject: str, order: str) -> DataFrame:
-    """Adds birth_year and death_year of the subject as known before each row, from earlier births and deaths."""
-    w = Window.partitionBy(subject).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    year = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("year"))).over(w)
-    return events.withColumns({"birth_year": year("birth"), "death_year": year("death")})
+    """Adds birth_year and death_year of the subject as known before each row, from earlier births and deaths: the least years.
+
+    Only births and deaths meet by subject, and only those below all earlier ones are kept (no more than there are
+    years), as one short array for each subject; other rows join it, so a subject of very many rows can be split.
+    """
+    out = events
+    for kind in ("birth", "death"):
+        w = Window.partitionBy(subject).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = events.filter((F.col("event_type") == kind) & F.col("year").isNotNull()).select(subject, order, "year")
+        new = rows.withColumn("_least", F.min("year").over(w)).filter("_least is null or year < _least")
+        steps = new.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct(order, "year"))).alias("_steps"))
+        before = F.filter("_steps", lambda x: x[order] < F.col(order))
+        out = out.join(steps, subject, "left").withColumn(f"{kind}_year", F.try_element_at(before, F.lit(-1))["year"]).drop("_steps")
+    return out
 
 
 def carried(rows: DataFrame, keys: str | list[str], order: str, **values: Column) -> DataFrame:

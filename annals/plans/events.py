@@ -10,6 +10,7 @@ from annals.functions import ident, place, text, time
 from annals.operators import assembly, judge as judges
 from annals.plans import oracle as o
 from annals.plans.synth import mentions, mentions_sql
+from annals.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -157,7 +158,8 @@ GATED = f"""{KEYS}, g0 as (
 
 
 def gated(spark, sf_dir):
-    k = assembly.lifespans(keyed(spark, sf_dir), "person", "event_id")
+    # the candidates are a table: births and deaths are read from it again
+    k = assembly.lifespans(written(keyed(spark, sf_dir), "candidates"), "person", "event_id")
     again = F.row_number().over(Window.partitionBy("occurrence_key").orderBy("event_id")) > 1
     k = k.withColumns(
         {

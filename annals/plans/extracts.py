@@ -17,7 +17,7 @@ PHRASES = [
 ]
 TOWNS = ["Paris", "Saint Helena", "the hills", "Elba", "London", "X", "old town"]
 LINES = f"""
-    select e.event_id as line_no, 'Page ' || cast(e.user_id % 211 as string) as page, cast(1800 + e.user_id % 60 as int) as death_year,
+    select e.event_id as line_no, 'Page ' || cast(e.user_id as string) as page, cast(1800 + e.user_id % 60 as int) as death_year,
            replace(replace(v.phrase, '{{{{p}}}}', p.place), '{{{{y}}}}', cast(1750 + e.event_id % 150 as string)) as line
     from {{events}} e
     join {values(PHRASES, "v", "k", "phrase").replace("{", "{{").replace("}", "}}")} on v.k = e.event_id % {len(PHRASES)}

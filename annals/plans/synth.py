@@ -22,12 +22,12 @@ def values(rows: list, *names: str) -> str:
 
 
 MENTIONS = f"""
-    select e.event_id, e.user_id, e.event_type as channel, 'Person ' || cast(e.user_id % 61 as string) as person, 'Page ' || cast(e.user_id % 211 as string) as page,
+    select e.event_id, e.user_id, e.event_type as channel, 'Person ' || cast(e.user_id as string) as person, 'Page ' || cast(e.user_id as string) as page,
            v.verb, p.place as place_surface,
            case when e.event_id % 23 = 0 then '' when e.event_id % 19 = 0 then cast(e.event_id % 900 + 1 as string) || ' BC'
                 when e.event_id % 17 = 0 then 'c. ' || cast(1750 + e.event_id % 120 as string) || '.' when e.event_id % 29 = 0 then '123456'
                 else cast(1750 + e.event_id % 120 as string) end as time_surface,
-           'Person ' || cast(e.user_id % 61 as string) || ' ' || v.phrase || ' in ' || p.place || c.cue || ' in ' || cast(1750 + e.event_id % 120 as string) || '.' as sentence
+           'Person ' || cast(e.user_id as string) || ' ' || v.phrase || ' in ' || p.place || c.cue || ' in ' || cast(1750 + e.event_id % 120 as string) || '.' as sentence
     from {{events}} e
     join {values(VERBS, "v", "k", "verb", "phrase")} on v.k = e.event_id % {len(VERBS)}
     join {values(PLACES, "p", "k", "place")} on p.k = (e.event_id * 7 + e.user_id) % {len(PLACES)}
