@@ -82,6 +82,20 @@ def calendar_date(text: Column) -> Column:
     return F.struct(kind.alias("kind"), d["year"].alias("year"), d["month"].alias("month"), d["day"].alias("day"), none.alias("start_year"), none.alias("end_year"), text.alias("surface"))
 
 
+def time_surface(text: Column) -> Column:
+    """The first time that a text names: day, month and year (in the order of MONTHS), an ISO date, a year before our era, a year; else null."""
+    low = F.lower(text)
+    dated = [F.when(low.rlike(month_pattern(n)), F.concat(F.regexp_extract(low, month_pattern(n), 1), F.lit(f" {n} "), F.regexp_extract(low, month_pattern(n), 2))) for n, _ in MONTHS]
+    bc = r"(?:^|[^0-9])0*([0-9]{1,4})\s*(?:b\.?c|av\.? j)"
+    four = F.filter(F.split(low, "[^0-9]"), lambda r: (F.length(r) == 4) & r.try_cast("int").between(1, 2100))
+    return F.coalesce(
+        *dated,
+        F.nullif(F.regexp_extract(low, ISO, 0), F.lit("")),
+        F.when(low.rlike(bc), F.concat(F.regexp_extract(low, bc, 1), F.lit(" BC"))),
+        F.try_element_at(four, F.lit(1)).cast("int").cast("string"),
+    )
+
+
 def sort_key(time: Column) -> Column:
     """An int in the order of time; years alone stand in the middle of June. No dates before our era are made."""
     z = lambda c, other: F.coalesce(c, F.lit(other))

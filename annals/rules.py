@@ -287,3 +287,9 @@ PROFILES = [
 #: Titles about battles, and about the wars after 1900.
 BATTLE_TITLES = ["battle of", "bataille de", "siege of", "siège de", "siege de"]
 LATE_WARS = ["world war", "guerre mondiale", "1914", "1939"]
+
+#: Places that a clause is searched for when no cue names one; the longest decides, of equal ones the first.
+CLAUSE_PLACES = [
+    "paris", "london", "ajaccio", "waterloo", "leipzig", "austerlitz", "elba", "saint helena", "st helena", "corsica", "moscow", "vienna", "rome", "milan", "toulon", "fontainebleau", "malmaison",
+    "brienne", "egypt", "cairo", "jena", "wagram", "borodino", "smolensk", "tilsit", "notre-dame", "notre dame", "amiens",
+]
