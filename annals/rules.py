@@ -293,3 +293,110 @@ CLAUSE_PLACES = [
     "paris", "london", "ajaccio", "waterloo", "leipzig", "austerlitz", "elba", "saint helena", "st helena", "corsica", "moscow", "vienna", "rome", "milan", "toulon", "fontainebleau", "malmaison",
     "brienne", "egypt", "cairo", "jena", "wagram", "borodino", "smolensk", "tilsit", "notre-dame", "notre dame", "amiens",
 ]
+
+# Titles of sections that may hold debates; those to skip, unless they have a part of the third list.
+DEBATE_SECTIONS = [
+    "historiograph", "legacy", "reputation", "controvers", "death", "mort", "myth", "legend", "légende", "legende", "poison", "postérité", "posterite", "reception", "réception", "memory", "mémoire", "memoire",
+    "assessment", "débat", "debat", "cause of death", "cause de la mort", "origin", "origine", "identity", "identité", "identite", "birthplace", "correspondance", "correspondence",
+]
+SKIPPED_SECTIONS = ["early life", "enfance", "campaign", "campagne", "see also", "references", "notes", "external links", "bibliography", "bibliographie"]
+KEPT_SECTIONS = ["death", "mort", "origin", "identit"]
+
+# What is said of origins, and where it is contested.
+ORIGINS = [
+    "origines", "origine véritable", "véritables origines", "veritables origines", "true origin", "true origins", "origin theor", "origin of", "origins of", "birthplace", "lieu de naissance", "nationalité",
+    "nationalite", "nationality", "was he genoese", "était-il génois", "etait-il genois",
+]
+PEOPLES = ["génois", "genois", "genovese", "genoese", "catalan", "portugais", "portuguese", "convers", "juif", "jewish", "suisse", "swiss", "espagnol", "spanish", "français", "francais", "french"]
+PEOPLE_THEORY = ["origin", "origine", "théorie", "theorie", "theory", "national"]
+CONTESTED = ["disput", "theor", "théorie", "unknown", "on ne sait", "plusieurs", "several", "uncertain", "question", "débat", "debat", "controvers"]
+
+# Fixed values, the first rule that fits decides: lists that must each have a part in the sentence, debate, layer of evidence, kind of claim, status.
+DEBATES = [
+    (
+        [["no contemporary source", "archives destroyed", "lack of evidence", "insufficient evidence", "documentation is scarce", "sources are silent", "aucune source contemporaine", "lacune", "manque de preuves", "mal document"]],
+        "archival_gap", "evidence_gap", "controversy", "uncertain",
+    ),
+    (
+        [
+            ["correspondance", "correspondence", "his letters", "ses lettres", "langue de ses lettres", "language of his letters"],
+            ["langue", "language", "plusieurs langues", "several languages", "castilian", "castillan", "latin", "voyage", "traveled", "travelled", "beaucoup voyagé", "beaucoup voyage"],
+        ],
+        "identity_origin_dispute", "evidence_gap", "controversy", "uncertain",
+    ),
+    ([ORIGINS, CONTESTED], "identity_origin_dispute", "theory_or_legend", "theory", "hypothesized"),
+    ([PEOPLES, PEOPLE_THEORY, CONTESTED], "identity_origin_dispute", "theory_or_legend", "theory", "hypothesized"),
+    (
+        [
+            ["poison", "arsenic", "cause of death", "cause de la mort", "stomach cancer", "cancer de l'estomac", "assassinat"],
+            ["theor", "hypothes", "disput", "controvers", "alleged", " allegedly", "debate", "débat", "selon certains"],
+        ],
+        "cause_of_death_dispute", "theory_or_legend", "theory", "hypothesized",
+    ),
+    ([["legend has it", "according to legend", "apocryphal", "myth", "légende", "legende", "is said to have"]], "legend_or_myth", "theory_or_legend", "theory", "hypothesized"),
+    ([["conspiracy", "complot", "secret plot", "cover-up", "cover up"]], "conspiracy_or_speculative", "theory_or_legend", "theory", "hypothesized"),
+    (
+        [["historians debate", "historians disagree", "no consensus", "remain disputed", "remains controversial", "les historiens débattent", "les historiens discutent", "controverse historiographique", "revisionist", "orthodox view"]],
+        "interpretation_dispute", "interpretation", "debate_stance", "contested",
+    ),
+    (
+        [["legitimacy", "légitimité", "usurp", "coup d'état", "coup d'etat", "rightful"], ["disput", "controvers", "debate", "débat", "question"]],
+        "legitimacy_dispute", "interpretation", "debate_stance", "contested",
+    ),
+    ([["motive", "intention", "why he", "pourquoi il"], ["disput", "unclear", "debate", "débat", "hypothes"]], "motive_dispute", "interpretation", "debate_stance", "contested"),
+    (
+        [["date is disputed", "year is disputed", "chronology", "dating remains", "date controvers", "birth-date", "birth date", "date de naissance", "real birth"]],
+        "chronology_dispute", "competing_reading", "controversy", "disputed",
+    ),
+    ([["some say", "others argue", "on the other hand", "however, some", "alternative account", "selon d'autres", "d'autres historiens"]], "factual_dispute", "competing_reading", "controversy", "disputed"),
+    ([["controversial", "disputed", "contested", "controverse", "débattu", "debattu"]], "factual_dispute", "competing_reading", "controversy", "disputed"),
+]
+
+# The kind of event that a debated sentence is about, tried in order.
+DEBATED_EVENTS = [
+    ([ORIGINS, CONTESTED], "birth"), ([PEOPLES, PEOPLE_THEORY, CONTESTED], "birth"), ([["origines", "nationalité", "nationalite", "birthplace"]], "birth"),
+    ([["died", "death", "mort", "poison", "arsenic", "saint helena", "sainte-hélène", "sainte-helene"]], "death"), ([["born", "birth", "naissance"]], "birth"),
+    ([["battle", "bataille", "waterloo", "austerlitz"]], "battle"), ([["exile", "exil", "elba", "elbe"]], "exile"), ([["crowned", "emperor", "empereur", "consul"]], "office"),
+]
+
+# The same for titles of works; the last value is the kind of event.
+DEBATED_TITLES = [
+    (
+        [["birth-date", "birth date", "date de naissance", "birthplace", "lieu de naissance", "real birth", "vraie date", "vrai lieu", "dating remains", "chronology of", "chronologie de"]],
+        "chronology_dispute", "competing_reading", "controversy", "disputed", "birth",
+    ),
+    (
+        [[
+            "nationality", "nationalité", "nationalite", "origines de", "origins of", "origin of", "origin theor", "identité de", "identity of", "was he genoese", "génois", "genoese", "catalan",
+            "portugais", "portuguese",
+        ]],
+        "identity_origin_dispute", "theory_or_legend", "theory", "hypothesized", "birth",
+    ),
+    (
+        [[
+            "hero or villain", "héros ou", "heros ou", "revisionist", "révisionniste", "revisionniste", "relecture", "historiograph", "controverse", "controversy", "débat", "debat", "myth", "légende",
+            "legende", "memory of", "mémoire de", "memoire de", "reception of", "postérité", "posterite", "modern controvers",
+        ]],
+        "interpretation_dispute", "interpretation", "debate_stance", "contested", None,
+    ),
+]
+
+# Sources of a person's plan, priority, documents at most, who gets it (all, scholars, french or scholars, military), reason.
+PLANNED_SOURCES = [
+    ("wikidata", 10, 20, "all", "identity + structured statements for {class}"),
+    ("wikipedia", 20, 40, "all", "biography pages ranked for {class} ({facets})"),
+    ("wikipedia", 25, 40, "military", "military subject: expand battle/campaign/treaty linked pages"),
+    ("wikisource", 40, 15, "all", "transcriptions / correspondence ({class})"),
+    ("wikimedia_commons", 50, 10, "all", "media captions/geotags ({class})"),
+    ("open_alex", 55, 25, "scholars", "scholarly works query for {class}"),
+    ("bnf", 60, 15, "all", "BnF catalogue ({class})"),
+    ("open_alex", 62, 25, "all", "scholarly works query for {class}"),
+    ("theses_fr", 65, 25, "french", "French theses about {class}"),
+    ("hal", 68, 15, "french", "French open archive scholarly works"),
+    ("gallica", 70, 15, "french", "digitized books, press, correspondence"),
+    ("europeana", 72, 15, "all", "Europeana heritage ({class})"),
+    ("open_library", 80, 10, "all", "bibliographic editions ({class})"),
+    ("internet_archive", 85, 10, "all", "Internet Archive texts ({class})"),
+    ("persee", 90, 10, "french", "historiographic articles"),
+]
+SCHOLARS = ["scientist", "inventor_engineer", "philosopher", "artist_writer", "artist_visual", "musician_composer"]
