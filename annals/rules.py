@@ -400,3 +400,31 @@ PLANNED_SOURCES = [
     ("persee", 90, 10, "french", "historiographic articles"),
 ]
 SCHOLARS = ["scientist", "inventor_engineer", "philosopher", "artist_writer", "artist_visual", "musician_composer"]
+
+# Parts of titles of sections that go with an event; other types take the last list.
+EVENT_SECTIONS = [
+    ("birth", ["naissance", "birth", "early", "enfance", "jeunesse"]), ("death", ["mort", "death", "décès", "deces"]), (None, ["career", "carrière", "carriere", "reign", "military", "life"]),
+]
+
+# Words of a sentence that go with an event, beside its place and year; other types take the last list.
+EVENT_WORDS = [
+    ("birth", ["naît", "nait", "born", "birth", "bapt", "ondoy", "mère", "mother", "father", "père", "famille", "family", "ajaccio", "buonaparte"]),
+    ("death", ["mort", "died", "death", "décès", "expire", "sainte-hélène", "st helena"]),
+    ("battle", ["bataille", "battle", "fought", "combat", "victoire", "defeat"]),
+    ("education", ["étudi", "school", "école", "studied", "formation", "brienne"]),
+    (None, ["en ", "à ", "in ", "at "]),
+]
+
+# Language, type (None: others), the sentence that frames an event.
+FRAMES = [
+    ("fr", "birth", "{person} — naissance : les sources situent l’événement à {place} en {year}."),
+    ("fr", "death", "{person} — mort : les sources situent l’événement à {place} en {year}."),
+    ("fr", "battle", "{person} — bataille : les sources décrivent l’affrontement à {place} en {year}."),
+    ("fr", None, "{person} — les sources situent cet épisode à {place} en {year}."),
+    ("en", "birth", "{person} — birth: sources place the event in {place} in {year}."),
+    ("en", "death", "{person} — death: sources place the event in {place} in {year}."),
+    ("en", None, "{person} — sources situate this episode in {place} in {year}."),
+]
+BIOGRAPHIC_SECTIONS = ["naissance", "mort", "enfance", "jeunesse", "early", "birth", "death"]
+LEFTOVER_HEADINGS = ["Naissance", "Birth", "Early life", "Mort", "Death"]
+FRAMED_WORDS = ["naît", "nait", "born", "mort", "died"]
