@@ -84,3 +84,16 @@ def test_stream_resumes(spark, tmp_path):
     ingest(spark, drop, table, failed, point).awaitTermination()
     assert rows(spark.read.parquet(table), "external_id", "text") == [("a", "one"), ("a", "two")]
     assert rows(spark.read.parquet(failed).groupBy("plan").count(), "plan", "count") == [("broken", 1), ("unusable", 1)]
+
+
+def test_catalogs(spark):
+    from annals.sources import catalogs
+
+    item = {"metadata": {"identifier": "abc", "title": ["", "On X"], "date": "1899-01-01", "creator": ["Ann", "Bob"], "mediatype": "texts"}}
+    payloads = spark.createDataFrame([(json.dumps(item),), ("{broken",), (None,), ('{"identifier": "no title"}',)], "payload string")
+    got = catalogs.archive_items(payloads).collect()
+    assert [(r.external_id, r.url, r.title, r.creator, r.year, r.kind) for r in got] == [("abc", "https://archive.org/details/abc", "On X", "Ann", 1899, "texts")]
+    xml = "<record><dc:title>Vie &lt;1&gt;</dc:title><dc:identifier>ark:/1</dc:identifier><dc:creator>Élise, Ann</dc:creator><dc:date>1750</dc:date></record>"
+    people = [("elise", 1800, None, xml), ("élise", 1740, None, xml), ("Bob", 1800, None, xml), ("Bob", None, None, None)]
+    got = catalogs.digitized(spark.createDataFrame(people, "subject string, birth_year int, death_year int, payload string")).collect()
+    assert [(r.subject, r.authored, r.notice) for r in got] == [("élise", True, 'élise published "Vie <1>" in 1750.'), ("Bob", False, "Vie <1>")]
