@@ -106,9 +106,11 @@ def claims(events: DataFrame, narrative: DataFrame, sentences: DataFrame) -> Dat
     best = F.min(F.when(F.col("_fits"), F.col("section_no"))).over(Window.partitionBy("event_id"))
     pairs = pairs.withColumn("_other", (~F.col("section_no").eqNullSafe(best)).cast("int"))
     chosen = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("event_id").orderBy("_other", "section_no"))).filter("_rank <= 2")
-    said = chosen.select("event_id", "page", "section_no", "section", "event_type", "place_label", "year", "_rank").join(sentences.select("page", "section_no", "ordinal", F.col("text").alias("_raw")), ["page", "section_no"])
-    said = said.withColumn("text", without_heading(claim_text(F.col("_raw")), F.col("section"), " :—-"))
-    said = said.filter(F.char_length("text").between(40, 320) & relevant(F.col("text"), F.col("event_type"), F.col("place_label"), F.col("year")) & ~identity_blurb(F.col("text")))
+    # what a sentence says depends on no event: it is cleaned and judged once, before it meets the events of its page
+    plain = sentences.select("page", "section_no", "ordinal", without_heading(claim_text(F.col("text")), F.col("section"), " :—-").alias("text"))
+    plain = plain.filter(F.char_length("text").between(40, 320) & ~identity_blurb(F.col("text")))
+    said = chosen.select("event_id", "page", "section_no", "section", "event_type", "place_label", "year", "_rank").join(plain, ["page", "section_no"])
+    said = said.filter(relevant(F.col("text"), F.col("event_type"), F.col("place_label"), F.col("year")))
     said = said.select("event_id", F.lit(2).alias("kind"), F.col("_rank").cast("long").alias("first"), F.col("ordinal").cast("long").alias("second"), "text", "section")
     said = said.withColumn("_n", F.row_number().over(Window.partitionBy("event_id").orderBy(*order))).filter(f"_n <= {SECTION_CLAIMS}").drop("_n")
     # of the local ones the first six are enough, whatever follows
