@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language_id import predictions
 from .lm_score import lm_scores
+from .manifest import every_fifth, manifest_proofs
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
+from .runs import periodic_runs
 from .token_counts import token_counts
 from .tokens import read_ids, write_ids
 from .url_filter import url_verdicts
@@ -64,6 +67,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(table(spark, sf_dir, "documents"))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of each tenth document (by the crc32 of its id) repeat with a period from some word on."""
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), edit=planted_period).drop("runs")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_proofs(table(spark, sf_dir, "documents"), tamper=every_fifth)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_ids": op2_token_ids,
@@ -75,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -83,7 +106,54 @@ WORDS = f"regexp_extract_all({NORMAL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 SPACED = f"regexp_extract_all({NORMAL}, '[^\\x20\\x09-\\x0D]+')"
 
+#: crc32 of a decimal number: bytes and, after each, eight shifts.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''),
+        lambda c: [unicode(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end))"""
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def leaf_sql(text: str) -> str:
+    values = ["doc_id::varchar", "source::varchar", "lang::varchar", "n_chars::varchar", text]
+    return "sha256(concat(" + ", ".join(f"case when {v} is null then '-' else concat(strlen({v}), ':', {v}) end" for v in values) + "))"
+
+
 SQL: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+        with recursive d as (
+            select doc_id, source, {leaf_sql("text")} as leaf, if({CRC32} % 5 = 0, {leaf_sql(LOWERED)}, {leaf_sql("text")}) as shown from documents),
+        l as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from d),
+        t as (
+            select 0 as h, source, i, leaf as x, n from l
+            union all
+            select h + 1, source, i // 16, sha256(string_agg(x, '' order by i)), (n + 15) // 16 from t where n > 1 group by h, source, i // 16, n),
+        s as (select source, x as subroot, h as height, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n from t where n = 1),
+        u as (
+            select 0 as h, i, subroot as x, n from s
+            union all
+            select h + 1, i // 16, sha256(string_agg(x, '' order by i)), (n + 15) // 16 from u where n > 1 group by h, i // 16, n),
+        tp as (
+            select h, source, i, coalesce(string_agg(x, '') over (partition by h, source, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as lo,
+                   coalesce(string_agg(x, '') over (partition by h, source, i // 16 order by i rows between 1 following and unbounded following), '') as hi
+            from t where n > 1),
+        up as (
+            select h, i, coalesce(string_agg(x, '') over (partition by h, i // 16 order by i rows between unbounded preceding and 1 preceding), '') as lo,
+                   coalesce(string_agg(x, '') over (partition by h, i // 16 order by i rows between 1 following and unbounded following), '') as hi
+            from u where n > 1),
+        path as (
+            select doc_id, leaf, tp.h as k, lo, hi from l join tp on l.source is not distinct from tp.source and tp.i = l.i // (16 ** tp.h)::bigint
+            union all
+            select doc_id, leaf, s.height + up.h, lo, hi from l join s on l.source is not distinct from s.source join up on up.i = s.i // (16 ** up.h)::bigint),
+        p as (select doc_id, leaf, list(struct_pack(lo := lo, hi := hi) order by k) as segs from path group by doc_id, leaf),
+        w as (select l.doc_id, l.leaf, l.source, l.shown, coalesce(segs, []) as segs from l left join p on l.doc_id is not distinct from p.doc_id and l.leaf = p.leaf),
+        f as (
+            select doc_id, leaf, source, segs, shown as x, 1 as k from w
+            union all
+            select doc_id, leaf, source, segs, sha256(segs[k].lo || x || segs[k].hi), k + 1 from f where k <= len(segs))
+        select doc_id, leaf, subroot, (select x from u where n = 1) as root, sha256(array_to_string(list_transform(segs, lambda g: g.lo || g.hi), '')) as proof_sha256,
+               x as folded_root, x = (select x from u where n = 1) as verified
+        from f join s on f.source is not distinct from s.source where k = len(segs) + 1""",
     "op4_lm_scores": f"""
         with d as (select doc_id, {WORDS} as ws from documents),
         w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
