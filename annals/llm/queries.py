@@ -19,6 +19,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
 from .runs import periodic_runs
+from .suffix_dedup import repeated_strings
 from .token_counts import token_counts
 from .tokens import read_ids, write_ids
 from .url_filter import url_verdicts
@@ -85,6 +86,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_proofs(table(spark, sf_dir, "documents"), tamper=every_fifth)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_ids": op2_token_ids,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,6 +126,20 @@ def leaf_sql(text: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op13_suffix_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents),
+        s as (select doc_id, j, substr(x, 2 * j + 1, 200) as k from (select *, unnest(range(0, greatest(n - 99, 0))) as j from d)),
+        r as (select doc_id, j from (select doc_id, j, row_number() over (partition by k order by doc_id, j) as o from s) where o > 1),
+        e as (select doc_id, j, coalesce(j > lag(j) over (partition by doc_id order by j) + 100, true)::int as new from r),
+        g as (select doc_id, j, sum(new) over (partition by doc_id order by j) as g from e),
+        p as (select doc_id, min(j) as a, max(j) + 100 as b from g group by doc_id, g),
+        q as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as z from p),
+        k as (
+            select doc_id, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' order by a) as pre, max(b) as last, sum(b - a) as removed, count(*) as n_spans
+            from q join d using (doc_id) group by doc_id)
+        select doc_id, n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+               sha256(unhex(coalesce(pre, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256
+        from d left join k using (doc_id)""",
     "op12_merkle_manifest": f"""
         with recursive d as (
             select doc_id, source, {leaf_sql("text")} as leaf, if({CRC32} % 5 = 0, {leaf_sql(LOWERED)}, {leaf_sql("text")}) as shown from documents),
