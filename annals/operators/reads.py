@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annals.functions.text import fold
+from annals.operators.stage import disputes
 
 
 def person_match(name: Column, pattern: str, aliases: Column | None = None) -> Column:
@@ -59,11 +60,11 @@ def claim_sentences(sentences: DataFrame, pages: DataFrame, entities: DataFrame,
     return rows.withColumn("entity_id", F.coalesce("_page_entity", "_candidate_entity")).filter("entity_id is not null").drop("_page_entity", "_candidate_entity")
 
 
-def abstained(events: DataFrame, stem: str, place: str) -> DataFrame:
-    """Adds places (of the stem, sorted, if there are at least two) and turns the status of events with competing places to uncertain."""
-    found = events.filter(F.col(place) != "").groupBy(stem).agg(F.array_sort(F.collect_set(place)).alias("places")).filter(F.size("places") >= 2)
-    rows = events.join(found, stem, "left")
-    return rows.withColumns({"conflict": F.col("places").isNotNull(), "status": F.when(F.col("places").isNotNull(), "uncertain").otherwise(F.col("status"))})
+def abstained(decided: DataFrame) -> DataFrame:
+    """decided candidates (see ``stage.decide``) with conflict, and status needs_review for competing readings, uncertain for what was read before one."""
+    rows = decided.join(disputes(decided), "stem", "left").withColumn("conflict", F.col("outcome") == "needs_review")
+    status = F.when(F.col("conflict"), "needs_review").when(F.col("disputed") > F.col("event_id"), "uncertain").otherwise(F.col("status"))
+    return rows.withColumn("status", status).drop("disputed")
 
 
 def resolve_mentions(candidates: DataFrame, entities: DataFrame, surface: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annals import rules
 from annals.functions import ident, place, text, time
-from annals.operators import assembly, judge as judges
+from annals.operators import assembly, judge as judges, stage
 from annals.plans import oracle as o
 from annals.plans.synth import mentions, mentions_sql
 from annals.session import written
@@ -85,15 +85,17 @@ def time_parse(spark, sf_dir):
     return mentions(spark, sf_dir).select("event_id", "time_surface", time.parse_year(F.col("time_surface")).alias("year"))
 
 
+TAILED = "sentence || case event_id % 4 when 0 then ' In 1999 and 1805.' when 1 then ' By 1849 or 1850, not 1851.' when 2 then ' In 18 05 or 17811.' else '' end"
+
+
 @query(
     "year_last_in_window",
-    f"""with m as (select event_id, unnest(regexp_extract_all(sentence || ' In 1999 and 1805.', '[0-9]+')) as d, generate_subscripts(regexp_extract_all(sentence || ' In 1999 and 1805.', '[0-9]+'), 1) as i from ({M})),
-    y as (select event_id, i, d::int as y from m where length(d) = 4 and d::int between 1000 and 2100)
-    select event_id, arg_max(y, i) as year from y where y between 1780 and 1850 group by event_id""",
+    f"""with m as (select event_id, {TAILED} as s from ({M})), n as (select event_id, unnest(regexp_extract_all(s, '[0-9]+')) as d, generate_subscripts(regexp_extract_all(s, '[0-9]+'), 1) as i from m),
+    y as (select event_id, i, d::int as y from n where length(d) = 4 and d::int between 1780 and 1850)
+    select event_id, max_by(y, i) as year from m left join y using (event_id) group by event_id""",
 )
 def year_last_in_window(spark, sf_dir):
-    s = F.concat("sentence", F.lit(" In 1999 and 1805."))
-    return mentions(spark, sf_dir).select("event_id", time.last_year(s, F.lit(1780), F.lit(1850)).alias("year"))
+    return mentions(spark, sf_dir).selectExpr("event_id", f"{TAILED} as s").select("event_id", time.last_year(F.col("s"), F.lit(1780), F.lit(1850)).alias("year"))
 
 
 @query("place_plausible", f"""select place, n, not (strlen(s) not between 2 and 60 or length(s) - length(replace(s, ' ', '')) > 5 or contains(lower(s), ' the ') or regexp_matches(lower(s), '^(the |a |an |his |her |their |have |fight|chapter)')
@@ -309,3 +311,41 @@ def person_search_score(spark, sf_dir):
     n = F.col("event_id") % 5
     tail = F.when(n == 0, " king").when(n == 1, " album").when(n == 2, " painter of a film located in Rome").otherwise("")
     return mentions(spark, sf_dir).select("event_id", judges.person_score(F.concat("sentence", tail)).alias("score"))
+
+
+STAGED = f"""{KEYS}, s0 as (select *, {o.normal("place_label")} as place from k),
+    s1 as (select *, min(nullif(place, '')) over w as low, max(nullif(place, '')) over w as high,
+                  list(nullif(place, '')) over (partition by stem order by event_id rows between unbounded preceding and current row) as seen
+           from s0 window w as (partition by stem order by event_id rows between unbounded preceding and 1 preceding)),
+    s2 as (select *, coalesce(place <> '' and (low <> place or high <> place), false) as competes from s1),
+    s3 as (select *, first_value(event_id) over (partition by occurrence_key, competes order by event_id) as made,
+                  first_value(event_id) over (partition by person, event_type, competes order by event_id) as only_one,
+                  first_value(occurrence_key) over (partition by person, event_type, competes order by event_id) as only_key from s2),
+    s4 as (select *, case when competes then null when event_type in ('birth', 'death') then case when occurrence_key = only_key then only_one end else made end as event from s3),
+    staged as (select *, case when competes then 'needs_review' when event is null then 'rejected' when event = event_id then 'created' else 'reinforced' end as outcome,
+                  case when competes then array_to_string(list_sort(list_distinct(list_filter(seen, lambda x: x is not null))), ',') end as places from s4),
+    disputed as (select stem, max(event_id) as last from staged where competes group by stem)"""
+
+
+def staged(spark, sf_dir):
+    rows = keyed(spark, sf_dir).withColumn("place", text.normalize_surface(F.coalesce("place_label", F.lit(""))))
+    return stage.decide(rows.select("event_id", "person", "event_type", "stem", "occurrence_key", "place", "status"))
+
+
+@query(
+    "event_stage",
+    f"""{STAGED} select event_id, outcome, case when competes then 'competing_place' when outcome = 'rejected' then 'singleton_cardinality_violation' end as code, places, event from staged""",
+)
+def event_stage(spark, sf_dir):
+    """What becomes of each accepted candidate: an event, its support, a competing reading, or a second birth."""
+    return staged(spark, sf_dir).select("event_id", "outcome", "code", F.array_join("places", ",").alias("places"), "event")
+
+
+@query(
+    "event_table",
+    f"""{STAGED}, e as (select occurrence_key, stem, min(event) as event_id, count(*) as support from staged where event is not null group by occurrence_key, stem)
+    select occurrence_key, event_id, support, case when last > event_id then 'uncertain' else 'attested' end as status from e left join disputed using (stem)""",
+)
+def event_table(spark, sf_dir):
+    """The events with their support; uncertain if a competing reading came later."""
+    return stage.event_table(staged(spark, sf_dir)).select("occurrence_key", "event_id", "support", "status")

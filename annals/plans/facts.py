@@ -27,14 +27,18 @@ POINT = lambda test, n: f"case when {test} then {n} else 0 end"
 HAS_YEAR, HAS_PLACE = f"regexp_matches(low, {o.q(fragments.YEAR)})", f"(regexp_matches(low, {o.q('(^|[^a-z0-9])(' + '|'.join(fragments.PLACES) + ')([^a-z0-9]|$)')}) or regexp_matches(low, {o.q(fragments.AFTER_CUE)}))"
 
 
+#: Every third fragment lacks its years, every fifth its names.
+SPOKEN = "case when event_id % 3 = 0 then translate(sentence, '0123456789', '') when event_id % 5 = 0 then translate(sentence, '0123456789PLSEWRN', '') else sentence end"
+
+
 @query(
     "filter_score_fragments",
-    f"""with m as (select event_id, sentence as t, lower(sentence) as low from ({M})),
+    f"""with m as (select event_id, {SPOKEN} as t, lower({SPOKEN}) as low from ({M})),
     s as (select event_id, {POINT(HAS_YEAR, 30)} + {POINT(o.any_of("low", fragments.verb_parts()), 30)} + {POINT(HAS_PLACE, 25)} + {POINT(f"{HAS_YEAR} and {HAS_PLACE} and regexp_matches(t, {o.q(fragments.PERSON)})", 15)} as score from m)
     select event_id, score, score >= 45 as accepted from s""",
 )
 def filter_score_fragments(spark, sf_dir):
-    rows = mentions(spark, sf_dir).select("event_id", fragments.fragment_score(F.col("sentence")).alias("score"))
+    rows = mentions(spark, sf_dir).selectExpr("event_id", f"{SPOKEN} as t").select("event_id", fragments.fragment_score(F.col("t")).alias("score"))
     return rows.withColumn("accepted", F.col("score") >= 45)
 
 
@@ -120,7 +124,7 @@ def typed_dates(spark, sf_dir):
     return rows.select("event_id", "surface", "t.year", "t.month", "t.day", t.sort_key(F.col("t")).alias("sort_key"), t.canonical_key(F.col("t")).alias("time_key"))
 
 
-LABEL = "case event_id % 6 when 0 then place_surface when 1 then place_surface || ' (1796)' when 2 then place_surface || '–Auerstedt' when 3 then 'Essling / ' || place_surface when 4 then 'Battle of ' || place_surface || ' (x)' else upper(place_surface) || ', France' end"
+LABEL = "case event_id % 8 when 6 then 'Siege of ' || place_surface when 7 then 'TREATY OF ' || place_surface || ' (draft)' when 0 then place_surface when 1 then place_surface || ' (1796)' when 2 then place_surface || '–Auerstedt' when 3 then 'Essling / ' || place_surface when 4 then 'Battle of ' || place_surface || ' (x)' else upper(place_surface) || ', France' end"
 
 
 def resolved(key: str) -> str:
@@ -150,13 +154,13 @@ def place_alias_resolution(spark, sf_dir):
 
 @query(
     "exploration_reachable",
-    """with recursive e as (select distinct user_id as src, event_id * 7 + user_id as dst from events),
+    """with recursive e as (select distinct user_id as src, event_id as dst from events),
     r as (select 0::bigint as node, 0 as depth union select dst, depth + 1 from r join e on src = node where depth < 3) select node, min(depth)::int as depth from r group by node""",
 )
 def exploration_reachable(spark, sf_dir):
     from annals.operators.explore import reachable
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as src", "event_id * 7 + user_id as dst").distinct()
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id as src", "event_id as dst").distinct()
     return reachable(e, spark.range(1).select(F.col("id").alias("node")), 3)
 
 

@@ -11,7 +11,7 @@ from annals.functions.place import coordinates, gazetteer
 from annals.operators import judge as judges, reads
 from annals.plans import oracle as o
 from annals.plans.corpus import read
-from annals.plans.events import CLAIM, JUDGED, KEYS, M, judged, keyed, mentions
+from annals.plans.events import CLAIM, JUDGED, KEYS, M, STAGED, judged, keyed, mentions, staged
 
 QUERIES, SQL = {}, {}
 
@@ -122,23 +122,26 @@ def claims_backfill(spark, sf_dir):
 
 @query(
     "competing_abstention",
-    f"""{KEYS}, p as (select stem, string_agg(distinct place_label, ',' order by place_label) as places from k where place_label <> '' group by stem having count(distinct place_label) >= 2)
-    select event_id, places is not null as conflict, places, case when places is not null then 'uncertain' else status end as status from k left join p using (stem)""",
+    f"""{STAGED} select event_id, competes as conflict, places, case when competes then 'needs_review' when last > event_id then 'uncertain' else status end as status from staged left join disputed using (stem)""",
 )
 def competing_abstention(spark, sf_dir):
-    """Events whose sources disagree on the place are uncertain."""
-    rows = reads.abstained(keyed(spark, sf_dir), "stem", "place_label")
+    """Where sources disagree on the place the first reading turns uncertain and those that differ go to review."""
+    rows = reads.abstained(staged(spark, sf_dir))
     return rows.select("event_id", "conflict", F.array_join("places", ",").alias("places"), "status")
 
 
+#: Most sentences without what makes a claim sure.
+RARE = "case when event_id % 97 = 0 then sentence else 'Perhaps so, it is said' end"
+
+
 @query(
     "claims_by_confidence",
-    f"""with m as (select event_id, lower(sentence) as s from ({M})), c as (select event_id, {CLAIM(1, "life_event", "context", "fact")} as kind, {CLAIM(4, 65, 45, 40)} as confidence from m)
+    f"""with m as (select event_id, lower({RARE}) as s from ({M})), c as (select event_id, {CLAIM(1, "life_event", "context", "fact")} as kind, {CLAIM(4, 65, 45, 40)} as confidence from m)
     select * from c order by confidence desc, event_id limit 200""",
 )
 def claims_by_confidence(spark, sf_dir):
     """The 200 surest claims, ties by id."""
-    rows = mentions(spark, sf_dir).select("event_id", *[judges.claim_class(F.col("sentence"), v).alias(n) for v, n in ((1, "kind"), (4, "confidence"))])
+    rows = mentions(spark, sf_dir).selectExpr("event_id", f"{RARE} as s").select("event_id", *[judges.claim_class(F.col("s"), v).alias(n) for v, n in ((1, "kind"), (4, "confidence"))])
     return rows.orderBy(F.desc("confidence"), "event_id").limit(200)
 
 
@@ -164,13 +167,13 @@ def mention_resolution(spark, sf_dir):
 
 @query(
     "human_entities",
-    """with h as (select s_suppkey, case when s_suppkey % 3 = 0 then s_suppkey * 2 end as qid, 'Customer#' || lpad((s_suppkey * 5)::varchar, 9, '0') as title from supplier)
+    """with h as (select s_suppkey, case when s_suppkey % 3 = 0 then s_suppkey * 2 end as qid, 'Customer#' || lpad((s_suppkey * 25)::varchar, 9, '0') as title from supplier)
     select s_suppkey, coalesce(a.c_custkey, b.c_custkey) as entity_id, a.c_custkey is null and b.c_custkey is null as is_new from h left join customer a on a.c_custkey * 4 = qid left join customer b on b.c_name = title""",
 )
 def human_entities(spark, sf_dir):
     """Humans find their entity by identifier, else by page title, else are new."""
     key = F.col("s_suppkey")
-    humans = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 3 == 0, key * 2).alias("qid"), F.concat(F.lit("Customer#"), F.lpad((key * 5).cast("string"), 9, "0")).alias("title"))
+    humans = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 3 == 0, key * 2).alias("qid"), F.concat(F.lit("Customer#"), F.lpad((key * 25).cast("string"), 9, "0")).alias("title"))
     people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") * 4).alias("qid"), F.col("c_name").alias("title"))
     return reads.human_entities(humans, people, ["qid", "title"]).select("s_suppkey", "entity_id", "is_new")
 

@@ -21,17 +21,25 @@ def values(rows: list, *names: str) -> str:
     return f"(values {body}) as {names[0]}({', '.join(names[1:])})"
 
 
+# Each seventh event is one of a few reports of what its person did in a year: same verb, same year, places that differ or not.
+SHARED = "event_id % 7 = 3"
 MENTIONS = f"""
     select e.event_id, e.user_id, e.event_type as channel, 'Person ' || cast(e.user_id as string) as person, 'Page ' || cast(e.user_id as string) as page,
            v.verb, p.place as place_surface,
-           case when e.event_id % 23 = 0 then '' when e.event_id % 19 = 0 then cast(e.event_id % 900 + 1 as string) || ' BC'
-                when e.event_id % 17 = 0 then 'c. ' || cast(1750 + e.event_id % 120 as string) || '.' when e.event_id % 29 = 0 then '123456'
-                else cast(1750 + e.event_id % 120 as string) end as time_surface,
-           'Person ' || cast(e.user_id as string) || ' ' || v.phrase || ' in ' || p.place || c.cue || ' in ' || cast(1750 + e.event_id % 120 as string) || '.' as sentence
-    from {{events}} e
-    join {values(VERBS, "v", "k", "verb", "phrase")} on v.k = e.event_id % {len(VERBS)}
-    join {values(PLACES, "p", "k", "place")} on p.k = (e.event_id * 7 + e.user_id) % {len(PLACES)}
-    join {values(CUES, "c", "k", "cue")} on c.k = (e.event_id * 3 + e.user_id) % {len(CUES)}"""
+           case when {SHARED} then cast(e.y as string) when e.event_id % 23 = 0 then '' when e.event_id % 19 = 0 then cast(e.event_id % 900 + 1 as string) || ' BC'
+                when e.event_id % 17 = 0 then 'c. ' || cast(e.y as string) || '.' when e.event_id % 29 = 0 then '123456'
+                else cast(e.y as string) end as time_surface,
+           'Person ' || cast(e.user_id as string) || ' ' || v.phrase || ' in ' || p.place || c.cue || ' in ' || cast(e.y as string) || '.' as sentence
+    from (
+        select event_id, user_id, event_type,
+               case when {SHARED} then 1790 + user_id % 40 + cast(floor(event_id / 7) as bigint) % 4 else 1750 + event_id % 120 end as y,
+               case when {SHARED} then user_id else event_id end % {len(VERBS)} as vk,
+               case when {SHARED} then user_id + cast(floor(event_id / 28) as bigint) % 5 else event_id * 7 + user_id end % {len(PLACES)} as pk,
+               (event_id * 3 + user_id) % {len(CUES)} as ck
+        from {{events}}) e
+    join {values(VERBS, "v", "k", "verb", "phrase")} on v.k = e.vk
+    join {values(PLACES, "p", "k", "place")} on p.k = e.pk
+    join {values(CUES, "c", "k", "cue")} on c.k = e.ck"""
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
