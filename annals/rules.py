@@ -428,3 +428,78 @@ FRAMES = [
 BIOGRAPHIC_SECTIONS = ["naissance", "mort", "enfance", "jeunesse", "early", "birth", "death"]
 LEFTOVER_HEADINGS = ["Naissance", "Birth", "Early life", "Mort", "Death"]
 FRAMED_WORDS = ["naît", "nait", "born", "mort", "died"]
+
+# Fixed values of the phrase extractor.
+#: (person, aliases in the text, first year, last year)
+PHRASE_PERSONS = [
+    ("Napoleon", ["napoleon bonaparte", "napoléon bonaparte", "napoleon i", "emperor napoleon", "general bonaparte", "bonaparte", "napoleon", "napoléon"], 1765, 1865),
+    ("Marie Curie", ["marie skłodowska-curie", "marie sklodowska-curie", "marie curie", "madame curie"], 1865, 1935),
+    ("Victor Hugo", ["victor hugo"], 1800, 1885),
+    ("Leonardo da Vinci", ["leonardo da vinci"], 1450, 1520),
+    ("Christopher Columbus", ["christopher columbus"], 1440, 1510),
+    ("Alan Turing", ["alan turing"], 1910, 1960),
+    ("Cleopatra", ["cleopatra vii", "cleopatra"], -80, 30),
+    ("Honoré de Balzac", ["honoré de balzac", "honore de balzac", "de balzac", "balzac"], 1795, 1860),
+]
+#: (person, parts of page titles), in the order in which they are tried
+PHRASE_PAGES = [
+    ("Napoleon", ["napoleon", "napoléon"]),
+    ("Marie Curie", ["marie curie", "curie"]),
+    ("Victor Hugo", ["victor hugo"]),
+    ("Leonardo da Vinci", ["leonardo"]),
+    ("Christopher Columbus", ["columbus"]),
+    ("Alan Turing", ["turing", "bletchley"]),
+    ("Cleopatra", ["cleopatra"]),
+    ("Honoré de Balzac", [
+        "balzac", "comédie humaine", "comedie humaine", "père goriot", "pere goriot", "eugénie grandet", "lost illusions", "illusions perdues", "cousin bette",
+    ]),
+    ("Napoleon", [
+        "french consulate", "first french empire", "hundred days", "peninsular war", "continental system", "napoleonic", "waterloo", "austerlitz", "tilsit", "borodino", "jena", "wagram",
+        "marengo", "eylau", "friedland", "leipzig", "toulon", "ligny",
+    ]),
+    ("Victor Hugo", ["les misérables", "les miserables", "notre-dame de paris", "hauteville", "hernani", "ruy blas", "toilers of the sea", "the man who laughs"]),
+    ("Leonardo da Vinci", ["mona lisa", "last supper", "vitruvian", "codex atlanticus", "clos lucé", "clos luce"]),
+    ("Christopher Columbus", ["voyages of christopher", "palos de la frontera", "hispaniola"]),
+    ("Alan Turing", ["hut 8", "enigma", "manchester mark", "automatic computing engine"]),
+    ("Cleopatra", ["ptolemaic", "actium", "caesarion", "donations of alexandria"]),
+    ("Marie Curie", ["radium", "polonium", "institut curie", "espci"]),
+]
+#: (cue, verb, layout of what follows it), in the order in which they are tried
+PHRASE_LAYOUTS = [
+    (" was born in ", "born", "year in place"), (" died in ", "died", "year in place"), (" studied at ", "studied", "place in year"), (" fought at ", "fought", "place in year"),
+    (" was crowned in ", "crowned", "year in place"), (" married ", "married", "object in year in place"), (" divorced ", "divorced", "object in year in place"),
+    (" was exiled to ", "exiled", "place in year"), (" was exiled in ", "exiled", "year in place"), (" lived in ", "lived", "place in year"), (" resided in ", "lived", "place in year"),
+    (" moved to ", "moved", "place in year"), (" returned to ", "moved", "place in year"), (" arrived in ", "moved", "place in year"), (" visited ", "visited", "place in year"),
+    (" signed ", "signed", "object in year in place"), (" negotiated ", "signed", "object in year in place"), (" met ", "met", "object in year in place"), (" invaded ", "fought", "place in year"),
+    (" was unveiled in ", "unveiled", "year in place"), (" enrolled at ", "studied", "place in year"), (" studied in ", "studied", "place in year"), (" sailed from ", "sailed", "place in year"),
+    (" landed at ", "sailed", "place in year"), (" founded ", "founded", "place in year"),
+]
+#: (verb, its cues), in the order in which they are tried
+PHRASE_VERBS = [
+    ("born", ["was born", "born in", "birth of"]),
+    ("died", ["died", "death of", "passed away"]),
+    ("married", ["married", "wedding", "marriage to", "marriage with"]),
+    ("divorced", ["divorced", "divorce", "annulled", "anulled"]),
+    ("studied", ["studied", "educated", "enrolled", "school at", "to study", "study in", "study at", "matriculat"]),
+    ("fought", ["fought", "defeated", "victory at", "won at", "battle of", "besieged", "invaded", "captured", "commanded", "siege of"]),
+    ("signed", ["signed", "treaty of", "negotiated", "peace of", "concordat", "alliance with", "diplomacy"]),
+    ("crowned", ["crowned", "coronation", "proclaimed emperor", "became emperor", "became consul", "first consul"]),
+    ("exiled", ["exiled", "exile to", "banished", "abdicated", "abdication"]),
+    ("lived", ["lived", "resided", "residence", "stayed", "settled", "moved to", "returned to", "arrived in", "arrived at", "left for", "departed"]),
+    ("visited", ["visited", "travelled", "traveled", "toured", "went to"]),
+    ("met", ["met", "received", "audience", "congress of"]),
+    ("imprisoned", ["imprisoned", "detained", "confined", "captive"]),
+    ("published", ["published", "napoleonic code", "code civil", "wrote"]),
+    ("appointed", ["appointed", "promoted", "commissioned", "named general", "elected"]),
+    ("sailed", ["set sail", "sailed", "embarked", "voyage", "expedition", "landed"]),
+    ("founded", ["founded", "founding"]),
+    ("worked", ["worked at", "worked in", "laboratory"]),
+    ("awarded", ["awarded", "nobel", "received the"]),
+    ("painted", ["painted", "painting"]),
+    ("discovered", ["discovered", "isolated", "research at"]),
+    ("taught", ["taught", "teaching at"]),
+    ("exiled", ["fled", "escaped"]),
+    ("invented", ["invented", "designed", "decoded"]),
+]
+PHRASE_MEMORY = ["statue", "museum", "was unveiled", "memorial"]
+PHRASE_NO_PLACE = [" and ", " was ", " were ", " the french", " commissioned", " officer"]
