@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annals.functions.text import fold
+from annals.session import written
 
 
 def keyset_page(rows: DataFrame, score: str, key: str, size: int, cursor: tuple | None = None) -> DataFrame:
@@ -51,22 +52,31 @@ def within_budget(rows: DataFrame, group: str, order: list, size: str, most_rows
     return first.withColumn("_bytes", running).filter(F.col("_bytes") <= most_bytes).drop("_n", "_bytes")
 
 
-def blocks(dimension: DataFrame, most: int) -> list[DataFrame]:
-    """dimension in parts of about ``most`` rows, by a hash of the row: what is sent to a task at once."""
-    n = max(1, -(-dimension.count() // most))
-    return [dimension.filter(F.pmod(F.xxhash64(*dimension.columns), F.lit(n)) == i) for i in range(n)]
+def overlapping(spans: DataFrame, periods: DataFrame, width: int = 32) -> DataFrame:
+    """Spans (start_year, end_year) with each period (first_year, last_year) that they overlap.
 
-
-def overlapping(spans: DataFrame, periods: DataFrame, most: int = 1000) -> DataFrame:
-    """Spans (start_year, end_year) with each period (first_year, last_year) that they overlap. Periods travel as arrays of about
-    ``most`` of them, one pass over the spans for each, and only overlaps become rows."""
-
-    def one(part: DataFrame) -> DataFrame:
-        every = part.agg(F.collect_list(F.struct(*periods.columns))).scalar()
-        fits = F.filter("_every", lambda p: (F.col("end_year") >= p["first_year"]) & (F.col("start_year") <= p["last_year"]))
-        return spans.withColumn("_every", every).select(*[F.col(c) for c in spans.columns], F.inline(fits))
-
-    return reduce(DataFrame.unionByName, map(one, blocks(periods, most)))
+    Both sides are cut into bins of ``width`` years and joined on equal bins; an overlap counts in the
+    first bin that both have, so it is one row. Rows grow with the length of the intervals and with
+    the overlaps; a crowded bin is a skewed key that adaptive execution splits. Nulls overlap nothing.
+    """
+    number = lambda year: F.floor(year / width)
+    low = lambda a, b: number(F.least(a, b))
+    binned = lambda rows, a, b: rows.withColumn("_bin", F.explode(F.sequence(low(F.col(a), F.col(b)), number(F.greatest(a, b)))))
+    start, end, first, last = (F.col(c) for c in ("start_year", "end_year", "first_year", "last_year"))
+    spans, periods = (rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()) for rows, a, b in ((spans, "start_year", "end_year"), (periods, "first_year", "last_year")))
+    met = binned(spans, "start_year", "end_year").join(binned(periods, "first_year", "last_year"), "_bin")
+    once = F.col("_bin") == F.greatest(low(start, end), low(first, last))
+    return met.filter(once & (end >= first) & (start <= last)).drop("_bin")
+
+
+def running_total(rows: DataFrame, order: str, size: str, name: str) -> DataFrame:
+    """Adds the sum of ``size`` over the rows up to each in ``order`` (unique): sums of ranges first, then within them, so no task sees all rows."""
+    dealt = written(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy("_part").agg(F.sum(size).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("_run", F.sum(size).over(within)).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_run")).drop("_part", "_run", "_before")
 
 
 def duplicates(rows: DataFrame, key: Column, ident: str) -> DataFrame:
@@ -74,29 +84,53 @@ def duplicates(rows: DataFrame, key: Column, ident: str) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(ident).alias("first_id")).filter("n > 1")
 
 
-def match_subjects(docs: DataFrame, aliases: DataFrame, low: int = 30, most: int = 10_000) -> DataFrame:
-    """(doc_id, subject, relation, score, evidence): subjects that a document is about or by.
+PLACES = ("title", "abstract", "author", "keyword")
 
-    docs: doc_id, title, abstract, author, keyword. aliases: subject, alias, of three bytes at least;
-    they are folded once and travel as arrays of about ``most`` of them, one pass over docs for each,
-    and only hits become rows. Hundredths: title 45, abstract 25 (one-word alias: 35), keyword 15,
-    author 35; ``low`` in all at least, 100 at most.
-    """
-    places = ("title", "abstract", "author", "keyword")
-    known = aliases.select("subject", "alias", fold(F.col("alias")).alias("folded")).filter(F.octet_length("alias") >= 3)
-    texts = docs.select("doc_id", *[F.coalesce(fold(F.col(c)), F.lit("")).alias(c) for c in places])
-    within = lambda c, a: F.contains(F.col(c), a)
 
-    def hits(part: DataFrame) -> DataFrame:
-        every = part.agg(F.collect_list(F.struct("subject", "alias", "folded"))).scalar()
-        found = F.filter("_every", lambda a: reduce(lambda x, y: x | y, [within(c, a["folded"]) for c in places]))
-        return texts.withColumn("_every", every).select("doc_id", *places, F.inline(found))
+def grams(word: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters of a word."""
+    return F.when(F.length(word) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - size + 1), lambda i: F.substring(word, i, F.lit(size)))))
 
-    rows = reduce(DataFrame.unionByName, map(hits, blocks(known, most)))
+
+def alias_hits(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, subject, alias, folded) of documents (doc_id, words: distinct) that may have an alias, as part of a word or over several.
+
+    The longest word of an alias lies within a word of any text that has the alias. So the index is
+    over distinct words: each is posted under its pieces of three characters, an alias is looked up
+    under the rarest piece of its longest word, and what contains the word goes on to the documents.
+    Work grows with the distinct words and the hits, not with documents times aliases.
+    """
+    every = F.filter(F.split("folded", " "), lambda w: w != "")
+    longest = F.array_max(F.transform(every, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    known = known.withColumn("probe", longest).filter("probe is not null").withColumn("size", F.least(F.lit(3), F.length("probe")))
+    words = texts.select("doc_id", F.explode("words").alias("word"))
+    vocabulary = words.select("word").distinct()
+    pieces = reduce(lambda a, b: a.when(F.col("size") == b, grams(F.col("probe"), b)), (2, 3), F.when(F.col("size") == 1, F.array("probe")))
+    asked = known.withColumn("gram", F.explode(pieces))
+    sizes = [r.size for r in known.select("size").distinct().collect()]  # three at most
+    posted = reduce(DataFrame.unionByName, [vocabulary.select("word", F.explode(grams(F.col("word"), n)).alias("gram")) for n in sizes or [3]])
+    frequency = posted.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(frequency, "gram", "left").groupBy("subject", "alias", "folded", "probe").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    pairs = posted.join(rarest, "gram").filter(F.contains("word", F.col("probe"))).select("word", "subject", "alias", "folded")
+    return words.join(pairs, "word").select("doc_id", "subject", "alias", "folded").distinct()
+
+
+def match_subjects(docs: DataFrame, aliases: DataFrame, low: int = 30) -> DataFrame:
+    """(doc_id, subject, relation, score, evidence): subjects that a document is about or by.
+
+    docs: doc_id (unique), title, abstract, author, keyword. aliases: subject, alias, of three bytes at
+    least; blank ones match nothing. Candidates come from an index over the distinct words
+    (``alias_hits``) and are confirmed on the whole texts. Hundredths: title 45, abstract 25 (one-word
+    alias: 35), keyword 15, author 35; ``low`` in all at least, 100 at most.
+    """
+    known = aliases.select("subject", "alias", fold(F.col("alias")).alias("folded")).filter(F.octet_length("alias") >= 3).distinct()
+    texts = docs.select("doc_id", *[F.coalesce(fold(F.col(c)), F.lit("")).alias(c) for c in PLACES])
+    words = F.filter(F.array_distinct(F.split(F.concat_ws(" ", *PLACES), " ")), lambda w: w != "")
+    rows = alias_hits(texts.select("doc_id", words.alias("words")), known).join(texts, "doc_id")
+    within = lambda c: F.contains(F.col(c), F.col("folded"))
     one = F.when(F.contains("alias", F.lit(" ")), 25).otherwise(35)
     points = {"title": F.lit(45), "abstract": one, "author": F.lit(35), "keyword": F.lit(15)}
-    best = [F.max(F.when(within(c, F.col("folded")), n)).alias(c) for c, n in points.items()]
-    found = rows.groupBy("doc_id", "subject").agg(*best)
+    found = rows.groupBy("doc_id", "subject").agg(*[F.max(F.when(within(c), n)).alias(c) for c, n in points.items()])
     z = lambda c: F.coalesce(c, F.lit(0))
     total = z("title") + z("abstract") + z("author") + z("keyword")
     names = F.concat_ws(",", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("title", "abstract", "keyword", "author")])

@@ -249,28 +249,16 @@ def identifier_normalize(spark, sf_dir):
     return rows.select("o_orderkey", "scheme", ident.normalize_identifier(F.col("scheme"), F.col("raw")).alias("normal"))
 
 
-@query(
-    "source_budgets",
-    """select doc_id, source from (select doc_id, source, row_number() over w as n, sum(strlen(coalesce(text, ''))) over (partition by source order by doc_id rows unbounded preceding) as b from documents window w as (partition by source order by doc_id)) where n <= 40 and b <= 52428800""",
-)
-def source_budgets(spark, sf_dir):
-    """40 documents and 50 MiB of each source."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
-    return corpus.within_budget(d, "source", ["doc_id"], "bytes", 40, 50 << 20).select("doc_id", "source")
-
-
 @query(
     "source_budgets_whole",
     """select doc_id, source from (select *, sum(b) over (order by doc_id rows unbounded preceding) as run from
         (select doc_id, source, strlen(coalesce(text, '')) as b, row_number() over (partition by source order by doc_id) as n from documents) where n <= 40) where run <= 52428800""",
 )
 def source_budgets_whole(spark, sf_dir):
-    """Default budgets: 40 documents a source, 50 MiB over the whole run. The rank is limited before rows
-    meet by source; only those within it meet in one task."""
+    """Default budgets: 40 documents a source, 50 MiB over the whole run, summed by ranges first."""
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("b"))
     first = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 40")
-    run = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn("run", F.sum("b").over(run)).filter("run <= 52428800").select("doc_id", "source")
+    return corpus.running_total(first, "doc_id", "b", "run").filter("run <= 52428800").select("doc_id", "source")
 
 
 SUBJECTS = "(values (0, 'Paris', 'Paris'), (1, 'Saint Helena', 'Saint Helena'), (2, 'Saint Helena', 'Helena'), (3, 'Person 7', 'Person 7'), (4, 'Rome', 'Romé'), (5, 'short', 'of'))"
@@ -303,8 +291,8 @@ def extract_statements(spark, sf_dir):
     from annals.functions.time import parse_year
 
     line = F.concat_ws("\t", F.lit("STATEMENT"), "verb", F.lit("in"), "time_surface", "place_surface")
-    pages = mentions(spark, sf_dir).groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    f = pages.select("page", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).withColumn("f", F.split("line", "\t")).filter("f[0] = 'STATEMENT' and size(f) >= 5 and f[1] <> ''")
+    number = F.row_number().over(Window.partitionBy("page").orderBy("event_id")) - 1  # a page's lines in order
+    f = mentions(spark, sf_dir).select("page", number.alias("line_no"), F.split(line, "\t").alias("f")).filter("f[0] = 'STATEMENT' and size(f) >= 5 and f[1] <> ''")
     return f.select("page", "line_no", F.col("f")[1].alias("event_type"), parse_year(F.col("f")[3]).alias("year"), F.col("f")[4].alias("place"))
 
 
