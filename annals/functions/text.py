@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,52 +95,59 @@ def sections(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return out.filter("ordinal > 0 or body <> ''")
 
 
-def split_sentences(text: str | None) -> list[tuple[int, str]]:
-    """(ordinal, sentence): a boundary is . ! or ? before a capital or digit, but after no abbreviation,
-    single initial or short number; sentences have at least 12 bytes and a letter."""
-    text = (text or "").strip()
-    ends, i = [], 0
-    while i < len(text):
-        if text[i] in ".!?" and not _abbreviation(text, i):
-            j = i + 1
-            while j < len(text) and text[j] in " \t\n\r\x0c":
-                j += 1
-            if j < len(text) and _starts(text, j):
-                ends.append(j)
-        i += 1
-    out: list[tuple[int, str]] = []
-    for a, b in zip([0, *ends], [*ends, len(text)], strict=True):
-        s = text[a:b].strip()
-        if len(s.encode()) >= 12 and any(map(str.isalpha, s)) and not (s.startswith("==") and s.endswith("==")):
-            out.append((len(out), s))
-    return out
-
-
-def _starts(text: str, i: int) -> bool:
-    upper = lambda c: c.isascii() and (c.isupper() or c.isdigit())
-    return upper(text[i]) or text[i] in "\"'(" and i + 1 < len(text) and upper(text[i + 1])
-
-
-def _abbreviation(text: str, i: int) -> bool:
-    head = text[max(0, i - 8) : i + 1]
-    if head.endswith(tuple(rules.ABBREVIATIONS)):
-        return True
-    if i >= 2 and text[i - 1].isascii() and text[i - 1].isupper() and text[i - 2] in " \n":
-        return True
-    digits = 0
-    while digits < i and text[i - 1 - digits] in "0123456789":
-        digits += 1
-    return 0 < digits < 4
+#: Not in any text: Unicode sets them aside. The first that a text lacks marks its boundaries.
+MARKS = ["\ufdd0", "\ufdd1", "\ufdd2"]
+#: What follows . ! or ? and blanks for a sentence to end there: a capital or digit, or a quote or bracket before one.
+START = r"""(?=[A-Z0-9]|["'(][A-Z0-9])"""
+HEADING = "={2,}[^=]+={2,}"
 
 
-def sentences(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """keys, ordinal, sentence: a row for each sentence. Arrow batches; the boundary rules look back, which no built-in function does."""
+def boundary_pattern() -> str:
+    """. ! or ? with the blanks after it where a sentence ends: not after an abbreviation, a single initial or a number of one to three digits."""
+    abbreviations = "|".join(re.escape(a) for a in rules.ABBREVIATIONS)
+    return rf"[.!?](?<!{abbreviations})(?<![ \n][A-Z].)(?<!(?<![0-9])[0-9]{{1,3}}.)[ \t\n\r\f]*{START}"
+
+
+def prefix_sums(sizes: Column, block: int = 64) -> Column:
+    """For each element the sum of those before it. Blocks first, so that the arrays that are copied stay short."""
+
+    def running(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(xs, start, step)["out"]
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(block))
+    parts = F.transform(starts, lambda i: F.slice(sizes, i, F.lit(block)))
+    bases = running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)))
+    return F.flatten(F.zip_with(parts, bases, lambda p, b: F.transform(running(p), lambda x: x + b)))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [[{"ordinal": n, "sentence": s} for n, s in split_sentences(t)] for t in f["_text"]]
-            yield f[list(keys)].assign(found=found)
+def sentence_spans(text: Column) -> Column:
+    """array<struct<sentence, char_start, char_end>>: the sentences of a text, with offsets in bytes of the trimmed text.
 
-    rows = df.select(*keys, F.col(text).alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    return rows.mapInPandas(run, f"{schema}, found array<struct<ordinal:int, sentence:string>>").select(*keys, F.inline("found"))
+    A sentence goes from a boundary, without the spaces after it, to the next: ends of sentences and both ends of wiki
+    headings. It has at least 12 bytes and a letter; what starts with == is none. Null gives an empty array.
+    """
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    mark = F.lit(MARKS[-1])
+    for m in MARKS[-2::-1]:
+        mark = F.when(F.contains(s, F.lit(m)), mark).otherwise(F.lit(m))
+    headed = F.regexp_replace(s, F.lit(f"({HEADING})"), F.concat(mark, F.lit("$1"), mark))
+    marked = F.regexp_replace(headed, F.lit(f"({boundary_pattern()})"), F.concat(F.lit("$1"), mark))
+    pieces = F.filter(F.split(marked, mark), lambda p: p != "")
+    sizes = F.transform(pieces, lambda p: F.octet_length(p).cast("long"))
+
+    def span(p: Column, at: Column) -> Column:
+        return F.struct(
+            F.regexp_replace(p, r"(?U)^\s+|\s+$", "").alias("sentence"),
+            (at + F.octet_length(p) - F.octet_length(F.ltrim(p))).cast("int").alias("char_start"), (at + F.octet_length(p)).cast("int").alias("char_end"),
+        )
+
+    whole = lambda x: (F.octet_length(x["sentence"]) >= 12) & x["sentence"].rlike(r"\p{IsAlphabetic}") & ~F.startswith(x["sentence"], F.lit("=="))
+    return F.filter(F.zip_with(pieces, prefix_sums(sizes), span), whole)
+
+
+def sentences(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """keys, ordinal, sentence, char_start, char_end: a row for each sentence."""
+    rows = df.select(*keys, F.posexplode(sentence_spans(F.col(text))).alias("ordinal", "_s"))
+    return rows.select(*keys, "ordinal", *[F.col("_s")[c].alias(c) for c in ("sentence", "char_start", "char_end")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from annals import rules
 from annals.functions import ident, text
 from annals.operators import assembly, corpus
 from annals.plans.events import M, mentions, o
@@ -296,7 +297,27 @@ def extract_statements(spark, sf_dir):
     return f.select("page", "line_no", F.col("f")[1].alias("event_type"), parse_year(F.col("f")[3]).alias("year"), F.col("f")[4].alias("place"))
 
 
-@query("sentences_split")
+BLANK = "[\\s\\pZ\\x0B\\x85]"
+STRIPPED = lambda c: f"regexp_replace({c}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+ENDS_SHORT = " or ".join(f"ends_with(early || mark, {o.q(a)})" for a in rules.ABBREVIATIONS)
+SENTENCES = f"""
+    with t as (select doc_id, {STRIPPED("coalesce(text, '')")} as s from documents),
+    a as (select doc_id, unnest(regexp_extract_all(s, '[.!?][ \t\n\r\f]*|[^.!?]+')) as w, generate_subscripts(regexp_extract_all(s, '[.!?][ \t\n\r\f]*|[^.!?]+'), 1) as i from t),
+    b as (select *, sum(length(w)) over (partition by doc_id order by i) as stop, w[1] as mark, lead(w) over (partition by doc_id order by i) as later,
+                 right(coalesce(string_agg(w, '') over (partition by doc_id order by i rows between 9 preceding and 1 preceding), ''), 12) as early from a),
+    c as (select doc_id, stop::bigint as cut from b where mark in ('.', '!', '?') and regexp_matches(later, '^([A-Z0-9]|["''(][A-Z0-9])')
+          and not ({ENDS_SHORT} or regexp_matches(early, '[ \n][A-Z]$') or regexp_matches(early, '(^|[^0-9])[0-9]{{1,3}}$'))),
+    h as (select doc_id, unnest(regexp_extract_all(s, '={{2,}}[^=]+={{2,}}|[^=]+|=')) as w, generate_subscripts(regexp_extract_all(s, '={{2,}}[^=]+={{2,}}|[^=]+|='), 1) as i from t where contains(s, '==')),
+    k as (select *, sum(length(w)) over (partition by doc_id order by i)::bigint as stop from h),
+    cuts as (select doc_id, cut from c union select doc_id, stop from k where starts_with(w, '==') union select doc_id, stop - length(w) from k where starts_with(w, '==') union select doc_id, length(s) from t),
+    p as (select doc_id, cut, lag(cut, 1, 0) over (partition by doc_id order by cut) as start from cuts where cut > 0),
+    q as (select doc_id, start, s[start + 1:cut] as piece from p join t using (doc_id)),
+    r as (select *, sum(strlen(piece)) over (partition by doc_id order by start)::int as char_end, {STRIPPED("piece")} as sentence from q)
+    select doc_id, (row_number() over (partition by doc_id order by start) - 1)::int as ordinal, sentence, (char_end - strlen(ltrim(piece)))::int as char_start, char_end
+    from r where strlen(sentence) >= 12 and regexp_matches(sentence, '\\pL') and not starts_with(sentence, '==')"""
+
+
+@query("sentences_split", SENTENCES)
 def sentences_split(spark, sf_dir):
     return text.sentences(read(spark, sf_dir, "documents"), "doc_id")
 

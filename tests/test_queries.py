@@ -11,11 +11,3 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_query_matches_sql(spark, name):
     compare(spark, SF, plans.QUERIES[name], plans.SQL[name])
-
-
-def test_sentences_match_a_plain_reading(spark):
-    from annals.functions.text import split_sentences
-
-    rows = plans.QUERIES["sentences_split"](spark, SF).collect()
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    assert sorted((r.doc_id, r.ordinal, r.sentence) for r in rows) == sorted((d.doc_id, n, s) for d in docs for n, s in split_sentences(d.text))

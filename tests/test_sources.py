@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from annals.functions.text import sections, split_sentences, wikitext_to_plain
+from annals.functions.text import sections, wikitext_to_plain
 from annals.sources import files
 from annals.streaming.ingest import ingest
 
@@ -68,7 +68,6 @@ def test_sparql_and_works(spark, tmp_path):
 def test_text_functions(spark):
     got = spark.range(1).select(wikitext_to_plain(F.lit("<!-- c -->'''Ann''' {{x|{{y}}}}was<ref name=a/> in [[Paris, France|Paris]].<ref>r</ref> [[File:a.jpg]] [[Category:B]]")).alias("t")).first().t
     assert got == "Ann was in Paris."
-    assert [s for _, s in split_sentences("Mr. Smith met J. Bach in 1805. He left. It was one of them! (He said so.) nothing")] == ["Mr. Smith met J. Bach in 1805.", "It was one of them!", "(He said so.) nothing"]
     pages = spark.createDataFrame([(1, "intro\n== Life ==\nborn\ndied\n=== Work ===\nwrote")], "page long, text string")
     assert rows(sections(pages, "page"), "ordinal", "title", "body") == [(0, "Lead", "intro"), (1, "Life", "born\ndied"), (2, "Work", "wrote")]
 
