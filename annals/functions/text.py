@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,6 +109,11 @@ def boundary_pattern() -> str:
     return rf"[.!?](?<!{abbreviations})(?<![ \n][A-Z].)(?<!(?<![0-9])[0-9]{{1,3}}.)[ \t\n\r\f]*{START}"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def prefix_sums(sizes: Column, block: int = 64) -> Column:
     """For each element the sum of those before it. Blocks first, so that the arrays that are copied stay short."""
 
@@ -118,8 +124,8 @@ def prefix_sums(sizes: Column, block: int = 64) -> Column:
 
     starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(block))
     parts = F.transform(starts, lambda i: F.slice(sizes, i, F.lit(block)))
-    bases = running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)))
-    return F.flatten(F.zip_with(parts, bases, lambda p, b: F.transform(running(p), lambda x: x + b)))
+    bases = lambda ps: running(F.transform(ps, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)))
+    return let(parts, lambda ps: F.flatten(F.zip_with(ps, bases(ps), lambda p, b: F.transform(running(p), lambda x: x + b))))
 
 
 def sentence_spans(text: Column) -> Column:
@@ -128,14 +134,14 @@ def sentence_spans(text: Column) -> Column:
     A sentence goes from a boundary, without the spaces after it, to the next: ends of sentences and both ends of wiki
     headings. It has at least 12 bytes and a letter; what starts with == is none. Null gives an empty array.
     """
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
-    mark = F.lit(MARKS[-1])
-    for m in MARKS[-2::-1]:
-        mark = F.when(F.contains(s, F.lit(m)), mark).otherwise(F.lit(m))
-    headed = F.regexp_replace(s, F.lit(f"({HEADING})"), F.concat(mark, F.lit("$1"), mark))
-    marked = F.regexp_replace(headed, F.lit(f"({boundary_pattern()})"), F.concat(F.lit("$1"), mark))
-    pieces = F.filter(F.split(marked, mark), lambda p: p != "")
-    sizes = F.transform(pieces, lambda p: F.octet_length(p).cast("long"))
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+    def cut(s: Column) -> Column:
+        mark = F.lit(MARKS[-1])
+        for m in MARKS[-2::-1]:
+            mark = F.when(F.contains(s, F.lit(m)), mark).otherwise(F.lit(m))
+        headed = lambda m: F.when(F.contains(s, F.lit("==")), F.regexp_replace(s, F.lit(f"({HEADING})"), F.concat(m, F.lit("$1"), m))).otherwise(s)
+        return let(mark, lambda m: F.filter(F.split(F.regexp_replace(headed(m), F.lit(f"({boundary_pattern()})"), F.concat(F.lit("$1"), m)), m), lambda p: p != ""))
 
     def span(p: Column, at: Column) -> Column:
         return F.struct(
@@ -144,7 +150,8 @@ def sentence_spans(text: Column) -> Column:
         )
 
     whole = lambda x: (F.octet_length(x["sentence"]) >= 12) & x["sentence"].rlike(r"\p{IsAlphabetic}") & ~F.startswith(x["sentence"], F.lit("=="))
-    return F.filter(F.zip_with(pieces, prefix_sums(sizes), span), whole)
+    ends = lambda ps: prefix_sums(F.transform(ps, lambda p: F.octet_length(p).cast("long")))
+    return let(let(trimmed, cut), lambda ps: let(ends(ps), lambda at: F.filter(F.zip_with(ps, at, span), whole)))
 
 
 def sentences(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
