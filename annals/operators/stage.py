@@ -34,6 +34,7 @@ def decide(candidates: DataFrame) -> DataFrame:
     with outcome (created, reinforced, needs_review, rejected), code, places (that compete) and event (the event_id that it supports).
 
     What a row has before it comes from sums by (stem, place), so no group is gathered and joins of hot stems can be split.
+    The candidates are read four times: hand over a table.
     """
     rows = candidates.join(readings(candidates), "stem", "left")
     order, place = F.col("event_id"), F.col("place")
