@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +24,65 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         frontier = written(found.join(seen.select("node"), "node", "left_anti"), "frontier")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(hop)))
     return seen
+
+
+@dataclass(frozen=True)
+class Budget:
+    """Limits of an exploration; the defaults are the usual ones."""
+
+    documents: int = 10_000
+    linked: int = 5_000
+    depth: int = 3
+    per_source: int = 2_500
+    min_score: int = 35
+
+
+VISIT = "node string, depth int, score int, visit int, reason string"
+
+
+def best_first(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, targets: dict[str, int], budget: Budget = Budget(), per_round: int = 50) -> DataFrame:
+    """(node, depth, score, visit, reason): pages in the order of their visit, the best known first.
+
+    edges: src, dst. nodes: node, score, source and a count for each of ``targets``. seeds: node. A
+    round visits the ``per_round`` best nodes of the frontier (score, then name); then what they link
+    to joins the frontier, if it scores enough and was never seen, the best first, up to ``linked``
+    nodes in all. It stops as soon as all targets are reached (target_reached), at ``documents`` visits
+    (budget_documents), or when nothing is left (exhausted). Sources beyond their share are passed over.
+
+    The driver holds a round and the visits, both bounded by parameters. Links lie in a table sorted by
+    src, so a round reads the row groups of its nodes; the frontier is a table of what each round added.
+    """
+    spark = edges.sparkSession
+    links = written(edges.select("src", "dst").distinct().repartitionByRange("src").sortWithinPartitions("src"), "links")
+    known = nodes.select("node", "score", "source", *targets)
+    best = [F.desc("score"), F.asc("node")]
+    pool = written(seeds.select("node").distinct().join(known, "node").withColumn("depth", F.lit(0)), "frontier")
+    seen, done, visits = pool.count(), [], []
+    have, by_source, reason = Counter(), Counter(), ""
+    while not reason:
+        gone = spark.createDataFrame([(n,) for n in done], "node string")
+        front = pool.join(gone, "node", "left_anti").orderBy(*best).limit(per_round).collect()
+        reason = "" if front else "exhausted"
+        taken: dict[int, list[str]] = defaultdict(list)
+        for r in front:
+            if all(have[t] >= n for t, n in targets.items()):
+                reason = "target_reached"
+            elif len(visits) >= budget.documents:
+                reason = "budget_documents"
+            if reason:
+                break
+            done.append(r["node"])
+            if by_source[r["source"]] >= budget.per_source:
+                continue
+            by_source[r["source"]] += 1
+            have.update({t: r[t] for t in targets})
+            visits.append((r["node"], r["depth"], r["score"], len(visits)))
+            taken[r["depth"]].append(r["node"])
+        for depth, names in sorted(taken.items()):
+            if depth >= budget.depth or seen >= budget.linked:
+                continue
+            found = links.filter(F.col("src").isin(names)).select(F.col("dst").alias("node")).distinct().join(pool.select("node"), "node", "left_anti")
+            fresh = found.join(known, "node").filter(F.col("score") >= budget.min_score).withColumn("depth", F.lit(depth + 1))
+            fresh = written(fresh.orderBy(*best).limit(budget.linked - seen), "frontier")
+            pool, seen = pool.unionByName(fresh), seen + fresh.count()
+    return spark.createDataFrame([(*v, reason) for v in visits], VISIT)
