@@ -36,9 +36,9 @@ def resolve_in_order(rows: DataFrame, *lookups: tuple[DataFrame, str, str], valu
 
 
 def conditional_upsert(old: DataFrame, new: DataFrame, key: str, kind: str, unknown: str = "unknown") -> DataFrame:
-    """One row per key: the new kind unless it's unknown, else the old one."""
+    """One row per key: the old kind unless it's unknown, else the new one."""
     o, n = old.select(key, F.col(kind).alias("_old")), new.select(key, F.col(kind).alias("_new"))
-    return o.join(n, key, "full").select(key, F.coalesce(F.when(F.col("_new") != unknown, F.col("_new")), "_old", "_new").alias(kind))
+    return o.join(n, key, "full").select(key, F.coalesce(F.when(F.col("_old") != unknown, F.col("_old")), "_new", "_old").alias(kind))
 
 
 def within_budget(rows: DataFrame, group: str, order: list, size: str, most_rows: int, most_bytes: int) -> DataFrame:

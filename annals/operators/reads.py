@@ -67,6 +67,25 @@ def abstained(decided: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).drop("disputed")
 
 
+def backfill_claims(events: DataFrame, claimed: DataFrame, evidence: DataFrame, sentences: DataFrame, pages: DataFrame) -> DataFrame:
+    """A claim for each event (event_id, event_type, text, confidence) that has none in claimed, with its best evidence.
+
+    evidence: event_id, evidence_id, quoted_text, sentence_id, confidence; the best is the surest (nulls last), then the first by id.
+    sentences: sentence_id, page_id, sentence. pages: page_id, lang, title, revision. The evidence is ranked by a sum that
+    combines before the shuffle, and only the best meets its sentence and page. quote and locator are null without evidence.
+    """
+    rank = F.struct(F.coalesce("confidence", F.lit(float("-inf"))).alias("c"), (-F.col("evidence_id")).alias("i"))
+    best = evidence.groupBy("event_id").agg(F.max_by(F.struct("quoted_text", "sentence_id"), rank).alias("e")).select("event_id", "e.*")
+    best = best.join(sentences, "sentence_id", "left").join(pages, "page_id", "left")
+    quote = F.coalesce("quoted_text", "sentence")
+    whole = F.col("lang").isNotNull() & F.col("title").isNotNull() & F.col("revision").isNotNull()
+    locator = F.when(whole, F.concat(F.lit("https://"), "lang", F.lit(".wikipedia.org/w/index.php?title="), F.replace("title", F.lit(" "), F.lit("_")), F.lit("&oldid="), F.col("revision").cast("string")))
+    best = best.select("event_id", quote.alias("quote"), locator.alias("locator"))
+    kind = F.when(F.col("event_type") == "anecdote", "anecdote").otherwise("life_event")
+    rows = events.join(claimed.select("event_id"), "event_id", "left_anti").join(best, "event_id", "left")
+    return rows.select("event_id", kind.alias("kind"), F.lit("attested").alias("status"), F.lit("direct").alias("relation"), "confidence", "text", "quote", "locator")
+
+
 def resolve_mentions(candidates: DataFrame, entities: DataFrame, surface: str) -> DataFrame:
     """Adds place_label, place_kind, mention_role, invalid_place: a place surface that names a known entity (surface, label, kind) of another
     kind is no place but a participant (persons) or an object; unknown surfaces stay as unresolved places; empty ones give nothing."""

@@ -173,7 +173,7 @@ def geocode_pending(spark, sf_dir):
     "kind_conditional_upsert",
     """with o as (select c_custkey as key, case c_custkey % 4 when 0 then 'unknown' when 1 then 'person' else 'place' end as kind from customer where c_custkey % 3 <> 0),
     n as (select c_custkey as key, case c_custkey % 5 when 0 then 'work' else 'unknown' end as kind from customer where c_custkey % 2 = 0)
-    select key, coalesce(case when n.kind <> 'unknown' then n.kind end, o.kind, n.kind) as kind from o full join n using (key)""",
+    select key, coalesce(case when o.kind <> 'unknown' then o.kind end, n.kind, o.kind) as kind from o full join n using (key)""",
 )
 def kind_conditional_upsert(spark, sf_dir):
     k = F.col("c_custkey")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annals.functions import ident, time
 from annals.functions.place import coordinates, gazetteer
-from annals.operators import judge as judges, reads
+from annals.operators import assembly, judge as judges, metrics, reads, stage, versions
 from annals.plans import oracle as o
 from annals.plans.corpus import read
 from annals.plans.events import CLAIM, JUDGED, KEYS, M, STAGED, judged, keyed, mentions, staged
@@ -107,17 +108,27 @@ def claim_sentences(spark, sf_dir):
     return reads.claim_sentences(turns.select("sentence_id", "page_id"), pages, people, named, used).select("sentence_id", "title", "entity_id")
 
 
+EVIDENCE = """select event_id, event_id * 3 + k as evidence_id, event_id * 3 + k as sentence_id, case when (event_id + k) % 4 = 0 then null else cast((event_id * 7 + k * 13) % 5 as int) end as confidence,
+    case when (event_id + k) % 3 = 0 then 'quote ' || cast(event_id * 3 + k as string) end as quoted_text from {events} cross join (values (0), (1), (2)) as x(k) where event_id % 13 <> 0 and event_id % 3 >= k"""
+SAID = "select event_id * 3 as sentence_id, user_id as page_id, event_type as sentence from {events} union all select event_id * 3 + 1, user_id, 'other ' || event_type from {events}"
+REVISIONS = "select distinct user_id as page_id, case when user_id % 7 <> 0 then 'en' end as lang, 'Page ' || cast(user_id as string) as title, case when user_id % 5 <> 0 then user_id * 100 end as revision from {events}"
+
+
 @query(
     "claims_backfill",
-    f"""{KEYS} select event_id, case event_type when 'anecdote' then 'anecdote' else 'life_event' end as kind, 'attested' as status, 'direct' as relation, score as confidence, title as text
-    from k where not exists (select 1 from ({M}) m where m.event_id = k.event_id and m.event_id % 5 = 0)""",
+    f"""{KEYS}, ev as ({EVIDENCE.format(events="events")}), s as ({SAID.format(events="events")}), p as ({REVISIONS.format(events="events")}),
+    best as (select * from ev qualify row_number() over (partition by event_id order by confidence desc nulls last, evidence_id) = 1),
+    b as (select event_id, coalesce(quoted_text, sentence) as quote, 'https://' || lang || '.wikipedia.org/w/index.php?title=' || replace(title, ' ', '_') || '&oldid=' || revision as locator
+          from best left join s using (sentence_id) left join p using (page_id))
+    select event_id, case event_type when 'anecdote' then 'anecdote' else 'life_event' end as kind, 'attested' as status, 'direct' as relation, score as confidence, title as text, quote, locator
+    from k left join b using (event_id) where not exists (select 1 from ({M}) m where m.event_id = k.event_id and m.event_id % 5 = 0)""",
 )
 def claims_backfill(spark, sf_dir):
-    """A claim for each event that has none."""
+    """A claim for each event that has none, with its best evidence."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
     claimed = mentions(spark, sf_dir).filter("event_id % 5 = 0").select("event_id")
-    rows = keyed(spark, sf_dir).join(claimed, "event_id", "left_anti")
-    kind = F.when(F.col("event_type") == "anecdote", "anecdote").otherwise("life_event")
-    return rows.select("event_id", kind.alias("kind"), F.lit("attested").alias("status"), F.lit("direct").alias("relation"), F.col("score").alias("confidence"), F.col("title").alias("text"))
+    rows = keyed(spark, sf_dir).select("event_id", "event_type", F.col("title").alias("text"), F.col("score").alias("confidence"))
+    return reads.backfill_claims(rows, claimed, *[spark.sql(s, events=events) for s in (EVIDENCE, SAID, REVISIONS)])
 
 
 @query(
@@ -196,3 +207,55 @@ TABLES = ["documents", "pages", "conversations", "events", "customer", "orders"]
 def table_counts(spark, sf_dir):
     """How many rows six tables have."""
     return reduce(lambda a, b: a.unionByName(b), [read(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES])
+
+
+@query(
+    "status_updates",
+    f"""{STAGED}, births as (select person, min(year) as y from k where event_type = 'birth' group by person)
+    select event_id, case outcome when 'needs_review' then 'needs_review' when 'rejected' then 'rejected' else 'assembled' end as status, event,
+           case when outcome = 'created' then case when last > event_id then 'uncertain' else 'attested' end end as epistemic,
+           case when outcome = 'created' then not coalesce(event_type = 'birth' and year is distinct from y, false) end as active
+    from staged left join disputed using (stem) left join births using (person)""",
+)
+def status_updates(spark, sf_dir):
+    """Candidates after the changes that the stage makes to them and to their events, merged from versions of changes."""
+    rows = staged(spark, sf_dir).join(keyed(spark, sf_dir).select("event_id", "year"), "event_id")
+    births = rows.filter("event_type = 'birth'").groupBy("person").agg(F.min("year").alias("born"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    base = rows.select("event_id", F.lit("accepted").alias("status"), none("bigint", "event"), none("string", "epistemic"), none("boolean", "active"))
+    created = rows.filter("outcome = 'created'")
+    uncertain = created.join(stage.disputes(rows), "stem").filter("disputed > event_id")
+    other = created.filter("event_type = 'birth'").join(births, "person").filter(~F.col("year").eqNullSafe(F.col("born")))
+    at = lambda df, version, **sets: df.select("event_id", F.lit(version).alias("version"), *[(v if not isinstance(v, (str, bool)) else F.lit(v)).alias(k) for k, v in sets.items()])
+    changes = [
+        at(rows.filter("event is not null"), 1, status="assembled", event=F.col("event")), at(created, 2, epistemic="attested", active=True),
+        at(rows.filter("event is null"), 3, status=F.col("outcome")), at(uncertain, 4, epistemic="uncertain"), at(other, 5, active=False),
+    ]
+    return versions.merged(base, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes), "event_id")
+
+
+@query(
+    "run_metrics",
+    f"""{STAGED}, c as (select outcome, case when competes then 'competing_place' when outcome = 'rejected' then 'singleton_cardinality_violation' end as code, count(*) as n from staged group by all)
+    select sum(n)::bigint as candidates, sum(n) filter (outcome = 'created')::bigint as created, sum(n) filter (outcome = 'reinforced')::bigint as reinforced, sum(n) filter (outcome in ('created', 'reinforced'))::bigint as accepted,
+           sum(n) filter (outcome = 'needs_review')::bigint as needs_review, sum(n) filter (outcome = 'rejected')::bigint as rejected, string_agg(code || '=' || n, ',' order by code) as losses from c""",
+)
+def run_metrics(spark, sf_dir):
+    """Counts of a run by outcome, and why candidates were lost."""
+    found = metrics.loss_reasons(staged(spark, sf_dir))
+    losses = F.array_join(F.transform(F.map_entries("losses"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.withColumn("losses", losses)
+
+
+@query(
+    "claim_relations",
+    f"""{STAGED}, a as (select event_id, stem, row_number() over (partition by stem order by event_id) as n, lag(event_id) over (partition by stem order by event_id) as earlier, competes from staged)
+    select distinct event_id as from_claim, earlier as to_claim, case when competes then 'contradicts' else 'supports' end as relation from a where earlier is not null""",
+)
+def claim_relations(spark, sf_dir):
+    """What each claim says to the one before of its stem; relations that come again, here every third, are there once."""
+    before = F.lag("event_id").over(Window.partitionBy("stem").orderBy("event_id"))
+    relation = F.when(F.col("outcome") == "needs_review", "contradicts").otherwise("supports")
+    new = staged(spark, sf_dir).select(F.col("event_id").alias("from_claim"), before.alias("to_claim"), relation.alias("relation")).filter("to_claim is not null")
+    keys = ["from_claim", "to_claim", "relation"]
+    return assembly.insert_if_absent(new.filter("from_claim % 3 = 0"), new, keys, keys)

@@ -83,8 +83,8 @@ def test_keys(spark):
 
 def test_merges(spark):
     old = spark.createDataFrame([(1, "person"), (2, "place"), (3, "unknown")], "id int, kind string")
-    new = spark.createDataFrame([(1, "unknown"), (2, "work"), (4, "unknown")], "id int, kind string")
-    assert sorted(map(tuple, corpus.conditional_upsert(old, new, "id", "kind").collect())) == [(1, "person"), (2, "work"), (3, "unknown"), (4, "unknown")]
+    new = spark.createDataFrame([(1, "unknown"), (2, "work"), (3, "work"), (4, "unknown")], "id int, kind string")
+    assert sorted(map(tuple, corpus.conditional_upsert(old, new, "id", "kind").collect())) == [(1, "person"), (2, "place"), (3, "work"), (4, "unknown")]
     rows = spark.createDataFrame([("a", 1, 50), ("a", 2, 60), ("a", 3, 10), ("b", 1, 500)], "s string, n int, size int")
     assert sorted(map(tuple, corpus.within_budget(rows, "s", ["n"], "size", 5, 115).collect())) == [("a", 1, 50), ("a", 2, 60)]
 
