@@ -11,7 +11,8 @@ def canon(rows, columns):
     return sorted((tuple(fix(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark, sf_dir, query, sql):
+def compare(spark, sf_dir, query, sql, deciding=None):
+    """Rows in all; the deciding column, if one is named, has to take more than one value."""
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
     for n in NAMES:
@@ -23,4 +24,6 @@ def compare(spark, sf_dir, query, sql):
     assert len(g) == len(w), (len(g), len(w))
     bad = [(a, b) for a, b in zip(g, w, strict=True) if a != b]
     assert not bad, bad[:3]
+    if deciding is not None:
+        assert len({r[sorted(got.columns).index(deciding)] for r in g}) > 1, f"{deciding} is the same in all rows"
     return len(g)
