@@ -102,6 +102,17 @@ def sort_key(time: Column) -> Column:
     return time["year"] * 10000 + z(time["month"], 6) * 100 + z(time["day"], 15)
 
 
-def in_life(year: Column, birth: Column, death: Column) -> Column:
-    """Whether a year lies from five years before birth to two after death; unknown bounds pass."""
-    return (birth.isNull() | (year >= birth - 5)) & (death.isNull() | (year <= death + 2))
+def life_window(birth: Column, death: Column, now: int) -> Column:
+    """struct(first, last): from two years before birth to five after death, a life of 120 years where one is unknown; else from 4000 BC to now. ``now`` is a parameter."""
+    last = F.coalesce(death + 5, F.least(F.lit(now), birth + 120), F.lit(now))
+    return F.struct(F.coalesce(birth - 2, death - 120, F.lit(-4000)).alias("first"), last.alias("last"))
+
+
+def first_year(text: Column, low: Column, high: Column) -> Column:
+    """The first year of a text within low to high, as it is written: years before our era come first (``44 BC``), then runs of exactly four digits."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![0-9])([0-9]{1,4}\s*(?:b\.?c|av\.? j))"), 1)
+    before = F.transform(found, lambda x: F.regexp_extract(x, "^[0-9]+", 0).cast("int"))
+    before = F.filter(before, lambda y: (-y >= low) & (-y <= high))
+    plain = F.transform(F.filter(F.split(text, "[^0-9]"), lambda r: F.length(r) == 4), lambda r: r.cast("int"))
+    plain = F.filter(plain, lambda y: (y >= low) & (y <= high))
+    return F.coalesce(F.concat(F.try_element_at(before, F.lit(1)).cast("string"), F.lit(" BC")), F.try_element_at(plain, F.lit(1)).cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annals.functions.text import fold
@@ -110,3 +110,52 @@ def human_entities(humans: DataFrame, entities: DataFrame, keys: list[str]) -> D
         of = entities.filter(F.col(k).isNotNull()).select(F.col(k), F.col("entity_id").alias(f"_by_{k}"))
         out, found = out.join(of, k, "left"), [*found, f"_by_{k}"]
     return out.withColumn("entity_id", F.coalesce(*found)).withColumn("is_new", F.col("entity_id").isNull()).drop(*found)
+
+
+def sections_of_pages(sections: DataFrame, pages: DataFrame, lang: str, title: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Sections (page_id, ordinal, title, body) with page_title, lang and revision of their pages (page_id, lang, page_title, revision):
+    of the page with that title, or of all whose title fits a LIKE pattern in any case. Pages are filtered before the join."""
+    wanted = pages.filter(F.col("lang") == lang)
+    if title is not None:
+        wanted = wanted.filter(F.col("page_title") == title)
+    if pattern is not None:
+        wanted = wanted.filter(F.ilike("page_title", F.lit(pattern)))
+    return sections.join(wanted.select("page_id", "page_title", "lang", "revision"), "page_id")
+
+
+def pending_candidates(candidates: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Pending phrase candidates (sentence_id, status, ...) with the text of their sentence (sentence_id, sentence)."""
+    return candidates.filter("status = 'pending'").join(sentences.select("sentence_id", "sentence"), "sentence_id")
+
+
+def ranked_hits(hits: DataFrame, known: DataFrame, search: str, most: int | None = None) -> DataFrame:
+    """hits (search, qid, score) with place, the rank within their search: those known here (qid) first, then by score, then by qid. ``most``: only so many of each search."""
+    rows = hits.join(known.select("qid").distinct().withColumn("local", F.lit(True)), "qid", "left").withColumn("local", F.coalesce("local", F.lit(False)))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(search).orderBy(F.desc("local"), F.desc("score"), "qid")))
+    return rows if most is None else rows.filter(F.col("place") <= most)
+
+
+DENSITY = ["documents_discovered", "documents_snapshotted", "fragments", "candidates", "rejected", "needs_review", "claims", "accepted_events", "timeline_eligible", "map_eligible", "events_without_place", "multi_source_events"]
+
+
+def density_counts(runs: DataFrame, discovered: DataFrame, snapshots: DataFrame, fragments: DataFrame, decided: DataFrame, events: DataFrame) -> DataFrame:
+    """By subject the twelve counts of DENSITY.
+
+    runs: run_id, subject. discovered: run_id. snapshots: snapshot_id, subject. fragments: snapshot_id.
+    decided: candidates with subject, outcome, stem, place (a stem and place is a claim). events:
+    subject, year, mapped, support. Each table is summed once; only the sums meet by subject.
+    """
+    n = lambda test, name: F.count_if(F.coalesce(test, F.lit(False))).alias(name)
+    timed, mapped = F.col("year").isNotNull(), F.col("mapped")
+    parts = [
+        discovered.join(runs, "run_id").groupBy("subject").agg(F.count("*").alias("documents_discovered")),
+        snapshots.groupBy("subject").agg(F.count("*").alias("documents_snapshotted")),
+        fragments.join(snapshots, "snapshot_id").groupBy("subject").agg(F.count("*").alias("fragments")),
+        decided.groupBy("subject").agg(F.count("*").alias("candidates"), n(F.col("outcome") == "rejected", "rejected"), n(F.col("outcome") == "needs_review", "needs_review")),
+        decided.select("subject", "stem", "place").distinct().groupBy("subject").agg(F.count("*").alias("claims")),
+        events.groupBy("subject").agg(F.count("*").alias("accepted_events"), n(timed, "timeline_eligible"), n(mapped, "map_eligible"), n(timed & ~mapped, "events_without_place"), n(F.col("support") > 1, "multi_source_events")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "subject", "full")
+    return out.fillna(0, DENSITY).select("subject", *DENSITY)
