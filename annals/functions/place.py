@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from annals import rules
 from annals.functions.classify import first_alone
+from annals.functions.text import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,17 +92,20 @@ TITLE_STARTS = "battle of |siege of |treaty of |treaties of |bataille de |siège
 
 
 def resolve_alias(label: Column) -> Column:
-    """The gazetteer name of a label: itself, without a qualifier in brackets, or the left or right part of a compound; else null."""
-    names = F.from_json(F.lit(json.dumps([g[0] for g in gazetteer()], ensure_ascii=False)), "array<string>")
-    known = lambda c: F.when(F.array_contains(names, c), c)
-    key = F.lower(F.trim(label))
-    tries = [known(key), known(F.trim(F.substring_index(key, "(", 1)))]
-    for s in SEPARATORS:
-        has = F.contains(key, F.lit(s))
-        left = F.trim(F.substring_index(key, s, 1))
-        right = F.trim(F.substring(key, F.instr(key, s) + 1, F.length(key)))
-        tries += [F.when(has, known(left)), F.when(has, known(right))]
-    return F.coalesce(*tries)
+    """struct(alias, lat, lon, precision) of a label: of itself, without a qualifier in brackets, or of the left or right part of a compound; null for unknown ones."""
+    table = json.dumps({n: {"alias": n, "lat": lat, "lon": lon, "precision": p} for n, lat, lon, p in rules.ALIASES}, ensure_ascii=False)
+    names = F.from_json(F.lit(table), "map<string, struct<alias: string, lat: double, lon: double, precision: string>>")
+
+    def found(key: Column) -> Column:
+        known = lambda c: F.try_element_at(names, c)
+        tries = [known(key), known(F.trim(F.substring_index(key, "(", 1)))]
+        for s in SEPARATORS:
+            has = F.contains(key, F.lit(s))
+            right = F.trim(F.substring(key, F.instr(key, s) + 1, F.length(key)))
+            tries += [F.when(has, known(F.trim(F.substring_index(key, s, 1)))), F.when(has, known(right))]
+        return F.coalesce(*tries)
+
+    return let(F.lower(F.trim(label)), found)
 
 
 def from_title(title: Column) -> Column:

@@ -86,21 +86,56 @@ def backfill_claims(events: DataFrame, claimed: DataFrame, evidence: DataFrame,
     return rows.select("event_id", kind.alias("kind"), F.lit("attested").alias("status"), F.lit("direct").alias("relation"), "confidence", "text", "quote", "locator")
 
 
-def resolve_mentions(candidates: DataFrame, entities: DataFrame, surface: str) -> DataFrame:
-    """Adds place_label, place_kind, mention_role, invalid_place: a place surface that names a known entity (surface, label, kind) of another
-    kind is no place but a participant (persons) or an object; unknown surfaces stay as unresolved places; empty ones give nothing."""
+MENTIONS = "array<struct<surface: string, kind: string, role: string>>"
+
+
+def resolve_mentions(candidates: DataFrame, entities: DataFrame, surface: str, thing: str | None = None, participants: str | None = None, key: str | None = None) -> DataFrame:
+    """Adds place_label, place_kind, mention_role, invalid_place, and the arrays place_mentions, object_mentions, participant_mentions (surface, kind, role).
+
+    A place surface that names a known entity (surface, label, kind) of another kind is no place but a
+    participant (persons) or an object; unknown surfaces stay as unresolved places; empty ones give
+    nothing. ``thing``, a column of object surfaces: persons among them are participants. ``participants``,
+    a column of array<struct<surface, role>>: each keeps its role; ``key`` names the candidate's id then.
+    Equal joins on the surface in lower case; unknown kinds are called unknown.
+    """
     known = entities.select(F.lower(F.trim("surface")).alias("_surface"), F.col("label").alias("_label"), F.col("kind").alias("_kind")).dropDuplicates(["_surface"])
-    rows = candidates.withColumn("_raw", F.nullif(F.trim(surface), F.lit(""))).withColumn("_surface", F.lower("_raw")).join(known, "_surface", "left")
-    given, kind = F.col("_raw").isNotNull(), F.col("_kind")
+
+    def looked_up(rows: DataFrame, column: str, name: str) -> DataFrame:
+        side = known.select(F.col("_surface").alias(f"_{name}"), F.col("_label").alias(f"_{name}_label"), F.col("_kind").alias(f"_{name}_kind"))
+        rows = rows.withColumn(f"_{name}_raw", F.nullif(F.trim(column), F.lit("")))
+        return rows.withColumn(f"_{name}", F.lower(f"_{name}_raw")).join(side, f"_{name}", "left")
+
+    mention = lambda label, kind, role: F.struct(label.alias("surface"), kind.alias("kind"), role.alias("role"))
+    none = F.lit(None).cast("string")
+    rows = looked_up(candidates, surface, "place")
+    given, kind = F.col("_place_raw").isNotNull(), F.col("_place_kind")
+    label = F.coalesce("_place_label", "_place_raw")
     is_place = given & (kind.isNull() | (kind == "place"))
-    return rows.withColumns(
+    other = given & ~is_place
+    people, things = [F.when(other & (kind == "person"), mention(label, kind, F.lit("spouse")))], [F.when(other & (kind != "person"), mention(label, kind, none))]
+    if thing is not None:
+        rows = looked_up(rows, thing, "thing")
+        told, what = F.coalesce("_thing_label", "_thing_raw"), F.coalesce("_thing_kind", F.lit("unknown"))
+        people.append(F.when(what == "person", mention(told, what, F.lit("spouse"))))
+        things.append(F.when(F.col("_thing_raw").isNotNull() & (what != "person"), mention(told, what, none)))
+    if participants is not None:
+        each = looked_up(candidates.select(key, F.posexplode(participants).alias("_n", "_p")).select(key, "_n", F.col("_p.surface").alias("_said"), F.col("_p.role").alias("_role")), "_said", "one")
+        found = mention(F.coalesce("_one_label", "_said"), F.coalesce("_one_kind", F.lit("unknown")), F.col("_role"))
+        listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_n"), found.alias("m")))).alias("_listed"))
+        rows = rows.join(listed.select(key, F.transform("_listed", lambda x: x["m"]).alias("_own")), key, "left")
+    own = F.coalesce("_own", F.array().cast(MENTIONS)) if participants is not None else F.array().cast(MENTIONS)
+    rows = rows.withColumns(
         {
-            "place_label": F.when(is_place, F.coalesce("_label", "_raw")),
-            "place_kind": F.when(is_place, F.coalesce("_kind", F.lit("unknown"))),
-            "mention_role": F.when(given & ~is_place, F.when(kind == "person", "participant").otherwise("object")),
-            "invalid_place": F.coalesce(given & ~is_place, F.lit(False)),
+            "place_label": F.when(is_place, label),
+            "place_kind": F.when(is_place, F.coalesce(kind, F.lit("unknown"))),
+            "mention_role": F.when(other, F.when(kind == "person", "participant").otherwise("object")),
+            "invalid_place": F.coalesce(other, F.lit(False)),
+            "place_mentions": F.array_compact(F.array(F.when(is_place, mention(label, F.coalesce(kind, F.lit("unknown")), none)))).cast(MENTIONS),
+            "object_mentions": F.array_compact(F.array(*things)).cast(MENTIONS),
+            "participant_mentions": F.concat(F.array_compact(F.array(*people)).cast(MENTIONS), own),
         }
-    ).drop("_raw", "_surface", "_label", "_kind")
+    )
+    return rows.drop(*[c for c in rows.columns if c.startswith(("_place", "_thing", "_own"))])
 
 
 def human_entities(humans: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:

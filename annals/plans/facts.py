@@ -124,13 +124,13 @@ def typed_dates(spark, sf_dir):
     return rows.select("event_id", "surface", "t.year", "t.month", "t.day", t.sort_key(F.col("t")).alias("sort_key"), t.canonical_key(F.col("t")).alias("time_key"))
 
 
-LABEL = "case event_id % 8 when 6 then 'Siege of ' || place_surface when 7 then 'TREATY OF ' || place_surface || ' (draft)' when 0 then place_surface when 1 then place_surface || ' (1796)' when 2 then place_surface || '–Auerstedt' when 3 then 'Essling / ' || place_surface when 4 then 'Battle of ' || place_surface || ' (x)' else upper(place_surface) || ', France' end"
+LABEL = "case event_id % 8 when 6 then 'Siege of ' || place_surface when 7 then 'TREATY OF ' || place_surface || ' (draft)' when 0 then case when event_id % 3 = 0 then 'Slavkov u Brna' when event_id % 3 = 1 then 'Sainte-Hélène' else place_surface end when 1 then place_surface || ' (1796)' when 2 then place_surface || '–Auerstedt' when 3 then 'Essling / ' || place_surface when 4 then 'Battle of ' || place_surface || ' (x)' else upper(place_surface) || ', France' end"
 
 
 def resolved(key: str) -> str:
-    from annals.functions.place import gazetteer
+    from annals.rules import ALIASES
 
-    known = lambda c: f"case when {c} in ({', '.join(o.q(g[0]) for g in gazetteer())}) then {c} end"
+    known = lambda c: f"case when {c} in ({', '.join(o.q(a[0]) for a in ALIASES)}) then {c} end"
     tries = [known(key), known(f"trim(string_split({key}, '(')[1])")]
     for s in ["–", "-", "/", ","]:
         at = f"instr({key}, '{s}')"
@@ -138,10 +138,16 @@ def resolved(key: str) -> str:
     return f"coalesce({', '.join(tries)})"
 
 
+def alias_value(k: int) -> str:
+    from annals.rules import ALIASES
+
+    return "case place " + " ".join(f"when {o.q(a[0])} then {o.q(a[k])}" for a in ALIASES) + " end"
+
+
 @query(
     "place_alias_resolution",
-    f"""with l as (select event_id, {LABEL} as label from ({M})) select event_id, {resolved("lower(trim(label))")} as place,
-    nullif(trim(string_split(regexp_extract(label, '(?i)^(?:battle of |siege of |treaty of )(.*)$', 1), '(')[1]), '') as title_place, case when lower(label) like 'siege%' then 'siege' when lower(label) like 'treaty%' then 'treaty' else 'battle' end as event_type from l""",
+    f"""with l as (select event_id, {LABEL} as label from ({M})), r as (select *, {resolved("lower(trim(label))")} as place from l) select event_id, place, {alias_value(1)}::double as lat, {alias_value(2)}::double as lon, {alias_value(3)} as precision,
+    nullif(trim(string_split(regexp_extract(label, '(?i)^(?:battle of |siege of |treaty of )(.*)$', 1), '(')[1]), '') as title_place, case when lower(label) like 'siege%' then 'siege' when lower(label) like 'treaty%' then 'treaty' else 'battle' end as event_type from r""",
 )
 def place_alias_resolution(spark, sf_dir):
     from annals.functions import place
@@ -149,7 +155,8 @@ def place_alias_resolution(spark, sf_dir):
 
     rows = mentions(spark, sf_dir).selectExpr("event_id", f"{LABEL} as label")
     label = F.col("label")
-    return rows.select("event_id", place.resolve_alias(label).alias("place"), place.from_title(label).alias("title_place"), title_event_type(label).alias("event_type"))
+    rows = rows.withColumn("found", place.resolve_alias(label))
+    return rows.select("event_id", *[F.col(f"found.{c}").alias(n) for c, n in (("alias", "place"), ("lat", "lat"), ("lon", "lon"), ("precision", "precision"))], place.from_title(label).alias("title_place"), title_event_type(label).alias("event_type"))
 
 
 @query(

@@ -160,20 +160,30 @@ KNOWN = f"""select place_surface as surface, case when place_surface = 'Notre-Da
     from (select distinct place_surface from ({{mentions}})) x where place_surface in ('Notre-Dame', 'The Coalition') or lower(place_surface) in ({', '.join(o.q(g[0]) for g in gazetteer())})"""
 
 
+THING = "case event_id % 4 when 0 then 'notre-dame' when 1 then ' The treaty' when 2 then '' end"
+TOLD = lambda c: f"array_join(transform({c}, m -> concat(m.surface, ':', m.kind, ':', coalesce(m.role, '-'))), ',')"
+
+
 @query(
     "mention_resolution",
-    f"""with e as ({KNOWN.format(mentions=M)}), r as (select event_id, nullif(trim(place_surface), '') as raw, e.kind, e.label from ({M}) m left join e on lower(trim(e.surface)) = lower(trim(m.place_surface)))
+    f"""with e as ({KNOWN.format(mentions=M)}), r0 as (select event_id, person, nullif(trim(place_surface), '') as raw, e.kind, e.label, nullif(trim({THING}), '') as thing from ({M}) m left join e on lower(trim(e.surface)) = lower(trim(m.place_surface))),
+    r as (select r0.*, coalesce(t.kind, 'unknown') as what, coalesce(t.label, thing) as named, c.kind as ally_kind, c.label as ally from r0 left join e t on lower(t.surface) = lower(thing) left join e c on c.surface = 'The Coalition')
     select event_id, case when raw is not null and coalesce(kind, 'place') = 'place' then coalesce(label, raw) end as place_label, case when raw is not null and coalesce(kind, 'place') = 'place' then coalesce(kind, 'unknown') end as place_kind,
-           case when raw is null then null when kind = 'person' then 'participant' when kind = 'organization' then 'object' end as mention_role, coalesce(raw is not null and kind in ('person', 'organization'), false) as invalid_place from r""",
+           case when raw is null then null when kind = 'person' then 'participant' when kind = 'organization' then 'object' end as mention_role, coalesce(raw is not null and kind in ('person', 'organization'), false) as invalid_place,
+           concat_ws(',', case when raw is not null and kind = 'organization' then label || ':' || kind || ':-' end, case when thing is not null and what <> 'person' then named || ':' || what || ':-' end) as objects,
+           concat_ws(',', case when raw is not null and kind = 'person' then label || ':person:spouse' end, case when thing is not null and what = 'person' then named || ':person:spouse' end,
+               case when event_id % 5 = 0 then person || ':unknown:witness' end, case when event_id % 5 = 0 then coalesce(ally, 'The Coalition') || ':' || coalesce(ally_kind, 'unknown') || ':ally' end) as participants from r""",
 )
 def mention_resolution(spark, sf_dir):
-    """What a place surface turns out to be."""
-    m = mentions(spark, sf_dir)
+    """What the surfaces of places, objects and participants turn out to be."""
+    others = "case when event_id % 5 = 0 then array(struct(person as surface, 'witness' as role), struct('The Coalition' as surface, 'ally' as role)) end"
+    m = mentions(spark, sf_dir).selectExpr("event_id", "place_surface", f"{THING} as thing", f"{others} as others")
     surface = F.col("place_surface")
     kind = F.when(surface == "Notre-Dame", "person").when(surface == "The Coalition", "organization").otherwise("place")
     known = m.select("place_surface").distinct().filter(surface.isin("Notre-Dame", "The Coalition") | coordinates(surface).isNotNull())
     entities = known.select(surface.alias("surface"), kind.alias("kind"), F.upper(surface).alias("label"))
-    return reads.resolve_mentions(m, entities, "place_surface").select("event_id", "place_label", "place_kind", "mention_role", "invalid_place")
+    rows = reads.resolve_mentions(m, entities, "place_surface", "thing", "others", "event_id")
+    return rows.select("event_id", "place_label", "place_kind", "mention_role", "invalid_place", F.expr(TOLD("object_mentions")).alias("objects"), F.expr(TOLD("participant_mentions")).alias("participants"))
 
 
 @query(

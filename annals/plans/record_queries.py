@@ -84,14 +84,14 @@ def deposit_records(spark, sf_dir):
 
 ITEM = """<{box}><oai_dc:dc xmlns:dc="d" xmlns:oai_dc="o"><dc:title>Part &amp; ' || p_name || '</dc:title>' || case when p_partkey % 3 = 0 then '' else '<dc:creator>Maker ' || p_brand || '</dc:creator><dc:creator>Other</dc:creator>' end
     || '<dc:subject>' || p_type || '</dc:subject><dc:date>' || cast(1900 + p_size as string) || '-05</dc:date><dc:identifier>' || {link} || '</dc:identifier></oai_dc:dc></{box}>"""
-SEARCHED = """select p_brand, max(case when p_partkey % 23 = 0 then 1 else 0 end) as spoiled, array_join(array_sort(collect_list(concat('<srw:record>""" + ITEM.format(
+SEARCHED = """select p_brand, max(case when p_brand like '%3' then 1 else 0 end) as spoiled, array_join(array_sort(collect_list(concat('<srw:record>""" + ITEM.format(
     box="srw:recordData", link="case when p_partkey % 7 = 0 then '' else 'https://catalogue.bnf.fr/ark:/12148/cb' || cast(p_partkey as string) || '/' end"
 ) + """</srw:record>'))), '') as items from {part} group by p_brand"""
 
 
 @query(
     "library_notices",
-    """with b as (select p_brand, max((p_partkey % 23 = 0)::int) as spoiled from part group by p_brand)
+    """with b as (select p_brand, max((p_brand like '%3')::int) as spoiled from part group by p_brand)
     select p_brand, null as external_id, null as title, null::int as year, null as author, 'broken' as problem from b where spoiled = 1
     union all select p_brand, case when p_partkey % 7 <> 0 then 'ark:/12148/cb' || p_partkey end, 'Part & ' || p_name, (1900 + p_size)::int, case when p_partkey % 3 <> 0 then 'maker ' || lower(p_brand) end, case when p_partkey % 7 = 0 then 'no identifier' end
     from part join b using (p_brand) where spoiled = 0""",

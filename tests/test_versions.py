@@ -84,3 +84,20 @@ def test_best_evidence(spark):
     pages = f([(7, "en", "A B", 99)], "page_id int, lang string, title string, revision int")
     got = {r.event_id: (r.kind, r.quote, r.locator) for r in reads.backfill_claims(events, f([(3,)], "event_id int"), evidence, sentences, pages).collect()}
     assert got == {1: ("anecdote", "said", "https://en.wikipedia.org/w/index.php?title=A_B&oldid=99"), 2: ("life_event", "d", None), 4: ("life_event", None, None)}
+
+
+def test_mentions_are_told_apart(spark):
+    f = spark.createDataFrame
+    entities = f([("josephine", "Joséphine", "person"), ("Paris", "Paris", "place"), ("Code", "Civil Code", "work")], "surface string, label string, kind string")
+    rows = f(
+        [(1, " PARIS ", "Code", [("Ann", "witness"), ("Josephine", "spouse")]), (2, "Josephine", "josephine", None), (3, "Nowhere", " ", []), (4, "code", "thing", None), (5, None, None, None)],
+        "id int, place string, thing string, others array<struct<surface: string, role: string>>",
+    )
+    got = {r.id: r for r in reads.resolve_mentions(rows, entities, "place", "thing", "others", "id").collect()}
+    said = lambda ms: [tuple(m) for m in ms]
+    assert said(got[1].place_mentions) == [("Paris", "place", None)] and said(got[1].object_mentions) == [("Civil Code", "work", None)]
+    assert said(got[1].participant_mentions) == [("Ann", "unknown", "witness"), ("Joséphine", "person", "spouse")]
+    assert got[2].invalid_place and got[2].place_label is None and said(got[2].participant_mentions) == [("Joséphine", "person", "spouse")] * 2
+    assert said(got[3].place_mentions) == [("Nowhere", "unknown", None)] and not got[3].object_mentions and not got[3].invalid_place
+    assert said(got[4].object_mentions) == [("Civil Code", "work", None), ("thing", "unknown", None)] and got[4].mention_role == "object"
+    assert not got[5].place_mentions and not got[5].invalid_place and set(got[5].asDict()) == {"id", "place", "thing", "others", "place_label", "place_kind", "mention_role", "invalid_place", "place_mentions", "object_mentions", "participant_mentions"}
