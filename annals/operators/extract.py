@@ -12,8 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annals.functions import time
 from annals.functions.classify import first_rule, has_any
-from annals.functions.place import plausible
+from annals.functions.place import from_title, plausible
+from annals.operators.judge import title_event_type
 
 # Cues, event types and predicates must be these for right results.
 TRAVEL = [
@@ -43,6 +45,7 @@ MILITARY = [
     (["surrender", "capitulat"], "surrender", "surrendered_at"),
     (["headquarters", "quartier général"], "headquarters", "hq_at"),
 ]
+CAMPAIGN_BEGINS = ["began", "opened"]
 TIMELINE = [
     (["battle", "siege"], "battle", "fought_at"),
     (["treaty", "peace"], "diplomatic", "signed"),
@@ -118,14 +121,53 @@ def posthumous(rows: DataFrame) -> DataFrame:
 
 
 def military(rows: DataFrame) -> DataFrame:
-    """Only lines with a year up to two years after death and a plausible place."""
-    line = F.col("line")
+    """Only lines with a year up to two years after death and a plausible place. A campaign counts where it begins or opens."""
+    line, low = F.col("line"), F.lower("line")
     phrase = [after(line, c, False, ".,;0-9") for c in ("battle of ", "siege of ")]
     near = [F.when(p.rlike(r"^\p{Lu}"), p) for p in (after(line, c, False, ".,0-9") for c in (" near ", " at ", " in "))]
-    out = _ruled(rows, MILITARY).withColumns({"year": first_year(line), "place": F.coalesce(*phrase, *near)})
+    kind = lambda e, p: F.struct(F.lit(e).alias("event_type"), F.lit(p).alias("predicate"))
+    found = first_rule(MILITARY, lambda p: has_any(low, p), lambda r: kind(r[1], r[2]))
+    begun = F.when(F.contains(low, F.lit("campaign")) & has_any(low, CAMPAIGN_BEGINS), kind("military_campaign", "campaign_at"))
+    out = rows.withColumn("_r", F.coalesce(found, begun)).filter("_r is not null").select("*", "_r.event_type", "_r.predicate").drop("_r")
+    out = out.withColumns({"year": first_year(line), "place": F.coalesce(*phrase, *near)})
     return out.filter((F.col("year") <= F.coalesce(F.col("death_year") + 2, F.lit(2100))) & F.coalesce(plausible(F.col("place")), F.lit(False)))
 
 
+def year_in_life(text: Column, birth: Column, death: Column, now: int) -> Column:
+    """The first year of a text within a life, as a number."""
+    window = time.life_window(birth, death, now)
+    return time.parse_year(time.first_year(text, window["first"], window["last"]))
+
+
+def campaign_titles(pages: DataFrame, now: int = 2100) -> DataFrame:
+    """pages (page, title, text, death_year, ...) whose title is of a battle, siege, campaign or treaty, with event_type, predicate,
+    year (the first of the text up to five years after death; null without one) and place (none for campaigns): one row from the title."""
+    title = F.trim("title")
+    low = F.lower(title)
+    named = F.regexp_replace(F.trim(F.substring_index(F.regexp_replace(title, "(?i)^(battle|siege) of ", ""), "(", 1)), "[.,]+$", "")
+    treaty = F.substring(title, F.instr(title, " of ") + 4, F.length(title))
+    row = lambda e, p, place: F.struct(F.lit(e).alias("event_type"), F.lit(p).alias("predicate"), place.alias("place"))
+    found = (
+        F.when(F.startswith(low, F.lit("battle of ")), row("battle", "fought_at", named))
+        .when(F.startswith(low, F.lit("siege of ")), row("siege", "besieged", named))
+        .when(F.contains(low, F.lit("campaign")), row("military_campaign", "campaign_at", F.lit(None).cast("string")))
+        .when(low.rlike("^treat(y|ies) of "), row("treaty", "signed", treaty))
+    )
+    out = pages.withColumn("_r", found).filter("_r is not null")
+    year = year_in_life(F.col("text"), F.lit(None).cast("int"), F.col("death_year"), now)
+    return out.select("page", "title", "_r.event_type", "_r.predicate", year.alias("year"), F.nullif("_r.place", F.lit("")).alias("place"))
+
+
+def page_fallback(pages: DataFrame, found: DataFrame, now: int = 2100) -> DataFrame:
+    """For pages (page, title, text, birth_year, death_year) without a row in found: one from a title in any of the known forms, if the text has a year in the life."""
+    year = year_in_life(F.col("text"), F.col("birth_year"), F.col("death_year"), now)
+    kind = title_event_type(F.trim("title"))
+    predicate = F.when(kind == "treaty", "signed").when(kind == "siege", "besieged").otherwise("fought_at")
+    rows = pages.join(found.select("page").distinct(), "page", "left_anti")
+    rows = rows.select("page", "title", kind.alias("event_type"), predicate.alias("predicate"), year.alias("year"), from_title(F.col("title")).alias("place"))
+    return rows.filter("place is not null and year is not null")
+
+
 def timeline(rows: DataFrame) -> DataFrame:
     """``year — place — description`` lines; years may be BC; those after death are commemorations."""
     raw = F.regexp_replace(F.trim("line"), r"^[*•\s-]+", "")
