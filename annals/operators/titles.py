@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annals import rules
 from annals.functions.classify import has_any
+from annals.functions.place import plausible
 
 # Fixed values.
 NOISE_STARTS = ["list of years", "list of decades", "list of centuries", "ad ", "bc ", "isbn", "doi", "category:", "template:", "file:", "wikipedia:", "help:", "portal:", "talk:"]
@@ -55,9 +56,23 @@ def merged_titles(titles: DataFrame, most: int) -> DataFrame:
     return ranked.filter(F.col("place") <= most).select("subject", "title", "rank", "place")
 
 
+#: Fixed values: (what a text says, how the title begins), in the order in which they are looked for.
+LINKED = [
+    ("battle of ", "Battle of "), ("siege of ", "Siege of "), ("treaty of ", "Treaty of "), ("bataille de ", "Bataille de "), ("siège de ", "Siège de "), ("traite de ", "Traité de "), ("traité de ", "Traité de "),
+]
+MOST_LINKED = 81
+
+
 def linked_titles(text: Column) -> Column:
-    """Titles of battles, sieges and treaties that a text names, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?:Battle|Siege|Treaty) of \p{Lu}[\p{L}-]+(?: \p{Lu}[\p{L}-]+)*)"), 1))
+    """Titles of battles, sieges and treaties that a text names, English and French: the name goes up to a mark or bracket and has to be a
+    plausible place of 2 to 60 bytes. By form, then in order of the text; no more than 81, as a page's links are followed."""
+
+    def of(said: str, head: str) -> Column:
+        names = F.transform(F.regexp_extract_all(text, F.lit(rf"(?iu){said}(?=([^.,;\n()]*))"), 1), lambda n: F.trim(n))
+        good = F.filter(names, lambda n: F.octet_length(n).between(2, 60) & F.coalesce(plausible(n), F.lit(False)))
+        return F.transform(good, lambda n: F.concat(F.lit(head), n))
+
+    return F.slice(F.concat(*[of(said, head) for said, head in LINKED]), 1, MOST_LINKED)
 
 
 def title_rank(title: Column, classes: Column, death_year: Column, military: Column) -> Column:

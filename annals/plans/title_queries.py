@@ -35,13 +35,31 @@ def seed_merge_rank(spark, sf_dir):
     return titles.merged_titles(rows(spark, sf_dir), 40)
 
 
+LINKED = """sentence || case event_id % 4 when 0 then ' See Battle of ' || place_surface || ', the SIEGE OF ' || place_surface || ' (again) and the siege of Toulon.' when 1 then ' La bataille de Valmy; le Siège de ' || place_surface || '.'
+    when 2 then ' Le traité de Lunéville, le traite de ' || place_surface else ' Nothing of the treaty of the king. Treaty of Amiens' end"""
+
+
 def linked_titles(spark, sf_dir):
-    t = mentions(spark, sf_dir).select("event_id", F.concat(F.initcap("sentence"), F.lit(" See Battle of "), "place_surface", F.lit(" and Treaty of Amiens.")).alias("t"))
-    return t.select("event_id", F.array_join(titles.linked_titles(F.col("t")), ",").alias("titles"))
+    """Titles that a text names, to be followed."""
+    t = mentions(spark, sf_dir).selectExpr("event_id", f"{LINKED} as t")
+    return t.select("event_id", F.array_join(titles.linked_titles(F.col("t")), "|").alias("titles"))
+
+
+def linked_sql() -> str:
+    from annals.plans.extracts import PLAUSIBLE
+
+    good = f"strlen(place) between 2 and 60 and {PLAUSIBLE}"
+    forms = ", ".join(f"({i}, {o.q(said)}, {o.q(head)})" for i, (said, head) in enumerate(titles.LINKED))
+    return f"""with m as (select event_id, {LINKED} as t from ({mentions_sql()})), f as (select * from (values {forms}) as x(k, said, head)),
+        p as (select event_id, k, head, unnest(regexp_split_to_array(t, '(?i)' || said)) as piece, generate_subscripts(regexp_split_to_array(t, '(?i)' || said), 1) as i from m cross join f),
+        n as (select event_id, k, i, head, trim(regexp_extract(piece, '^[^.,;\n()]*')) as place from p where i > 1),
+        g as (select event_id, string_agg(head || place, '|' order by k, i) as titles from n where {good} group by event_id)
+        select event_id, coalesce(titles, '') as titles from m left join g using (event_id)"""
 
 
 QUERIES |= {"noise_titles": noise_titles, "seed_merge_rank": seed_merge_rank, "linked_titles": linked_titles}
 SQL |= {
+    "linked_titles": linked_sql(),
     "noise_titles": f"with {T} select {NOISE} as noise, count(*) as n from t1 group by 1",
     "seed_merge_rank": f"""with {T}, g as (select subject, low, arg_min(t, event_id) as title from t1 where not {NOISE} group by all),
         r as (select subject, title, case when low = lower(subject) then 0 when contains(subject, ' ') and contains(low, lower(string_split(subject, ' ')[-1])) then 1

@@ -115,5 +115,7 @@ def test_linked_titles(spark):
 
     s = "After the Battle of Jena came the Siege of New York; the Battle of Jena, the treaty of x, and the Treaty of Saint-Cloud."
     assert one(spark, linked_titles(F.lit(s))) == ["Battle of Jena", "Siege of New York", "Treaty of Saint-Cloud"]
+    s = "La BATAILLE DE Valmy (1792), le traite de Lunéville\net la bataille de Valmy; the battle of his life, the battle of Ulm. Le siège de Toulon"
+    assert one(spark, linked_titles(F.lit(s))) == ["Battle of Ulm", "Bataille de Valmy", "Bataille de Valmy", "Siège de Toulon", "Traité de Lunéville"]
     rows = spark.createDataFrame([("Ann Lee", t, i) for i, t in enumerate(["Zoo", "Lee House", "ann lee", "Ann Lee", "Category:X", "1805", "Treaty of Rome", "zoo"])], "subject string, title string, seq int")
     assert [(r.title, r["rank"]) for r in merged_titles(rows, 3).orderBy("place").collect()] == [("ann lee", 0), ("Lee House", 1), ("Treaty of Rome", 2)]
