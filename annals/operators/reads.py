@@ -170,6 +170,35 @@ def ranked_hits(hits: DataFrame, known: DataFrame, search: str, most: int | None
     return rows if most is None else rows.filter(F.col("place") <= most)
 
 
+# Fixed values.
+DEBATED_KINDS = ["theory", "controversy", "debate_stance"]
+
+
+def claims_of(claims: DataFrame, debates_only: bool = False) -> DataFrame:
+    """Claims (kind, relation, ...): all, or those that debates are made of: debated kinds and what historiography says."""
+    return claims.filter(F.col("kind").isin(DEBATED_KINDS) | (F.col("relation") == "historiography")) if debates_only else claims
+
+
+def exportable_claims(claims: DataFrame) -> DataFrame:
+    """The claims that can be handed on as debates: of debated kinds."""
+    return claims.filter(F.col("kind").isin(DEBATED_KINDS))
+
+
+def conflicting_claims(decided: DataFrame) -> DataFrame:
+    """By claim (stem and place) of disputed stems: person, event_type, its first candidate and how many support it."""
+    disputed = decided.filter("outcome = 'needs_review'").select("stem").distinct()
+    claims = decided.groupBy("stem", "place").agg(F.min("person").alias("person"), F.min("event_type").alias("event_type"), F.min("event_id").alias("first_id"), F.count("*").alias("support"))
+    return claims.join(disputed, "stem", "left_semi")
+
+
+def by_sitelinks(humans: DataFrame, entities: DataFrame, key: str, links: str) -> DataFrame:
+    """humans (entity_id: null where no key was found, ``links``: titles in order) with the entity of the first title that an entity (entity_id, title) has."""
+    titles = humans.filter("entity_id is null").select(key, F.posexplode(links).alias("_n", "title"))
+    found = titles.join(entities.select("title", F.col("entity_id").alias("_found")), "title").groupBy(key).agg(F.min_by("_found", "_n").alias("_found"))
+    out = humans.join(found, key, "left").withColumn("entity_id", F.coalesce("entity_id", "_found")).drop("_found")
+    return out.withColumn("is_new", F.col("entity_id").isNull())
+
+
 DENSITY = ["documents_discovered", "documents_snapshotted", "fragments", "candidates", "rejected", "needs_review", "claims", "accepted_events", "timeline_eligible", "map_eligible", "events_without_place", "multi_source_events"]
 
 

@@ -188,15 +188,51 @@ def mention_resolution(spark, sf_dir):
 
 @query(
     "human_entities",
-    """with h as (select s_suppkey, case when s_suppkey % 3 = 0 then s_suppkey * 2 end as qid, 'Customer#' || lpad((s_suppkey * 25)::varchar, 9, '0') as title from supplier)
-    select s_suppkey, coalesce(a.c_custkey, b.c_custkey) as entity_id, a.c_custkey is null and b.c_custkey is null as is_new from h left join customer a on a.c_custkey * 4 = qid left join customer b on b.c_name = title""",
+    """with h as (select s_suppkey, case when s_suppkey % 3 = 0 then s_suppkey * 2 end as qid, 'Customer#' || lpad((s_suppkey * 25)::varchar, 9, '0') as title from supplier),
+    l as (select s_suppkey, unnest([s_suppkey * 7000, s_suppkey * 5, s_suppkey * 3]) as k, unnest([1, 2, 3]) as i from supplier where s_suppkey % 4 <> 1),
+    s as (select s_suppkey, min_by(c_custkey, i) as by_link from l join customer on c_name = 'Customer#' || lpad(k::varchar, 9, '0') group by s_suppkey)
+    select s_suppkey, coalesce(a.c_custkey, b.c_custkey, by_link) as entity_id, coalesce(a.c_custkey, b.c_custkey, by_link) is null as is_new
+    from h left join customer a on a.c_custkey * 4 = qid left join customer b on b.c_name = title left join s using (s_suppkey)""",
 )
 def human_entities(spark, sf_dir):
-    """Humans find their entity by identifier, else by page title, else are new."""
+    """Humans find their entity by identifier, else by page title, else by any of their links, else are new."""
     key = F.col("s_suppkey")
-    humans = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 3 == 0, key * 2).alias("qid"), F.concat(F.lit("Customer#"), F.lpad((key * 25).cast("string"), 9, "0")).alias("title"))
+    name = lambda c: F.concat(F.lit("Customer#"), F.lpad(c.cast("string"), 9, "0"))
+    links = F.when(key % 4 != 1, F.array(*[name(key * n) for n in (7000, 5, 3)]))
+    humans = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 3 == 0, key * 2).alias("qid"), name(key * 25).alias("title"), links.alias("links"))
     people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), (F.col("c_custkey") * 4).alias("qid"), F.col("c_name").alias("title"))
-    return reads.human_entities(humans, people, ["qid", "title"]).select("s_suppkey", "entity_id", "is_new")
+    found = reads.human_entities(humans, people, ["qid", "title"])
+    return reads.by_sitelinks(found, people, "s_suppkey", "links").select("s_suppkey", "entity_id", "is_new")
+
+
+SOFT = "sentence || case event_id % 9 when 0 then ' It was disputed.' when 1 then ' Historians debate it.' when 2 then ' In theory so.' when 3 then ' An anecdote.' else '' end"
+SOFT_CLAIMS = f"with m as (select event_id, person, lower({SOFT}) as s from ({M})), c as (select event_id, person, {CLAIM(1, 'life_event', 'context', 'fact')} as kind, {CLAIM(3, 'direct', 'indirect', 'direct')} as relation, {CLAIM(4, 65, 45, 40)} as confidence from m)"
+
+
+def soft_claims(spark, sf_dir):
+    rows = mentions(spark, sf_dir).selectExpr("event_id", "person", f"{SOFT} as s")
+    return rows.select("event_id", "person", *[judges.claim_class(F.col("s"), v).alias(n) for v, n in ((1, "kind"), (3, "relation"), (4, "confidence"))])
+
+
+@query("debated_claims", f"{SOFT_CLAIMS} select * from c where kind in ('theory', 'controversy', 'debate_stance') or relation = 'historiography'")
+def debated_claims(spark, sf_dir):
+    """Claims that debates are made of."""
+    return reads.claims_of(soft_claims(spark, sf_dir), debates_only=True)
+
+
+@query("exportable_claims", f"{SOFT_CLAIMS} select person, kind, count(*) as n, max(confidence) as surest from c where kind in ('theory', 'controversy', 'debate_stance') group by all")
+def exportable_claims(spark, sf_dir):
+    """By person how many claims of which kind can be handed on."""
+    return reads.exportable_claims(soft_claims(spark, sf_dir)).groupBy("person", "kind").agg(F.count("*").alias("n"), F.max("confidence").alias("surest"))
+
+
+@query(
+    "conflicting_claims",
+    f"""{STAGED} select stem, place, any_value(person) as person, any_value(event_type) as event_type, min(event_id) as first_id, count(*) as support from staged where stem in (select stem from staged where competes) group by stem, place""",
+)
+def conflicting_claims(spark, sf_dir):
+    """The claims of disputed stems."""
+    return reads.conflicting_claims(staged(spark, sf_dir)).select("stem", "place", "person", "event_type", "first_id", "support")
 
 
 @query(
