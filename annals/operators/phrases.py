@@ -135,6 +135,8 @@ def extract_phrases(rows: DataFrame, text: str, page: str, batch: str, order: st
     the batch, a column of the rows, whose few sentences (some 32) are one window.
     """
     places = ordered_places() if places is None else places
+    # the window's own exchange comes before the work on the texts; by number, as it is work and not size that is dealt out
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), batch)
     c = F.col
     said = F.trim(F.regexp_replace(F.coalesce(c(text), F.lit("")), "'{2,3}", ""))
     rows = rows.withColumns({"_text": said, "_title": F.trim(F.coalesce(c(page), F.lit("")))}).withColumns({"_low": F.lower("_text"), "_page": F.lower("_title")})
