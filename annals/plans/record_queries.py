@@ -84,9 +84,10 @@ def deposit_records(spark, sf_dir):
 
 ITEM = """<{box}><oai_dc:dc xmlns:dc="d" xmlns:oai_dc="o"><dc:title>Part &amp; ' || p_name || '</dc:title>' || case when p_partkey % 3 = 0 then '' else '<dc:creator>Maker ' || p_brand || '</dc:creator><dc:creator>Other</dc:creator>' end
     || '<dc:subject>' || p_type || '</dc:subject><dc:date>' || cast(1900 + p_size as string) || '-05</dc:date><dc:identifier>' || {link} || '</dc:identifier></oai_dc:dc></{box}>"""
+# an answer has the parts of ten thousand keys: pages don't grow with the table
 SEARCHED = """select p_brand, max(case when p_brand like '%3' then 1 else 0 end) as spoiled, array_join(array_sort(collect_list(concat('<srw:record>""" + ITEM.format(
     box="srw:recordData", link="case when p_partkey % 7 = 0 then '' else 'https://catalogue.bnf.fr/ark:/12148/cb' || cast(p_partkey as string) || '/' end"
-) + """</srw:record>'))), '') as items from {part} group by p_brand"""
+) + """</srw:record>'))), '') as items from {part} group by p_brand, floor(p_partkey / 10000)"""
 
 
 @query(
@@ -97,16 +98,18 @@ SEARCHED = """select p_brand, max(case when p_brand like '%3' then 1 else 0 end)
     from part join b using (p_brand) where spoiled = 0""",
 )
 def library_notices(spark, sf_dir):
-    """Records of search answers, a page for each brand; pages that can't be read are one row each."""
+    """Records of search answers, a search for each brand, in pages of bounded size; searches that can't be read are one row each."""
     pages = over(spark, sf_dir, SEARCHED, "part")
     payload = F.concat(F.lit('<srw:searchRetrieveResponse xmlns:srw="s"><srw:records>'), "items", F.when(F.col("spoiled") == 1, "</srw:rec").otherwise("</srw:records></srw:searchRetrieveResponse>"))
     rows = records.dublin_core(pages.select("p_brand", payload.alias("payload")))
-    return rows.select("p_brand", "external_id", "title", "year", F.try_element_at("contributions", F.lit(1))["name_normalized"].alias("author"), "problem")
+    rows = rows.select("p_brand", "external_id", "title", "year", F.try_element_at("contributions", F.lit(1))["name_normalized"].alias("author"), "problem")
+    broken = F.col("problem").eqNullSafe("broken")
+    return rows.filter(~broken).unionByName(rows.filter(broken).distinct())
 
 
 HARVESTED = """select p_brand, array_join(array_sort(collect_list(concat('<record><header><identifier>oai:' || cast(p_partkey as string) || '</identifier></header>""" + ITEM.format(
     box="metadata", link="'http://x/' || cast(p_partkey as string)"
-) + """</record>'))), '') as items from {part} group by p_brand"""
+) + """</record>'))), '') as items from {part} group by p_brand, floor(p_partkey / 10000)"""
 
 
 @query(

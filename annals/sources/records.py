@@ -185,7 +185,10 @@ def dublin_core(answers: DataFrame, payload: str = "payload", harvest: bool = Fa
     page = answers.withColumn("_x", F.from_xml(payload, HARVEST if harvest else SEARCH, options))
     broken = F.col("_x").isNull() | F.col("_x._broken").isNotNull()
     found = F.col("_x.ListRecords.record") if harvest else F.col("_x.records.record")
-    rows = page.select(*answers.columns, broken.alias("_bad"), (some(F.col("_x.ListRecords.resumptionToken")) if harvest else F.lit(None).cast("string")).alias("token"), F.explode_outer(found).alias("_r"))
+    token = some(F.col("_x.ListRecords.resumptionToken")) if harvest else F.lit(None).cast("string")
+    # what is read of the page as a whole comes first: its records would each carry all of it otherwise
+    page = page.select(*answers.columns, broken.alias("_bad"), token.alias("token"), found.alias("_found"))
+    rows = page.select(*answers.columns, "_bad", "token", F.explode_outer("_found").alias("_r"))
     rows = rows.filter(F.col("_bad") | F.col("_r").isNotNull())
     dc = F.col("_r.metadata.dc") if harvest else F.col("_r.recordData.dc")
     every = lambda name: F.filter(F.transform(F.coalesce(dc[name], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
