@@ -13,6 +13,21 @@ def quoted(parts: Sequence[str]) -> str:
     return "|".join(re.escape(p) for p in parts)
 
 
+def either(parts: Sequence[str]) -> str:
+    """A pattern for one of the parts, shared beginnings once, so a place is given up at the first character that none has."""
+    by: dict[str, list[str]] = {}
+    for p in sorted(set(parts)):
+        by.setdefault(p[:1], []).append(p[1:])
+    ends = by.pop("", None) is not None
+    options = []
+    for c, rests in by.items():
+        options.append(re.escape(c) + (re.escape(rests[0]) if len(rests) == 1 else either(rests)))
+    if ends:
+        options.append("")  # the longer ones first
+    firsts = "".join(re.escape(c) for c in by)
+    return (f"(?=[{firsts}])" if len(by) > 1 and not ends else "") + (f"(?:{'|'.join(options)})" if len(options) > 1 else options[0])
+
+
 def has_any(text: Column, parts: Sequence[str]) -> Column:
     """Whether text contains one of the parts; false for null. One constant array for the whole list keeps plans small."""
     return F.coalesce(F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p)), F.lit(False))

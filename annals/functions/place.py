@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from annals import rules
-from annals.functions.classify import first_alone
+from annals.functions.classify import either, first_alone
 from annals.functions.text import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,16 +44,30 @@ def title_case(name: str) -> str:
     return ("-" if "-" in name else " ").join(p[:1].upper() + p[1:] for p in name.replace("-", " ").split(" "))
 
 
+@cache
+def standing_alone(names: tuple[str, ...]) -> list[str]:
+    """Patterns that together find every name that stands alone, wherever it does: of the names that start at a place a pattern finds one, so names that start with another are in a later one."""
+    level: dict[str, int] = {}
+    for n in sorted(names, key=len):
+        level[n] = 1 + max((level[m] for m in level if n.startswith(m)), default=-1)
+    layers = [[n for n in names if level[n] == k] for k in range(max(level.values()) + 1)]
+    return [f"(?<![a-z0-9])(?=({either(layer)})(?![a-z0-9]))" for layer in layers]
+
+
 def best_in_text(text: Column, value: str = "name") -> Column:
     """The best gazetteer name whose first occurrence in text stands alone: localities before realms, then the longest (in bytes), then list order.
 
     value: ``name``, or ``title`` for the name in title case. Only A-Z are lower-cased.
     """
-    rows = [{"locality": loc, "size": len(n.encode()), "place": -i, "name": n, "title": title_case(n)} for i, (n, _, _, loc) in enumerate(gazetteer())]
-    schema = "array<struct<locality: int, size: int, place: int, name: string, title: string>>"
-    low = F.translate(text, UPPER, LOWER)
+    rows = {n: {"locality": loc, "size": len(n.encode()), "place": -i, "name": n, "title": title_case(n)} for i, (n, _, _, loc) in enumerate(gazetteer())}
+    table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "map<string, struct<locality: int, size: int, place: int, name: string, title: string>>")
+
+    def best(low: Column) -> Column:
+        # the names that stand alone somewhere, found by pattern: few, whose first occurrence is then looked at
+        found = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit(p), 1) for p in standing_alone(tuple(rows))]))
+        return F.array_max(F.transform(F.filter(found, lambda n: first_alone(low, n)), lambda n: F.try_element_at(table, n)))[value]
 
-    return F.array_max(F.filter(F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), schema), lambda g: first_alone(low, g["name"])))[value]
+    return let(F.translate(text, UPPER, LOWER), best)
 
 
 def of_page(title: Column) -> Column:

@@ -33,3 +33,23 @@ def test_records_dont_carry_their_page(spark):
         generate = next(line for line in plan.splitlines() if "Generate explode" in line)
         below = plan.splitlines()[plan.splitlines().index(next(x for x in plan.splitlines() if "Generate explode" in x)) + 1]
         assert "_found" in generate and "_bad" in below and "[_x" not in below, plan
+
+
+def test_place_names_are_found_by_pattern(spark):
+    import re
+
+    from annals.functions.place import best_in_text, gazetteer, standing_alone
+
+    rows = gazetteer()
+    first = {n: (loc, len(n.encode()), -i) for i, (n, _, _, loc) in enumerate(rows)}
+    assert all(any(re.search(p, f"({n})").group(1) == n for p in standing_alone(tuple(first)) if re.search(p, f"({n})")) for n in first)
+
+    def plain(text):
+        low = text.translate({c: c + 32 for c in range(65, 91)})
+        alone = lambda n: (at := low.find(n)) >= 0 and not re.match("[a-z0-9]", low[at - 1 : at] if at else "") and not re.match("[a-z0-9]", low[at + len(n) : at + len(n) + 1])
+        return max((n for n in first if alone(n)), key=first.get, default=None)
+
+    names = list(first)
+    texts = ["", "Parisian in Paris", "paris", "x paris2 Rome", "ÉParis", *[f"In {a}, {b.upper()}-{a}s" for a, b in zip(names, names[7:] + names[:7], strict=True)], *[f"{a}s or {b} {a}" for a, b in zip(names, names[1:], strict=False)]]
+    got = {r.t: r.place for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", best_in_text(F.col("t")).alias("place")).collect()}
+    assert got == {t: plain(t) for t in texts} and len(set(got.values())) > 50
