@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from annals import rules
 from annals.functions.classify import first_rule, has_any
+from annals.functions.text import let
 
 LEAST_BYTES = 24
 HIT = ["debate_type", "evidence_layer", "claim_kind", "epistemic_status"]
@@ -55,8 +56,8 @@ def fits(low: Column):
 
 def as_hit(rule: Column, table: list[tuple], quote: Column, event: Column) -> Column:
     """The hit of a rule's number as a struct; null without one."""
-    of = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in table]), rule + 1)
-    return F.when(rule.isNotNull(), F.struct(*[of(i).alias(n) for i, n in enumerate(HIT, 1)], quote.alias("quote"), event.alias("event_type")))
+    of = lambda r, k: F.element_at(F.array(*[F.lit(x[k]) for x in table]), r + 1)
+    return let(rule, lambda r: F.when(r.isNotNull(), F.struct(*[of(r, i).alias(n) for i, n in enumerate(HIT, 1)], quote.alias("quote"), event.alias("event_type"))))
 
 
 def numbered(table: list[tuple]) -> list[tuple]:
@@ -64,8 +65,7 @@ def numbered(table: list[tuple]) -> list[tuple]:
 
 
 def sentence_hit(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    return as_hit(first_rule(numbered(rules.DEBATES), fits(low), 1), rules.DEBATES, sentence, first_rule(rules.DEBATED_EVENTS, fits(low), 1))
+    return let(F.lower(sentence), lambda low: as_hit(first_rule(numbered(rules.DEBATES), fits(low), 1), rules.DEBATES, sentence, first_rule(rules.DEBATED_EVENTS, fits(low), 1)))
 
 
 def title_hit(title: Column) -> Column:

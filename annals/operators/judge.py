@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annals import rules
 from annals.functions.classify import first_rule, has_alone, has_any, has_word
 from annals.functions.place import clean_label, coordinates
+from annals.functions.text import let
 from annals.functions.time import parse_year
 
 
@@ -113,8 +114,7 @@ def claim_class(text: Column, value: int) -> Column:
 
 def predicate_of(clause: Column, value: int) -> Column:
     """Event type (1) or predicate (2) of a clause; null without a cue."""
-    low = F.lower(clause)
-    return first_rule(rules.PREDICATES, lambda p: has_any(low, p), value)
+    return let(F.lower(clause), lambda low: first_rule(rules.PREDICATES, lambda p: has_any(low, p), value))
 
 
 def person_score(description: Column) -> Column:

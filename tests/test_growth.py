@@ -53,3 +53,12 @@ def test_place_names_are_found_by_pattern(spark):
     texts = ["", "Parisian in Paris", "paris", "x paris2 Rome", "ÉParis", *[f"In {a}, {b.upper()}-{a}s" for a, b in zip(names, names[7:] + names[:7], strict=True)], *[f"{a}s or {b} {a}" for a, b in zip(names, names[1:], strict=False)]]
     got = {r.t: r.place for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", best_in_text(F.col("t")).alias("place")).collect()}
     assert got == {t: plain(t) for t in texts} and len(set(got.values())) > 50
+
+
+def test_clauses_and_sentences_are_lower_cased_once(spark):
+    from annals.operators.debates import sentence_hit
+    from annals.operators.judge import predicate_of
+
+    rows = spark.range(3).select(F.concat(F.lit("Scholars DISPUTE whether he was Born in "), F.col("id").cast("string")).alias("s"))
+    lowered = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("lower(")
+    assert lowered(predicate_of(F.col("s"), 1)) == 1 and lowered(sentence_hit(F.col("s"))) == 1
