@@ -45,11 +45,16 @@ def section_fits(title: Column, event_type: Column) -> Column:
     return by_type(event_type, rules.EVENT_SECTIONS, lambda parts: has_any(low, parts))
 
 
-def relevant(text: Column, event_type: Column, place: Column, year: Column) -> Column:
-    """Whether a sentence has the place, the year or a word of the event's type."""
-    low = F.lower(text)
-    named = F.coalesce((F.trim(place) != "") & F.contains(low, F.lower(place)), F.lit(False)) | F.coalesce(F.contains(low, year.cast("string")), F.lit(False))
-    return named | by_type(event_type, rules.EVENT_WORDS, lambda parts: has_any(low, parts))
+def worded(low: Column) -> Column:
+    """For each entry of rules.EVENT_WORDS whether a sentence in lower case has one of its words."""
+    return F.array(*[has_any(low, parts) for _, parts in rules.EVENT_WORDS])
+
+
+def relevant(low: Column, words: Column, event_type: Column, place: Column, year: Column) -> Column:
+    """Whether a sentence in lower case has the place (lower case), the year (as text) or a word of the event's type; ``words`` says of which types it has words."""
+    named = F.coalesce((F.trim(place) != "") & F.contains(low, place), F.lit(False)) | F.coalesce(F.contains(low, year), F.lit(False))
+    number = [(kind, i) for i, (kind, _) in enumerate(rules.EVENT_WORDS)]
+    return named | by_type(event_type, number, lambda i: words[i])
 
 
 def without_heading(text: Column, title: Column, marks: str) -> Column:
@@ -108,9 +113,10 @@ def claims(events: DataFrame, narrative: DataFrame, sentences: DataFrame) -> Dat
     chosen = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("event_id").orderBy("_other", "section_no"))).filter("_rank <= 2")
     # what a sentence says depends on no event: it is cleaned and judged once, before it meets the events of its page
     plain = sentences.select("page", "section_no", "ordinal", without_heading(claim_text(F.col("text")), F.col("section"), " :—-").alias("text"))
-    plain = plain.filter(F.char_length("text").between(40, 320) & ~identity_blurb(F.col("text")))
-    said = chosen.select("event_id", "page", "section_no", "section", "event_type", "place_label", "year", "_rank").join(plain, ["page", "section_no"])
-    said = said.filter(relevant(F.col("text"), F.col("event_type"), F.col("place_label"), F.col("year")))
+    plain = plain.filter(F.char_length("text").between(40, 320) & ~identity_blurb(F.col("text"))).withColumn("_low", F.lower("text"))
+    plain = plain.withColumn("_words", worded(F.col("_low")))
+    asked = chosen.select("event_id", "page", "section_no", "section", "event_type", F.lower("place_label").alias("_place"), F.col("year").cast("string").alias("_year"), "_rank")
+    said = asked.join(plain, ["page", "section_no"]).filter(relevant(F.col("_low"), F.col("_words"), F.col("event_type"), F.col("_place"), F.col("_year")))
     said = said.select("event_id", F.lit(2).alias("kind"), F.col("_rank").cast("long").alias("first"), F.col("ordinal").cast("long").alias("second"), "text", "section")
     said = said.withColumn("_n", F.row_number().over(Window.partitionBy("event_id").orderBy(*order))).filter(f"_n <= {SECTION_CLAIMS}").drop("_n")
     # of the local ones the first six are enough, whatever follows

@@ -62,3 +62,12 @@ def test_clauses_and_sentences_are_lower_cased_once(spark):
     rows = spark.range(3).select(F.concat(F.lit("Scholars DISPUTE whether he was Born in "), F.col("id").cast("string")).alias("s"))
     lowered = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("lower(")
     assert lowered(predicate_of(F.col("s"), 1)) == 1 and lowered(sentence_hit(F.col("s"))) == 1
+
+
+def test_words_of_event_types_are_looked_for_once_a_sentence(spark):
+    from annals import rules
+    from annals.operators.dossier import relevant, worded
+
+    rows = spark.createDataFrame([("he died there", "death"), ("he died there", "battle"), ("nothing", "death"), ("in it", "other"), ("1801 x", "battle"), ("rome x", "battle")], "s string, t string")
+    got = rows.select(relevant(F.col("s"), worded(F.col("s")), F.col("t"), F.lit("rome"), F.lit("1801")).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, False, True, True, True] and rules.EVENT_WORDS[-1][0] is None
