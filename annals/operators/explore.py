@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,15 @@ class Budget:
     min_score: int = 35
 
 
+def laid_out(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (src, dst) with the columns of the node dst, as a table sorted by src: what ``best_first`` reads, once for several explorations."""
+    return written(edges.select("src", "dst").distinct().join(nodes.withColumnRenamed("node", "dst"), "dst").repartitionByRange("src").sortWithinPartitions("src"), "links")
+
+
 VISIT = "node string, depth int, score int, visit int, reason string"
 
 
-def best_first(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, targets: dict[str, int], budget: Budget = Budget(), per_round: int = 50) -> DataFrame:
+def best_first(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, targets: dict[str, int], budget: Budget = Budget(), per_round: int = 50, links: DataFrame | None = None) -> DataFrame:
     """(node, depth, score, visit, reason): pages in the order of their visit, the best known first.
 
     edges: src, dst. nodes: node, score, source and a count for each of ``targets``. seeds: node. A
@@ -50,10 +56,11 @@ def best_first(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, targets: di
     (budget_documents), or when nothing is left (exhausted). Sources beyond their share are passed over.
 
     The driver holds a round and the visits, both bounded by parameters. Links lie in a table sorted by
-    src, so a round reads the row groups of its nodes; the frontier is a table of what each round added.
+    src with what is known of dst (``links``: a table of ``laid_out``, else one is made), so a round reads
+    the row groups of its nodes and nothing else; the frontier is a table of what each round added.
     """
     spark = edges.sparkSession
-    links = written(edges.select("src", "dst").distinct().repartitionByRange("src").sortWithinPartitions("src"), "links")
+    links = laid_out(edges, nodes) if links is None else links
     known = nodes.select("node", "score", "source", *targets)
     best = [F.desc("score"), F.asc("node")]
     pool = written(seeds.select("node").distinct().join(known, "node").withColumn("depth", F.lit(0)), "frontier")
@@ -81,8 +88,10 @@ def best_first(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, targets: di
         for depth, names in sorted(taken.items()):
             if depth >= budget.depth or seen >= budget.linked:
                 continue
-            found = links.filter(F.col("src").isin(names)).select(F.col("dst").alias("node")).distinct().join(pool.select("node"), "node", "left_anti")
-            fresh = found.join(known, "node").filter(F.col("score") >= budget.min_score).withColumn("depth", F.lit(depth + 1))
+            # a test for each name: of a long list only its least and greatest name are compared with a row group's
+            asked = reduce(lambda a, b: a | b, [F.col("src") == n for n in names])
+            found = links.filter(asked & (F.col("score") >= budget.min_score)).select(F.col("dst").alias("node"), "score", "source", *targets).distinct()
+            fresh = found.join(pool.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth + 1))
             fresh = written(fresh.orderBy(*best).limit(budget.linked - seen), "frontier")
             pool, seen = pool.unionByName(fresh), seen + fresh.count()
     return spark.createDataFrame([(*v, reason) for v in visits], VISIT)

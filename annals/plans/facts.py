@@ -9,6 +9,7 @@ from annals.operators import fragments
 from annals.plans import oracle as o
 from annals.plans.events import KEYS, M, keyed, mentions
 from annals.sources.files import plan
+from annals.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -195,18 +196,21 @@ def exploration_budgeted(spark, sf_dir):
     """Three explorations of all links, the best node first: one reaches its targets, one its number of documents, one runs out of good nodes."""
     from functools import reduce
 
-    from annals.operators.explore import Budget, best_first
+    from annals.operators.explore import Budget, best_first, laid_out
 
     links = spark.sql(LINKS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = written(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "both-ways")
     score = F.crc32(F.col("node").cast("binary"))
     kind = F.split("node", " ")[0]
     nodes = both.select(F.col("src").alias("node")).distinct().withColumns(
         {"score": (score % 100).cast("int"), "source": kind, "timeline": (kind == "order").cast("int"), "mapped": (score % 3 == 0).cast("int")}
     )
+    # the nodes and the links with them are made once, for all explorations and their rounds
+    nodes = written(nodes, "nodes")
+    table = laid_out(both, nodes)
     seeds = spark.createDataFrame([(s,) for s in SEEDS], "node string")
     runs = {"targets": ({"timeline": 20, "mapped": 25}, Budget()), "documents": ({"timeline": 10**6}, Budget(documents=70, per_source=40)), "nodes": ({"timeline": 10**6}, Budget(min_score=97))}
-    found = [best_first(both, nodes, seeds, targets, budget).withColumn("run", F.lit(name)) for name, (targets, budget) in runs.items()]
+    found = [best_first(both, nodes, seeds, targets, budget, links=table).withColumn("run", F.lit(name)) for name, (targets, budget) in runs.items()]
     return reduce(lambda a, b: a.unionByName(b), found)
 
 

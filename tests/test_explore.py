@@ -69,3 +69,24 @@ def test_query_stops_for_each_reason(spark):
     rows = plans.QUERIES["exploration_budgeted"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.run, r.reason) for r in rows} == {("targets", "target_reached"), ("documents", "budget_documents"), ("nodes", "exhausted")}
     assert max(r.depth for r in rows) > 1
+
+
+def test_rounds_read_the_links_alone(spark):
+    """What is known of the nodes is laid beside the links once: their rows are worked out once, however many rounds and explorations follow."""
+    from pyspark.sql import functions as F
+
+    from annals.operators.explore import laid_out
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def score(n):
+        made.add(1)
+        return 50
+
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string")
+    n = spark.createDataFrame([(f"n{i}",) for i in range(10)], "node string").select("node", score("node").alias("score"), F.lit("a").alias("source"), F.lit(0).alias("timeline"))
+    table = laid_out(e, n)
+    first = made.value
+    got = best_first(e, n, spark.createDataFrame([("n0",)], "node string"), {"timeline": 1}, Budget(depth=9), links=table)
+    assert got.count() == 10 and made.value <= first + 10  # the seeds look once more
