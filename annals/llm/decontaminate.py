@@ -155,12 +155,12 @@ def spans_of(hits: np.ndarray | None) -> list[list[int]]:
     return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).tolist()
 
 
-def searcher(key: str, block, extra: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def searcher(key: str, block, extra: list[str], text: str = "text") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Search the tables of one block; None: only count words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [alnum_words(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, text):
+            texts = [alnum_words(t) for t in batch.column(text).to_pylist()]
             hits, items = unpacked(key, block).run(texts) if block is not None else ([None] * len(texts), [()] * len(texts))
             cols = {c: batch.column(c) for c in extra}
             cols["n_words"] = pa.array([len(t) for t in texts], pa.int64())
@@ -204,19 +204,19 @@ def merge_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def searched(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, carry: list[str]) -> DataFrame:
-    """The carried columns of rows (text and _k_id, which names a document, are among its columns) and FOUND."""
+def searched(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, carry: list[str], text: str = "text") -> DataFrame:
+    """The carried columns of rows (text, by its name, and _k_id, which names a document, are among its columns) and FOUND."""
     context, schema = rows.sparkSession.sparkContext, {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields}
     n, built = block_tables(benchmark, window, block_bytes)
 
     def passed(block: int, columns: list[str]) -> tuple[DataFrame, object]:
         tables = built.filter(F.col("block") == block).select("tables").first()
         send = context.broadcast(bytes(tables[0]) if tables else pickle.dumps(Search([], window)))
-        return rows.mapInArrow(searcher(uuid.uuid4().hex, send, columns), ", ".join([*(schema[c] for c in columns), FOUND])), send
+        return rows.mapInArrow(searcher(uuid.uuid4().hex, send, columns, text), ", ".join([*(schema[c] for c in columns), FOUND])), send
 
     if n == 1:  # nothing to merge: a map over the rows as they are read
         return passed(0, carry)[0]
-    rows, keys = rows.withColumn("_k_hash", F.xxhash64("text")), ["_k_id", "_k_hash"]
+    rows, keys = rows.withColumn("_k_hash", F.xxhash64(text)), ["_k_id", "_k_hash"]
     schema["_k_hash"], hits = "_k_hash long", None
     for block in range(n):
         found, send = passed(block, keys)
@@ -227,7 +227,7 @@ def searched(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
     merged = lists.mapInArrow(merge_hits, f"{schema['_k_id']}, _k_hash long, items array<string>, n_hit long, hit_words array<array<int>>")
     merged = merged.withColumnsRenamed({c: f"_m_{c}" for c in merged.columns})
     columns = [*dict.fromkeys([*carry, *keys])]
-    all_rows = rows.mapInArrow(searcher("", None, columns), ", ".join([*(schema[c] for c in columns), FOUND]))
+    all_rows = rows.mapInArrow(searcher("", None, columns, text), ", ".join([*(schema[c] for c in columns), FOUND]))
     both = all_rows.join(merged, all_rows["_k_id"].eqNullSafe(merged["_m__k_id"]) & (all_rows["_k_hash"] == merged["_m__k_hash"]), "left")
     return both.select(*carry, "n_words", *[F.coalesce(f"_m_{c}", c).alias(c) for c in ("n_hit", "items", "hit_words")])
 
@@ -256,6 +256,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """The documents in which no window occurs, with all their columns; with one block of benchmark a map over the rows as they are read."""
     names = {c: f"_d_{c}" for c in docs.columns}
-    rows = docs.withColumnsRenamed(names).withColumn("text", F.col("_d_text").cast("string")).withColumn("_k_id", F.col("_d_doc_id"))
-    out = searched(rows, benchmark, window, block_bytes, list(names.values()))
+    rows, text = docs.withColumnsRenamed(names).withColumn("_k_id", F.col("_d_doc_id")), "_d_text"
+    if docs.schema["text"].dataType.typeName() != "string":  # else what is carried is searched: a text goes to Python once
+        rows, text = rows.withColumn("text", F.col(text).cast("string")), "text"
+    out = searched(rows, benchmark, window, block_bytes, list(names.values()), text)
     return out.filter("n_hit = 0").select(*[F.col(v).alias(k) for k, v in names.items()])

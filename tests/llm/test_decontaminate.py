@@ -87,3 +87,15 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in contamination(d, b).collect()] == [0]
     assert contamination(d.limit(0), b).count() == 0
+
+
+def test_a_kept_document_brings_its_text_once(spark, monkeypatch):
+    from annals.llm import decontaminate
+
+    sent, real = [], decontaminate.searched
+    monkeypatch.setattr(decontaminate, "searched", lambda rows, *a, **k: sent.append(rows.columns) or real(rows, *a, **k))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x y"), (3, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([("i", "b c d")], "item_id string, text string")
+    kept = decontaminate.keep_clean(docs, benchmark, window=3)
+    assert kept.columns == docs.columns and sorted(kept.collect()) == [(2, "x y"), (3, None)]
+    assert [c for c in sent[0] if "text" in c] == ["_d_text"]
