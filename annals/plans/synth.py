@@ -42,8 +42,14 @@ MENTIONS = f"""
     join {values(CUES, "c", "k", "cue")} on c.k = e.ck"""
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, dealt out by number before the work on them: they are few bytes and much work, and a file may have few splits."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    return events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MENTIONS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spark.sql(MENTIONS, events=dealt(spark, sf_dir))
 
 
 def mentions_sql() -> str:
