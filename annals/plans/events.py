@@ -330,7 +330,7 @@ STAGED = f"""{KEYS}, s0 as (select *, {o.normal("place_label")} as place from k)
 def staged(spark, sf_dir):
     rows = keyed(spark, sf_dir).withColumn("place", text.normalize_surface(F.coalesce("place_label", F.lit(""))))
     # judged once: the stage reads its candidates several times
-    return stage.decide(written(rows.select("event_id", "person", "event_type", "stem", "occurrence_key", "place", "status", "time_key"), "staged"))
+    return stage.decide(written(rows.select("event_id", "person", "event_type", "stem", "occurrence_key", "place", "status", "time_key", "year", "map_eligible"), "staged"))
 
 
 @query(

@@ -13,6 +13,7 @@ from annals.operators import assembly, judge as judges, metrics, reads, stage, v
 from annals.plans import oracle as o
 from annals.plans.corpus import read
 from annals.plans.events import CLAIM, JUDGED, KEYS, M, STAGED, judged, keyed, mentions, staged
+from annals.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -265,7 +266,7 @@ def table_counts(spark, sf_dir):
 )
 def status_updates(spark, sf_dir):
     """Candidates after the changes that the stage makes to them and to their events, merged from versions of changes."""
-    rows = staged(spark, sf_dir).join(keyed(spark, sf_dir).select("event_id", "year"), "event_id")
+    rows = written(staged(spark, sf_dir).select("event_id", "person", "event_type", "stem", "outcome", "event", "year"), "decided")  # read for each kind of change
     births = rows.filter("event_type = 'birth'").groupBy("person").agg(F.min("year").alias("born"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     base = rows.select("event_id", F.lit("accepted").alias("status"), none("bigint", "event"), none("string", "epistemic"), none("boolean", "active"))

@@ -106,3 +106,22 @@ def test_queries_see_conflicts(spark, name):
     rows = plans.QUERIES[name](spark, SF)
     kinds = {r[0] for r in rows.select("outcome" if name == "event_stage" else "status").distinct().collect()}
     assert len(kinds) > 1 and kinds & {"needs_review", "uncertain"}
+
+
+@pytest.mark.parametrize("name, module", [("status_updates", "read_queries"), ("density_counts", "store_queries")])
+def test_candidates_are_judged_once(spark, monkeypatch, name, module):
+    import importlib
+
+    from annals.plans import events
+
+    calls, real = [], events.judged
+    monkeypatch.setattr(events, "judged", lambda *a: calls.append(1) or real(*a))
+    getattr(importlib.import_module(f"annals.plans.{module}"), name)(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
+def test_work_on_events_is_dealt_out(spark):
+    """A file of one split is no reason to judge it in one task."""
+    from annals.plans.synth import dealt
+
+    assert dealt(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
