@@ -349,4 +349,5 @@ def event_stage(spark, sf_dir):
 )
 def event_table(spark, sf_dir):
     """The events with their support; uncertain if a competing reading came later."""
-    return stage.event_table(staged(spark, sf_dir)).select("occurrence_key", "event_id", "support", "status")
+    decided = written(staged(spark, sf_dir).select("event_id", "occurrence_key", "stem", "outcome", "event"), "decided")  # read twice
+    return stage.event_table(decided).select("occurrence_key", "event_id", "support", "status")
