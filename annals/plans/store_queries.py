@@ -9,7 +9,8 @@ from annals.functions import text, time
 from annals.operators import judge as judges, reads, stage
 from annals.plans import oracle as o
 from annals.plans.corpus import read
-from annals.plans.events import M, STAGED, keyed, mentions, staged
+from annals.plans.events import M, STAGED, mentions, staged
+from annals.session import written
 
 QUERIES, SQL = {}, {}
 
@@ -92,8 +93,9 @@ def person_hits(spark, sf_dir):
 )
 def density_counts(spark, sf_dir):
     """By subject twelve counts, from what was discovered to events of several sources."""
-    decided = staged(spark, sf_dir).withColumn("subject", F.col("person"))
-    kept = keyed(spark, sf_dir).select("event_id", F.col("person").alias("subject"), "year", F.col("map_eligible").alias("mapped"))
+    decided = staged(spark, sf_dir).select("event_id", F.col("person").alias("subject"), "stem", "place", "occurrence_key", "outcome", "event", "year", "map_eligible")
+    decided = written(decided, "decided")  # read four times
+    kept = decided.select("event_id", "subject", "year", F.col("map_eligible").alias("mapped"))
     events = stage.event_table(decided).select("event_id", "support").join(kept, "event_id")
     users = read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id")).distinct()
     runs = users.withColumn("subject", F.concat(F.lit("Person "), F.col("run_id").cast("string")))
