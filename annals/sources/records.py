@@ -217,4 +217,7 @@ def dublin_core(answers: DataFrame, payload: str = "payload", harvest: bool = Fa
 
 def parts(records: DataFrame, name: str) -> DataFrame:
     """external_id and the fields of each of the record's identifiers, contributions or subjects; records with a problem have none."""
-    return records.filter("problem is null").select("external_id", F.inline(name))
+    # no filter on what is read, nor one that the optimiser derives from an inner explosion: either would go below the reading and repeat it for each field it names
+    usable = F.when(F.col("problem").isNull(), F.col(name))
+    exploded = records.select("external_id", F.inline_outer(usable))
+    return exploded.filter(F.col(exploded.columns[1]).isNotNull())  # role or scheme, which each part has

@@ -71,3 +71,11 @@ def test_words_of_event_types_are_looked_for_once_a_sentence(spark):
     rows = spark.createDataFrame([("he died there", "death"), ("he died there", "battle"), ("nothing", "death"), ("in it", "other"), ("1801 x", "battle"), ("rome x", "battle")], "s string, t string")
     got = rows.select(relevant(F.col("s"), worded(F.col("s")), F.col("t"), F.lit("rome"), F.lit("1801")).alias("x")).collect()
     assert [r.x for r in got] == [True, False, False, True, True, True] and rules.EVENT_WORDS[-1][0] is None
+
+
+def test_parts_read_each_record_once(spark):
+    rows = spark.createDataFrame([('{"nnt": "1", "titrePrincipal": "a", "directeurs": [{"nom": "Dir"}, {"nom": " "}]}',), ('{"nnt": "2", "titrePrincipal": "no parts"}',), ('{"titrePrincipal": "no id", "directeurs": [{"nom": "Dir"}]}',), ("{",)], "payload string")
+    got = records.parts(records.theses(rows.withColumn("payload", F.concat("payload", F.lit("")))), "contributions")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1, plan
+    assert [(r.external_id, r.role, r.name) for r in got.collect()] == [("1", "thesis_advisor", "Dir")]
