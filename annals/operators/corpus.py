@@ -93,17 +93,18 @@ def grams(word: Column, size: int) -> Column:
 
 
 def alias_hits(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, subject, alias, folded) of documents (doc_id, words: distinct) that may have an alias, as part of a word or over several.
+    """The documents (their columns, words: distinct) with subject, alias, folded of each alias that they may have, as part of a word or over several; once for each word that has the alias's longest.
 
     The longest word of an alias lies within a word of any text that has the alias. So the index is
     over distinct words: each is posted under its pieces of three characters, an alias is looked up
     under the rarest piece of its longest word, and what contains the word goes on to the documents.
-    Work grows with the distinct words and the hits, not with documents times aliases.
+    Work grows with the distinct words and the hits, not with documents times aliases. The words that
+    have an alias are a table: small, it is sent to the documents, which then don't move.
     """
     every = F.filter(F.split("folded", " "), lambda w: w != "")
     longest = F.array_max(F.transform(every, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     known = known.withColumn("probe", longest).filter("probe is not null").withColumn("size", F.least(F.lit(3), F.length("probe")))
-    words = texts.select("doc_id", F.explode("words").alias("word"))
+    words = texts.withColumn("word", F.explode("words")).drop("words")
     vocabulary = words.select("word").distinct()
     pieces = reduce(lambda a, b: a.when(F.col("size") == b, grams(F.col("probe"), b)), (2, 3), F.when(F.col("size") == 1, F.array("probe")))
     asked = known.withColumn("gram", F.explode(pieces))
@@ -112,7 +113,7 @@ def alias_hits(texts: DataFrame, known: DataFrame) -> DataFrame:
     frequency = posted.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(frequency, "gram", "left").groupBy("subject", "alias", "folded", "probe").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     pairs = posted.join(rarest, "gram").filter(F.contains("word", F.col("probe"))).select("word", "subject", "alias", "folded")
-    return words.join(pairs, "word").select("doc_id", "subject", "alias", "folded").distinct()
+    return words.join(written(pairs, "words"), "word").drop("word")
 
 
 def match_subjects(docs: DataFrame, aliases: DataFrame, low: int = 30) -> DataFrame:
@@ -126,7 +127,7 @@ def match_subjects(docs: DataFrame, aliases: DataFrame, low: int = 30) -> DataFr
     known = aliases.select("subject", "alias", fold(F.col("alias")).alias("folded")).filter(F.octet_length("alias") >= 3).distinct()
     texts = docs.select("doc_id", *[F.coalesce(fold(F.col(c)), F.lit("")).alias(c) for c in PLACES])
     words = F.filter(F.array_distinct(F.split(F.concat_ws(" ", *PLACES), " ")), lambda w: w != "")
-    rows = alias_hits(texts.select("doc_id", words.alias("words")), known).join(texts, "doc_id")
+    rows = alias_hits(texts.withColumn("words", words), known)
     within = lambda c: F.contains(F.col(c), F.col("folded"))
     one = F.when(F.contains("alias", F.lit(" ")), 25).otherwise(35)
     points = {"title": F.lit(45), "abstract": one, "author": F.lit(35), "keyword": F.lit(15)}

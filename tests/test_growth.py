@@ -79,3 +79,15 @@ def test_parts_read_each_record_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1, plan
     assert [(r.external_id, r.role, r.name) for r in got.collect()] == [("1", "thesis_advisor", "Dir")]
+
+
+def test_documents_stay_where_they_are_read_when_few_words_have_an_alias(spark):
+    from annals.operators import corpus
+
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("Saint Helena, Saint Helena "), "id").alias("title"), *[F.lit(c).alias(c) for c in ("abstract", "author", "keyword")])
+    aliases = spark.createDataFrame([("h", "helena"), ("h", "Saint Helena"), ("a", "thor")], "subject string, alias string")
+    got = corpus.match_subjects(docs, aliases)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 1 and "word" in joins[0] and "doc_id" not in joins[0], joins
+    rows = sorted(tuple(r) for r in got.filter("doc_id < 2").collect())
+    assert rows == [(i, s, *rest) for i in (0, 1) for s, *rest in (("a", "by", 35, "author"), ("h", "about", 45, "title"))] and got.count() == 100
