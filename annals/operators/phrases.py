@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from annals import rules
 from annals.functions.classify import first_alone, has_alone, has_any
-from annals.functions.place import LOWER, UPPER, gazetteer, title_case
+from annals.functions.place import LOWER, UPPER, gazetteer, standing_alone, title_case
+from annals.functions.text import let
 from annals.functions.time import last_year
 from annals.operators.mine import year_surface
 
@@ -28,8 +29,19 @@ def ordered_places() -> list[tuple[str, str]]:
 
 def listed_place(low: Column, places: list[tuple[str, str]]) -> Column:
     """The title of the first place, in list order, whose first occurrence in ``low`` stands alone."""
-    table = constant([{"name": n, "title": t} for n, t in places], "name: string, title: string")
-    return F.try_element_at(F.filter(table, lambda p: first_alone(low, p["name"])), F.lit(1))["title"]
+    if not places:
+        return F.lit(None).cast("string")
+    rows: dict[str, dict] = {}
+    for i, (name, title) in enumerate(places):
+        rows.setdefault(name, {"place": i, "title": title})
+    table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "map<string, struct<place: int, title: string>>")
+
+    def first(text: Column) -> Column:
+        # the names that stand alone somewhere, found by pattern: few, whose first occurrence is then looked at
+        found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in standing_alone(tuple(rows))]))
+        return F.array_min(F.transform(F.filter(found, lambda n: first_alone(text, n)), lambda n: F.try_element_at(table, n)))["title"]
+
+    return let(low, first)
 
 
 def person_named(low: Column) -> Column:
@@ -52,9 +64,8 @@ def page_place(page: Column, places: list[tuple[str, str]]) -> Column:
     title = F.trim(page)
     event = F.trim(F.substring_index(F.regexp_extract(title, f"^(?:{'|'.join(rules.PLACE_TITLES)})(.*)$", 1), "(", 1))
     bare = F.lower(F.trim(F.substring_index(title, "(", 1)))
-    hit = listed_place(bare, places)
-    whole = (bare == F.lower(hit)) | (F.startswith(bare, F.lower(hit)) & (F.octet_length(hit) >= 8))
-    return F.when(F.octet_length(event) >= 2, event).when(whole, hit)
+    whole = lambda hit: (bare == F.lower(hit)) | (F.startswith(bare, F.lower(hit)) & (F.octet_length(hit) >= 8))
+    return F.when(F.octet_length(event) >= 2, event).otherwise(let(listed_place(bare, places), lambda hit: F.when(whole(hit), hit)))
 
 
 def last_four_digits(text: Column) -> Column:
@@ -64,8 +75,7 @@ def last_four_digits(text: Column) -> Column:
 
 
 def trimmed_place(surface: Column) -> Column:
-    s = F.trim(F.regexp_replace(F.trim(surface), "[.,;)]+$", ""))
-    return F.when((F.length(s) >= 2) & ~s.rlike("^[0-9]*$"), s)
+    return let(F.trim(F.regexp_replace(F.trim(surface), "[.,;)]+$", "")), lambda s: F.when((F.length(s) >= 2) & ~s.rlike("^[0-9]*$"), s))
 
 
 def clean(place: Column) -> Column:
@@ -84,31 +94,33 @@ def parted(after: Column, kind: Column) -> Column:
     plain = F.instr(after, F.lit(" in "))
     first = F.instr(F.lower(after), F.lit(" in "))
     rest = F.substring(after, first + 4, F.length(after))
-    second = F.instr(F.lower(rest), F.lit(" in "))
+    by_second = lambda r: let(F.instr(F.lower(r), F.lit(" in ")), lambda n: F.when(n > 0, cut(r, n)).otherwise(layout_place_year(after)))
     return (
         F.when(kind == "year in place", F.when(plain > 0, cut(after, plain)))
         .when(kind == "place in year", layout_place_year(after))
-        .when(first > 0, F.when(second > 0, cut(rest, second)).otherwise(layout_place_year(after)))
+        .when(first > 0, let(rest, by_second))
     )
 
 
 def structured(text: Column, low: Column) -> Column:
     """The tuple of each layout whose cue the text has, in order."""
     table = constant([{"cue": c, "verb": v, "kind": k} for c, v, k in rules.PHRASE_LAYOUTS], "cue: string, verb: string, kind: string")
-    anyone = person_named(low)["person"]
+
+    def person_before(before: Column) -> Column:
+        of, stop = (F.regexp_extract(before, p, 1) for p in (r"(?is)^.* of (.*)$", r"(?s)^.*\. (.*)$"))
+        name = F.trim(F.when(before.rlike("(?is) of "), of).when(before.rlike(r"(?s)\. "), stop).otherwise(before))
+        name = let(F.regexp_replace(name, "^[\"']+|[\"']+$", ""), lambda n: F.when(F.length(n) >= 3, n))
+        return F.coalesce(let(F.lower(before), person_named)["person"], name, person_named(low)["person"])
 
     def one(x: Column) -> Column:
+        # each step once, and a person only of what has a time and a place
         at = F.instr(low, x["cue"])
         before = F.trim(F.substring(text, F.lit(1), at - 1))
-        of, stop = (F.regexp_extract(before, p, 1) for p in (r"(?is)^.* of (.*)$", r"(?s)^.*\. (.*)$"))
-        name = F.trim(F.when(before.rlike("(?is) of "), of).when(before.rlike(r"(?s)\. "), stop).otherwise(before))
-        name = F.regexp_replace(name, "^[\"']+|[\"']+$", "")
-        person = F.coalesce(person_named(F.lower(before))["person"], F.when(F.length(name) >= 3, name), anyone)
         found = parted(F.trim(F.substring(text, at + F.length(x["cue"]), F.length(text))), x["kind"])
-        whole = (at > 0) & person.isNotNull() & found["time"].isNotNull() & clean(found["place"])
-        return F.when(whole, F.struct(person.alias("person"), found["time"].alias("time"), found["place"].alias("place"), x["verb"].alias("verb")).cast(TUPLE))
+        told = lambda person, f: F.when(person.isNotNull(), F.struct(person.alias("person"), f["time"].alias("time"), f["place"].alias("place"), x["verb"].alias("verb")).cast(TUPLE))
+        return let(found, lambda f: F.when(f["time"].isNotNull() & clean(f["place"]), let(let(before, person_before), lambda person: told(person, f))))
 
-    return F.filter(F.transform(table, one), lambda t: t.isNotNull())
+    return F.filter(F.transform(F.filter(table, lambda x: F.contains(low, x["cue"])), one), lambda t: t.isNotNull())
 
 
 def verb_of(low: Column, page: Column) -> Column:
@@ -157,7 +169,8 @@ def extract_phrases(rows: DataFrame, text: str, page: str, batch: str, order: st
     year = F.coalesce("_year", F.when(c("_old_year").between(c("_who.first"), c("_who.last")), c("_old_year")))
     place = F.coalesce("_place", "_old_place")
     hook = c("_named").isNotNull() | has_alone(c("_low"), rules.PRONOUNS)
-    verb = verb_of(c("_low"), c("_page"))
+    rows = rows.withColumn("_verb", verb_of(c("_low"), c("_page")))
+    verb = c("_verb")
     whole = c("_who").isNotNull() & year.isNotNull() & clean(place) & verb.isNotNull() & ((c("_year").isNotNull() & c("_place").isNotNull()) | hook)
     dense = F.when(whole, F.struct(c("_who.person").alias("person"), year_surface(year).alias("time"), place.alias("place"), verb.alias("verb")).cast(TUPLE))
     tuples = unique(F.concat(structured(c("_text"), c("_low")), F.array_compact(F.array(dense))))

@@ -61,3 +61,24 @@ def test_pages_give_subject_place_and_verb(spark):
     got = tuples(spark, [(0, "It was agreed in 1807.", "Treaty of Tilsit (1807)"), (0, "In 1807 it ended.", "Battle of Friedland"), (0, "In 30 BC she ruled.", "Cleopatra"), (0, "She died, 30 BC, at Alexandria", "Cleopatra")], places=[("alexandria", "Alexandria")])
     assert got[0] == [("Napoleon", "1807", "Tilsit", "signed")] and got[1] == [("Napoleon", "1807", "Friedland", "fought")]
     assert got[2] == [] and got[3] == [("Cleopatra", "30 BC", "Alexandria", "died")]
+
+
+def test_a_place_is_looked_for_once_and_by_pattern(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from annals.operators.phrases import listed_place, ordered_places, page_place
+
+    def plain(low, places):
+        alone = lambda n: (at := low.find(n)) >= 0 and not re.match("[a-z0-9]", low[at - 1 : at] if at else "") and not re.match("[a-z0-9]", low[at + len(n) : at + len(n) + 1])
+        return next((t for n, t in places if alone(n)), None)
+
+    names = [n for n, _ in ordered_places()]
+    texts = ["", "parisian in paris", "xparis, rome", "(rome)", "é paris2 elba", *[f"in {a}, {b}s {b}" for a, b in zip(names, names[5:] + names[:5], strict=True)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for places in (ordered_places(), [("rome", "First"), ("paris", "P"), ("rome", "Second"), ("", "Empty")], []):
+        got = {r.t: r.place for r in rows.select("t", listed_place(F.col("t"), places).alias("place")).collect()}
+        assert got == {t: plain(t, places) for t in texts}
+    plan = rows.select(page_place(F.col("t"), [("rome", "Rome")]).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1, plan
