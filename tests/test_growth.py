@@ -91,3 +91,14 @@ def test_documents_stay_where_they_are_read_when_few_words_have_an_alias(spark):
     assert len(joins) == 1 and "word" in joins[0] and "doc_id" not in joins[0], joins
     rows = sorted(tuple(r) for r in got.filter("doc_id < 2").collect())
     assert rows == [(i, s, *rest) for i in (0, 1) for s, *rest in (("a", "by", 35, "author"), ("h", "about", 45, "title"))] and got.count() == 100
+
+
+def test_candidates_of_the_stage_are_judged_once(spark, monkeypatch):
+    from annals.plans import events
+
+    plans = []
+    written = events.written
+    monkeypatch.setattr(events, "written", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), written(df, label))[1])
+    got = events.staged(spark, SF)
+    assert len(plans) == 1 and not [line for line in plans[0].splitlines() if "Filter" in line and "regexp_replace" in line]
+    assert got.count() == events.keyed(spark, SF).count() > 0 and "verdict" not in got.columns
