@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from annals.llm import lm_score
@@ -49,3 +50,40 @@ def test_small_tables(spark):
     docs = spark.createDataFrame([(1, "one alone one")], "doc_id long, text string")
     assert [(r.n_words, r.n_single) for r in lm_scores(docs).collect()] == [(3, 3)]
     assert lm_scores(docs.limit(0)).count() == 0
+
+
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    jvm = spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_moves_few_bytes_a_word(spark, monkeypatch):
+    """All n-grams as rows took some 30 bytes a word there and as much back."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 300_000)
+    rnd = random.Random(1)
+    words = ["w%x" % rnd.randrange(1 << 30) for _ in range(20000)]
+    docs = spark.createDataFrame([(i, " ".join(words[int(20000 * rnd.random() ** 4)] for _ in range(500))) for i in range(600)], "doc_id long, text string").repartition(2)
+    before = shuffled_bytes(spark)
+    assert lm_scores(docs, 3, 300_000).count() == 600
+    moved = sum(b for s, b in shuffled_bytes(spark).items() if s not in before)
+    text = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert moved - text < 16 * 600 * 500, (moved, text)
+
+
+def test_numbers_and_pairs_are_exact():
+    for values in ([], [0], [255, 256], [2**63, 1, 2**64 - 1], list(range(70000))):
+        assert lm_score.unpack(lm_score.pack(np.array(values, np.uint64))).tolist() == values
+    block = object.__new__(lm_score.Block)
+    block.n_parts, block.tops = 7, [1000, 3000]
+    head, word = np.repeat(np.arange(3000), 1000), np.tile(np.arange(1000), 3000)
+    mixed, width = block.mix(3, head, word)
+    assert len(np.unique(mixed)) == 3_000_000
+    sizes = np.bincount((mixed // np.uint64(width)).astype(np.int64))
+    assert len(sizes) == 7 and sizes.max() < 1.1 * sizes.min()
+    block.tops = [1 << 32, 1 << 32]
+    with pytest.raises(OverflowError):
+        block.mix(3, head[:1], word[:1])
