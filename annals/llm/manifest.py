@@ -11,7 +11,8 @@ by an equal join, follows each digit, and keeps the children that it doesn't fol
 its path. At the leaf the segments are reversed, so that they lead from leaf to root.
 
 Work: the texts are read once and don't move; what moves are digests, n + n/16 + n/256 + ... of them,
-and paths of n/16 nodes. The number of jobs grows with the logarithm of the rows.
+and paths of n/16 nodes. The number of jobs grows with the logarithm of the rows. Nothing that grows
+with the rows is broadcast; the driver gets a sample for the bounds of the ranges.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut
 
 FANOUT = 16
+#: Rows of a range that are ranked together. Spark sends some 300 rows a range to the driver to choose the bounds.
+RANGE_ROWS = 32_768
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 LOAD = "struct<doc_id:{id},tampered:string,height:int>"
 NO_PATH = "array<struct<left:string,right:string>>"
@@ -64,7 +67,8 @@ def every_fifth(doc_id: Column) -> Column:
 
 def ranked(rows: DataFrame, order: list[str], label: str) -> DataFrame:
     """rows with idx, the place among the rows of their grp by ``order``, and n, the rows of the grp."""
-    dealt = cut(rows.repartitionByRange("grp", *order).withColumn("part", F.spark_partition_id()), label)
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    dealt = cut(rows.repartitionByRange(ranges, "grp", *order).withColumn("part", F.spark_partition_id()), label)
     by_part = dealt.groupBy("part", "grp").agg(F.count("*").alias("m"))
     whole = Window.partitionBy("grp")
     before = F.coalesce(F.sum("m").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -108,7 +112,8 @@ def descend(requests: DataFrame, records: list[DataFrame]) -> DataFrame:
         here = requests.filter(F.col("height") == height)
         here = here if moving is None else here.unionByName(moving)
         record = records[height - 1].dropDuplicates(["digest"])  # equal nodes are stored once
-        step = here.drop("load").join(record, "digest").withColumn("names", F.col("kids.digest"))
+        # Spark doesn't count on a path growing and a node having FANOUT children, so it would take requests of any size for small and broadcast them
+        step = here.drop("load").hint("merge").join(record, "digest").withColumn("names", F.col("kids.digest"))
         step = step.select(*own, "path", "names", F.posexplode("kids").alias("digit", "kid"))
         segment = F.struct(
             F.array_join(F.slice("names", F.lit(1), F.col("digit")), "").alias("left"),

@@ -3,7 +3,7 @@
 import hashlib
 import zlib
 
-from annals.llm.manifest import manifest_proofs
+from annals.llm.manifest import manifest_proofs, ranked
 
 SCHEMA = "doc_id long, source string, lang string, n_chars int, text string, digest string, part int, grp string"
 
@@ -80,3 +80,25 @@ def test_tampering_is_seen_only_where_the_text_changes(spark):
     rows = [(i, "a", "en", 1, "UPPER" if i % 2 else "lower") for i in range(60)]
     seen = {r[0]: r[-1] for r in proofs(spark, rows)}
     assert all(ok == (i % 2 == 0 or zlib.crc32(str(i).encode()) % 5 > 0) for i, ok in seen.items()) and len(set(seen.values())) == 2
+
+
+def test_requests_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "en", 1, f"Text {i}", "x", 1, "y") for i in range(900)], SCHEMA)
+    out = manifest_proofs(docs)
+    assert len(out.collect()) == 900
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()  # as many as a 16th of the rows, each with its path
+
+
+def test_bounds_of_ranges_are_sampled_by_rows_not_by_shuffle_partitions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(100_000).select(F.lit("=a").alias("grp"), F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    asked, deal = [], type(rows).repartitionByRange
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda self, *a: (asked.append(a[0]), deal(self, *a))[1])
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = ranked(rows.repartition(3), ["doc_id", "digest"], "ranked")
+        assert got.filter("idx <> doc_id or n <> 100000").count() == 0 and got.count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert asked == [4]  # 100 sampled rows a range and more go to the driver
